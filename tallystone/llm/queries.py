@@ -18,8 +18,15 @@ def op1_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text under the multilingual public vocabulary, and their decoding."""
+    from tallystone.llm.bpe import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_dart_near_dedup": op1_dart_near_dedup}
+    return {"op1_dart_near_dedup": op1_dart_near_dedup, "op9_prefix_bpe": op9_prefix_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
