@@ -18,6 +18,13 @@ def op1_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored in and read back from an ISO media container."""
+    from tallystone.llm.media import store_texts
+
+    return store_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text under the multilingual public vocabulary, and their decoding."""
     from tallystone.llm.bpe import encode_documents
@@ -26,7 +33,7 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_dart_near_dedup": op1_dart_near_dedup, "op9_prefix_bpe": op9_prefix_bpe}
+    return {f.__name__: f for f in (op1_dart_near_dedup, op3_media_columns, op9_prefix_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
