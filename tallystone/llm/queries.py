@@ -18,6 +18,13 @@ def op1_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tallystone.llm.htmltext import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored in and read back from an ISO media container."""
     from tallystone.llm.media import store_texts
@@ -33,7 +40,7 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_near_dedup, op3_media_columns, op9_prefix_bpe)}
+    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op9_prefix_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
