@@ -39,9 +39,18 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of each query vector."""
+    from tallystone.llm.topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op9_prefix_bpe)}
+    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op9_prefix_bpe, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallystone.llm.topk import TOP_K_SQL
+
+    return {"op10_exact_top_k": TOP_K_SQL}
