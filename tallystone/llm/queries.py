@@ -32,6 +32,13 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    from tallystone.llm.warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text under the multilingual public vocabulary, and their decoding."""
     from tallystone.llm.bpe import encode_documents
@@ -47,10 +54,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op9_prefix_bpe, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op6_warc_archives, op9_prefix_bpe, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
     from tallystone.llm.topk import TOP_K_SQL
+    from tallystone.llm.warc import ARCHIVE_SQL
 
-    return {"op10_exact_top_k": TOP_K_SQL}
+    return {"op6_warc_archives": ARCHIVE_SQL, "op10_exact_top_k": TOP_K_SQL}
