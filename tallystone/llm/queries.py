@@ -39,6 +39,20 @@ def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mixture of sources takes each document."""
+    from tallystone.llm.mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
+def op8_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the byte-level convolutional network."""
+    from tallystone.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text under the multilingual public vocabulary, and their decoding."""
     from tallystone.llm.bpe import encode_documents
@@ -54,11 +68,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op6_warc_archives, op9_prefix_bpe, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op6_warc_archives, op7_mixture, op8_byte_cnn_quality, op9_prefix_bpe, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from tallystone.llm.mixing import mixing_sql
     from tallystone.llm.topk import TOP_K_SQL
     from tallystone.llm.warc import ARCHIVE_SQL
 
-    return {"op6_warc_archives": ARCHIVE_SQL, "op10_exact_top_k": TOP_K_SQL}
+    return {"op6_warc_archives": ARCHIVE_SQL, "op7_mixture": mixing_sql(), "op10_exact_top_k": TOP_K_SQL}
