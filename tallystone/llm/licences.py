@@ -27,6 +27,7 @@ LEAST_PROBABILITY, LEAST_MATCH = 0.6, 0.8
 # Names of licence families as notices write them.
 NAMES: dict[str, tuple[str, ...]] = {
     "agpl-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPL-3.0"),
+    "all-rights-reserved": (),
     "apache-2.0": ("Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0"),
     "bsd-3-clause": ("BSD 3-Clause License", "3-clause BSD license", "BSD-3-Clause"),
     "cc-by-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC-BY-4.0"),
@@ -54,6 +55,7 @@ FRAMES = (
 )
 # Opening words of licence texts.
 TEXTS: dict[str, tuple[str, ...]] = {
+    "all-rights-reserved": ("All rights reserved.", "Copyright 2021 Example Press. All rights reserved.", "(c) Example Press, all rights reserved. No part may be reproduced without permission."),
     "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
     "bsd-3-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
@@ -66,10 +68,8 @@ UNKNOWN_NOTICES = (
     "Licensed under the terms of our site agreement.",
     "This work is licensed under the house rules of the publisher.",
     "Released under a custom license, see the file.",
-    "Distributed under a proprietary license. All rights reserved.",
-    "Copyright 2021 Example Press. All rights reserved.",
+    "Distributed under a proprietary license.",
     "SPDX-License-Identifier: LicenseRef-Own",
-    "All rights reserved. No part may be reproduced without permission.",
     "Licensed to the reader for private use only.",
 )
 OTHER = (

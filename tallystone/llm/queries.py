@@ -32,6 +32,13 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(_table(spark, sf_dir, "documents"))
 
 
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the self-attention model."""
+    from tallystone.llm.lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document."""
     from tallystone.llm.licences import licences
@@ -75,7 +82,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op5_licence_notices, op6_warc_archives, op7_mixture, op8_byte_cnn_quality, op9_prefix_bpe, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_dart_near_dedup, op2_html_main_text, op3_media_columns, op4_attention_lm, op5_licence_notices, op6_warc_archives, op7_mixture, op8_byte_cnn_quality, op9_prefix_bpe, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
