@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallystone.plans.views import Views, duck
 
 FLAGSHIP = "flagship_directory"
-MODULES = ("scans",)
+MODULES = ("scans", "filters", "joining", "grouping")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
