@@ -29,7 +29,7 @@ BANDS, BAND_ROWS = 25, 5
 #: Pairs whose signatures agree in less than this share aren't checked exactly: 4.2 standard deviations below 0.8.
 ESTIMATE_FLOOR = 0.65
 #: Documents in a block of the comparison of what is left of a large bucket.
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: Bytes of text that a worker hashes at once.
 CHUNK_BYTES = 1 << 20
 
@@ -148,7 +148,7 @@ def bag_batches(batches: Iterator[pa.RecordBatch], shingle_words: int) -> Iterat
             cells, at = shingle_cells(words, rows, shingle_words)
             short = (cells >> U64(32)).astype(np.uint32)
             bags = [np.unique(short[x:y]).tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _binary(bags)], names=["doc_id", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _binary(bags), pa.array([len(x) for x in bags], pa.int64())], names=["doc_id", "bag", "size"])
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -176,30 +176,41 @@ def similar_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Iter
         yield batch.filter(pa.array(keep, type=pa.bool_())).select(["a", "b"])
 
 
-def cross_batches(batches: Iterator[pa.RecordBatch], floor: float, band_rows: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks of a bucket that different components hold and whose signatures agree often enough.
+def cross_batches(batches: Iterator[pa.RecordBatch], floor: float, band_rows: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of a bucket, as many as it takes to join the components that they link.
 
-    A pair that shares several buckets is given in the first of them only.
+    Only pairs of different components are looked at, likeliest first: a pair that shares several buckets in
+    the first of them, and a pair whose components an earlier link of the blocks has joined not at all.
     """
     for batch in batches:
-        for row in batch.to_pylist():
-            some, all_ = row["some"], row["every"]
-            x = np.frombuffer(b"".join(r["sig"] for r in some), np.uint16).reshape(len(some), -1)
-            y = np.frombuffer(b"".join(r["sig"] for r in all_), np.uint16).reshape(len(all_), -1)
-            xd, yd = (np.array([r["doc"] for r in s], np.int64) for s in (some, all_))
-            xc, yc = (np.array([r["comp"] for r in s], np.int64) for s in (some, all_))
-            out_a, out_b = [], []
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            some, every = row["some"], row["every"]
+            x, y = (np.frombuffer(b"".join(r["sig"] for r in s), np.uint16).reshape(len(s), -1) for s in (some, every))
+            xd, yd = (np.array([r["doc"] for r in s], np.int64) for s in (some, every))
+            xc, yc = (np.array([r["comp"] for r in s], np.int64) for s in (some, every))
+            above: dict[int, int] = {}
+
+            def top(c: int, above: dict[int, int] = above) -> int:
+                while c in above:
+                    c = above[c]
+                return c
+
+            links = []
             for i in range(len(some)):
                 same = y == x[i]
-                good = (same.mean(axis=1) >= floor) & (yc != xc[i]) & ((yc == row["main"]) | (yd > xd[i]))
-                if good.any():
-                    shared = same[good].reshape(int(good.sum()), -1, band_rows).all(axis=2)
-                    first = shared.argmax(axis=1) == row["band"]
-                    out_b.append(yd[good][first])
-                    out_a.append(np.full(int(first.sum()), xd[i]))
-            a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-            b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                agree = same.mean(axis=1)
+                good = np.flatnonzero((agree >= floor) & (yc != xc[i]) & ((yc == row["main"]) | (yd > xd[i])))
+                if not len(good):
+                    continue
+                first = same[good].reshape(len(good), -1, band_rows).all(axis=2).argmax(axis=1) == row["band"]
+                good = good[first]
+                for j in good[np.argsort(-agree[good], kind="stable")].tolist():
+                    own, other = top(int(xc[i])), top(int(yc[j]))
+                    if own != other and jaccard(some[i]["bag"], every[j]["bag"]) >= threshold:
+                        above[max(own, other)] = min(own, other)
+                        links.append((int(xd[i]), int(yd[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in links], pa.int64()), pa.array([max(p) for p in links], pa.int64())], names=["a", "b"])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -222,9 +233,9 @@ def near_duplicates(
     Candidates come from equal bands of DartMinHash signatures, and every link is checked exactly.
 
     Large groups: texts of equal words are one node throughout. Each bucket first links its members to its
-    least one only. What then still lies in several components of one bucket is compared in blocks of
-    bounded size, those outside of the bucket's largest component against the rest, so no link between
-    documents that share a bucket is lost and work is not spent inside of a component.
+    one of them only (another one in each bucket). What then still lies in several components of one bucket is
+    compared in blocks of bounded size, those outside of the bucket's largest component against the rest, so
+    no link between documents that share a bucket is lost and no work is spent inside of a component.
 
     Null texts count as empty. Texts without words are linked to texts of equal bytes only (all empty texts
     are one class). Rows of equal doc_id are one document. Rows without a doc_id come back with a null class.
@@ -244,15 +255,17 @@ def near_duplicates(
 
     # buckets of more than one node
     banded = nodes.select("doc", F.posexplode("bands").alias("band", "bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc").alias("center"), F.count("*").alias("n")).where("n > 1")
+    # the member that the others are compared with differs from bucket to bucket of the same documents
+    buckets = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc", "bucket"), F.col("doc"))).alias("least"), F.count("*").alias("n"))
+    buckets = buckets.where("n > 1").select("bucket", F.col("least.doc").alias("center"), "n")
     shared = scratch.save(banded.join(buckets, "bucket"), "shared")
     sig_a, sig_b = nodes.select(F.col("doc").alias("a"), F.col("sig").alias("sa")), nodes.select(F.col("doc").alias("b"), F.col("sig").alias("sb"))
-    stars = shared.where("doc <> center").select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = shared.where("doc <> center").select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
     likely = scratch.save(stars.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: agreement_batches(it, floor), "a long, b long"), "likely")
 
     # the shingles of documents that may have a link
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(shared.where("n > 2").select("doc")).distinct()
-    bags = scratch.save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: bag_batches(it, shingle_words), "doc_id long, bag binary"), "bags")
+    bags = scratch.save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: bag_batches(it, shingle_words), "doc_id long, bag binary, size long"), "bags")
     bag_a, bag_b = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("ba")), bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bb"))
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -263,18 +276,20 @@ def near_duplicates(
 
     # buckets that hold several components still
     mine = shared.where("n > 2").select("bucket", "band", "doc")
-    mine = scratch.save(mine.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "band", "doc", F.coalesce("comp", "doc").alias("comp")), "mine")
-    sizes = mine.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("c")).where("n > c")
-    mixed = scratch.save(mixed, "mixed")
-    rows = mine.join(mixed, "bucket").join(nodes.select("doc", "sig"), "doc")
-    spread = lambda of: F.pmod(F.xxhash64("doc"), F.ceil(of / F.lit(BLOCK)))
-    entry = F.struct("doc", "comp", "sig")
-    every = rows.withColumn("block", spread(F.col("n"))).repartition("bucket", "block").groupBy("bucket", "block").agg(F.collect_list(entry).alias("every"))
-    some = rows.where("comp <> main").withColumn("block", spread(F.col("n") - F.col("c"))).repartition("bucket", "block").groupBy("bucket", "band", "main", "block").agg(F.collect_list(entry).alias("some"))
+    mine = mine.join(comps.withColumnRenamed("node", "doc"), "doc", "left").join(bags.select(F.col("doc_id").alias("doc"), "size"), "doc")
+    mine = scratch.save(mine.select("bucket", "band", "doc", F.coalesce("comp", "doc").alias("comp"), "size"), "mine")
+    sizes = mine.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    most = F.max(F.struct("c", "comp", "s"))
+    mixed = sizes.groupBy("bucket").agg(most.alias("most"), F.sum("c").alias("n"), F.sum("s").alias("s"))
+    mixed = mixed.select("bucket", F.col("most.comp").alias("main"), "n", "s", (F.col("n") - F.col("most.c")).alias("out_n"), (F.col("s") - F.col("most.s")).alias("out_s"))
+    mixed = scratch.save(mixed.where("out_n > 0"), "mixed")
+    rows = mine.drop("size").join(mixed, "bucket").join(nodes.select("doc", "sig"), "doc").join(bags.select(F.col("doc_id").alias("doc"), "bag"), "doc")
+    spread = lambda n, s: F.pmod(F.xxhash64("doc"), F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_BYTES))))
+    entry = F.struct("doc", "comp", "sig", "bag")
+    every = rows.withColumn("block", spread(F.col("n"), F.col("s"))).repartition("bucket", "block").groupBy("bucket", "block").agg(F.collect_list(entry).alias("every"))
+    some = rows.where("comp <> main").withColumn("block", spread(F.col("out_n"), F.col("out_s"))).repartition("bucket", "block").groupBy("bucket", "band", "main", "block").agg(F.collect_list(entry).alias("some"))
     crossed = some.drop("block").join(every.drop("block"), "bucket").select("band", "main", "some", "every")
-    more = scratch.save(crossed.mapInArrow(lambda it: cross_batches(it, floor, band_rows), "a long, b long").distinct(), "more")
-    late = links(more, "late")
+    late = scratch.save(crossed.mapInArrow(lambda it: cross_batches(it, floor, band_rows, threshold), "a long, b long").distinct(), "late")
     left, right = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     merged = late.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     again = components(merged, scratch, "second")
