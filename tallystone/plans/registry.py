@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallystone.plans.views import Views, duck
 
 FLAGSHIP = "flagship_directory"
-MODULES = ("scans", "filters", "joining", "grouping", "windowing", "ordering", "sets", "texts", "values", "rules")
+MODULES = ("scans", "filters", "joining", "grouping", "windowing", "ordering", "sets", "texts", "values", "quality", "rules", "searching", "states")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
