@@ -28,13 +28,13 @@ SCORE_BYTES = 1 << 18
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows one after another, each followed by zero bytes up to whole segments (WIDTH - 1 at least), and
-    the segment offsets of the rows."""
+    """The rows one after another, each of whole segments: WIDTH - 1 zero bytes, the row, and zero bytes up to the
+    end. So a filter that reaches beyond a row's end meets zeros, whatever row follows. Also the segment offsets."""
     length = np.diff(offsets)
     segments = -(-(length + WIDTH - 1) // SEGMENT)
     at = np.concatenate([np.zeros(1, np.int64), np.cumsum(segments)])
     out = np.zeros(int(at[-1]) * SEGMENT + WIDTH - 1, np.uint8)
-    out[np.repeat(at[:-1] * SEGMENT - offsets[:-1], length) + np.arange(len(data), dtype=np.int64)] = data
+    out[np.repeat(at[:-1] * SEGMENT + WIDTH - 1 - offsets[:-1], length) + np.arange(len(data), dtype=np.int64)] = data
     return out, at
 
 
