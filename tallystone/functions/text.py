@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 # Whole words that a company name is compared without.
 COMPANY_WORDS = ("llc", "ltd", "inc", "co", "company", "store", "shop", "stores", "trading", "electronics", "شركة", "متجر", "محل", "للتجارة", "الكترونيات")
-# What is no letter, digit, underscore or character of the Arabic block.
+# Characters that names and claims are compared without, and digits that are folded.
 NOT_WORD = "[^\\p{L}\\p{N}_\\x{0600}-\\x{06FF}]+"
 ZERO_WIDTH = "[\\x{200B}-\\x{200F}\\x{FEFF}]"
 NAME_PUNCTUATION = "[._\\-/,()|'\"`;%*+<>=?!~@#$^&\\[\\]{}]"
@@ -22,6 +22,7 @@ CONTROL_AND_BIDI = "[\\x{0000}-\\x{001F}\\x{007F}-\\x{009F}\\x{200E}\\x{200F}\\x
 PICTOGRAPHS = "[\\x{00A9}\\x{00AE}\\x{203C}\\x{2049}\\x{2122}\\x{2139}\\x{2194}-\\x{21AA}\\x{231A}-\\x{23FF}\\x{25AA}-\\x{27BF}\\x{2934}\\x{2935}\\x{2B05}-\\x{2B55}\\x{3030}\\x{303D}\\x{3297}\\x{3299}\\x{1F000}-\\x{1FAFF}]"
 DIACRITICS_AND_TATWEEL = "[\\x{064B}-\\x{0652}\\x{0670}\\x{0640}]"
 DIGITS_FROM, DIGITS_TO = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
+# Names of secrets in queries, beginnings of formulas, words and cells that are refused or blank.
 SECRET_KEYS = ("token", "access_token", "api_key", "apikey", "key", "secret", "password", "passwd", "auth", "sig", "signature", "session")
 FORMULA_START = "^[=+\\-@\\t\\r]"
 FORBIDDEN_LABELS = ("scammer", "scam", "fraudster", "criminal", "thief")
@@ -222,19 +223,20 @@ def label(key: Column, labels: dict[str, str]) -> Column:
 
 # Site paths of the social network that are no user names.
 RESERVED_PATHS = "groups|marketplace|watch|reels?|photos?|story|events|pages|videos?|posts?|share|hashtag|gaming|bookmarks|messages|notifications|search|business|help|policies|terms|login|settings|fundraisers|friends|permalink\\.php|story\\.php"
+PROFILE_HOST = "(?<![\\w.-])(?:https?://)?(?:[a-z0-9-]+\\.)*facebook\\.com"
+# What is scrubbed and what stands in its place, in this order.
+SCRUBBED = (
+    (PROFILE_HOST + "/(?:profile\\.php\\?id=\\d+|people/[^\"\\s>]+|(?!(?:" + RESERVED_PATHS + ")(?:[/?\"\\s>]|$))[A-Za-z0-9.][A-Za-z0-9._-]*)", "[community member]"),
+    ("(?i)fb://(?:profile|native_post|permalink\\.php|story|page)[^\\s\"'>]*", "[community member]"),
+    ("(?<![\\d+])(?:\\+20|0)1[0125]\\d{8}(?!\\d)|(?<![\\d+])(?:\\+20|0)[2-9]\\d{7,8}(?!\\d)", "[redacted phone]"),
+    ("(?<!\\d)(?:\\+?20[\\s.-]*)?0?1[0125](?:[\\s.-]*\\d){8}(?!\\d)|(?<!\\d)(?:\\+?20[\\s.-]*)?0?[2-9](?:[\\s.-]*\\d){7,8}(?!\\d)", "[redacted phone]"),
+    ("\\b\\d{11,}\\b", "[redacted phone]"),
+    ("(?<![\\w.])@[A-Za-z0-9_.]{3,}\\b", "[community member]"),
+)
 
 
 def scrubbed(text: Column) -> Column:
-    """Text without profile links, phone numbers, long digit runs and handles, in this order."""
-    domain = "(?<![\\w.-])(?:https?://)?(?:[a-z0-9-]+\\.)*facebook\\.com"
-    steps = (
-        (domain + "/(?:profile\\.php\\?id=\\d+|people/[^\"\\s>]+|(?!(?:" + RESERVED_PATHS + ")(?:[/?\"\\s>]|$))[A-Za-z0-9.][A-Za-z0-9._-]*)", "[community member]"),
-        ("(?i)fb://(?:profile|native_post|permalink\\.php|story|page)[^\\s\"'>]*", "[community member]"),
-        ("(?<![\\d+])(?:\\+20|0)1[0125]\\d{8}(?!\\d)|(?<![\\d+])(?:\\+20|0)[2-9]\\d{7,8}(?!\\d)", "[redacted phone]"),
-        ("(?<!\\d)(?:\\+?20[\\s.-]*)?0?1[0125](?:[\\s.-]*\\d){8}(?!\\d)|(?<!\\d)(?:\\+?20[\\s.-]*)?0?[2-9](?:[\\s.-]*\\d){7,8}(?!\\d)", "[redacted phone]"),
-        ("\\b\\d{11,}\\b", "[redacted phone]"),
-        ("(?<![\\w.])@[A-Za-z0-9_.]{3,}\\b", "[community member]"),
-    )
-    for pattern, mark in steps:
-        text = F.regexp_replace(text, pattern, mark.replace("[", "\\[").replace("]", "\\]"))
+    """Text without profile links, phone numbers, long digit runs and handles."""
+    for pattern, mark in SCRUBBED:
+        text = F.regexp_replace(text, pattern, mark)
     return text

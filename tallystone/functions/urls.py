@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # Query parameters that only track the visitor.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "igshid", "si", "ref")
+# Hosts and paths of shared platforms, and the form of an address.
 ACCESS_KINDS = ("web", "whois", "offline", "unknown")
 KNOWN_HOSTS = ("facebook.com", "instagram.com", "tiktok.com", "g.page", "goo.gl", "maps.app.goo.gl", "maps.google.com", "google.com", "play.google.com", "apps.apple.com")
 SHARED_HOSTS = {"facebook.com": "facebook", "m.facebook.com": "facebook", "instagram.com": "instagram", "tiktok.com": "tiktok", "google.com": "google_maps", "maps.google.com": "google_maps", "maps.app.goo.gl": "google_maps", "goo.gl": "google_maps", "g.page": "google_maps", "play.google.com": "marketplace", "apps.apple.com": "marketplace"}

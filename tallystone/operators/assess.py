@@ -11,6 +11,7 @@ from tallystone.functions.urls import identifier_role
 RISK = ("identity_mismatch", "counterfeit_product_allegation", "account_page_disappearance")
 NEGATIVE = (*RISK, "refund_issue", "delayed_delivery", "complaint_unresolved", "communication_issue", "pricing_issue", "product_quality", "warranty_issue")
 POSITIVE = ("successful_purchase", "refund_issued", "complaint_resolved", "warranty_honored", "long_business_history", "verified_business_information", "repeated_recommendation", "physical_presence", "merchant_response", "after_sales_support")
+# Limits, states, and what pages that keep robots out say.
 STALE_DAYS = 730
 VERIFIED_STATES = ("VERIFIED_HIGH_CONFIDENCE", "VERIFIED_MODERATE_CONFIDENCE")
 ANTI_BOT = ("captcha", "recaptcha", "cf-browser-verification", "enable javascript and cookies to continue", "access denied", "are you a robot", "unusual traffic")

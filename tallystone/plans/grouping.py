@@ -114,7 +114,7 @@ def _(v: Views) -> DataFrame:
     return v.identifiers.groupBy("kind", "normalized").agg(F.array_join(F.sort_array(F.collect_set(c("merchant_id").cast("string"))), ",").alias("owners"))
 
 
-@query("ag15_text_volume", "SELECT m.merchant_id, coalesce((SELECT sum(length(summary)) FROM evidence e WHERE e.merchant_id = m.merchant_id), 0) + coalesce((SELECT sum(length(alias)) FROM aliases a WHERE a.merchant_id = m.merchant_id), 0) + coalesce((SELECT sum(length(title)) FROM tasks t WHERE t.merchant_id = m.merchant_id), 0) AS volume FROM merchants m")
+@query("ag15_text_volume", "SELECT m.merchant_id, CAST(coalesce((SELECT sum(length(summary)) FROM evidence e WHERE e.merchant_id = m.merchant_id), 0) + coalesce((SELECT sum(length(alias)) FROM aliases a WHERE a.merchant_id = m.merchant_id), 0) + coalesce((SELECT sum(length(title)) FROM tasks t WHERE t.merchant_id = m.merchant_id), 0) AS BIGINT) AS volume FROM merchants m")
 def _(v: Views) -> DataFrame:
     size = lambda df, x, name: df.groupBy("merchant_id").agg(F.sum(F.length(x)).alias(name))
     out = v.merchants.select("merchant_id").join(size(v.evidence, "summary", "a"), "merchant_id", "left").join(size(v.aliases, "alias", "b"), "merchant_id", "left").join(size(v.tasks, "title", "d"), "merchant_id", "left").na.fill(0)

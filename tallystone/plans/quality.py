@@ -24,7 +24,7 @@ def _(v: Views) -> DataFrame:
 _METRICS = "SELECT (SELECT count(*) FROM merchants) AS merchants, (SELECT count(*) FILTER (WHERE sentiment = 'negative') / count(*) FROM evidence WHERE independent = 1) AS negative_ratio, (SELECT count(DISTINCT platform) FROM sources) AS platforms, (SELECT count(DISTINCT category) FROM merchants) AS categories"
 
 
-@query("dq02_gates", f"WITH k AS ({_METRICS}) SELECT * FROM (SELECT 'negative_ratio' AS gate, round(negative_ratio, 6) AS value, 0.1 AS bound FROM k UNION ALL SELECT 'merchants', CAST(merchants AS DOUBLE), 80.0 FROM k UNION ALL SELECT 'platforms', CAST(platforms AS DOUBLE), 4.0 FROM k UNION ALL SELECT 'categories', CAST(categories AS DOUBLE), 6.0 FROM k) WHERE value < bound")
+@query("dq02_gates", f"WITH k AS ({_METRICS}) SELECT * FROM (SELECT 'negative_ratio' AS gate, round(negative_ratio, 6) AS value, CAST(0.1 AS DOUBLE) AS bound FROM k UNION ALL SELECT 'merchants', CAST(merchants AS DOUBLE), 80.0 FROM k UNION ALL SELECT 'platforms', CAST(platforms AS DOUBLE), 4.0 FROM k UNION ALL SELECT 'categories', CAST(categories AS DOUBLE), 6.0 FROM k) WHERE value < bound")
 def _(v: Views) -> DataFrame:
     metrics = audit.quality_metrics(v.merchants, v.evidence, v.sources, v.tasks, CUTOFF_2Y)
     return audit.gate_failures(metrics).where(c("gate").isin("negative_ratio", "merchants", "platforms", "categories"))
@@ -133,7 +133,7 @@ def _(v: Views) -> DataFrame:
     return asked.join(n, "merchant_id", "left").select("merchant_id", F.when(c("n").isNull(), "missing").when(c("n") > 1, "repeated").otherwise("ok").alias("outcome"))
 
 
-@query("dq17_ingest_contract", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'medium' ELSE 'weak' END AS band, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 1.0 END AS confidence FROM events")
+@query("dq17_ingest_contract", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'medium' ELSE 'weak' END AS band, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(1.0 AS DOUBLE) END AS confidence FROM events")
 def _(v: Views) -> DataFrame:
     k = c("event_id") % 5
     line = F.when(k == 0, '{"summary": "he is a thief", "confidence": 2}').when(k == 1, '{"summary": "fine", "band": "moderate", "confidence": "7"}').otherwise('{"summary": "fine", "confidence": 1.5}')

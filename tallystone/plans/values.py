@@ -55,7 +55,7 @@ def _(v: Views) -> DataFrame:
     return v.evidence.select("evidence_id", V.promoted_band(c("band"), c("confidence")).alias("band"))
 
 
-@query("m03_identity_confidence", "SELECT merchant_id, round(least(0.95, 0.15 + 0.15 * least(count(DISTINCT kind), 5)), 6) AS confidence FROM identifiers GROUP BY 1")
+@query("m03_identity_confidence", "SELECT merchant_id, CAST(round(least(0.95, 0.15 + 0.15 * least(count(DISTINCT kind), 5)), 6) AS DOUBLE) AS confidence FROM identifiers GROUP BY 1")
 def _(v: Views) -> DataFrame:
     return v.identifiers.groupBy("merchant_id").agg(F.round(V.identity_confidence(F.count_distinct("kind")), 6).alias("confidence"))
 
