@@ -83,7 +83,7 @@ def _(v: Views) -> DataFrame:
     return audit.report([audit.finding(v.evidence.where(F.trim("summary") == ""), "blank summary", "warn", "evidence_id"), audit.finding(v.evidence.where("confidence > 1"), "range", "fatal", "evidence_id")])
 
 
-@query("dq11_preflight", "SELECT merchant_id + 1000 AS old, 'missing' AS problem FROM merchants WHERE merchant_id < 3 UNION ALL SELECT 9, 'target retired'")
+@query("dq11_preflight", "SELECT merchant_id + 1000 AS old, 'missing' AS problem FROM merchants WHERE merchant_id < 3 UNION ALL SELECT 9, 'target retired' WHERE EXISTS (SELECT 1 FROM merchants WHERE merchant_id = 19)")
 def _(v: Views) -> DataFrame:
     good = v.merchants.where("merchant_id in (19, 29)").select(c("merchant_id").alias("old"), (c("merchant_id") - 9).alias("new"))
     bad = v.merchants.where("merchant_id < 3").select((c("merchant_id") + 1000).alias("old"), F.lit(50).cast("bigint").alias("new"))
