@@ -171,6 +171,11 @@ def test_counts_that_no_worker_holds(spark, documents):
     assert some.keys() == all_.keys() and all(some[i][0] == all_[i][0] and some[i][1] == pytest.approx(all_[i][1]) for i in some)
 
 
+def test_counts_that_no_worker_holds_reach_the_score(spark, documents):
+    some, all_ = ({r["doc_id"]: r["score"] for r in lm.score_documents(documents, steps=2, sample_docs=40, head_words=h).collect()} for h in (50, lm.HEAD_WORDS))
+    assert some.keys() == all_.keys() and all(some[i] == pytest.approx(all_[i]) for i in some)
+
+
 def test_lm_edges(spark):
     given = [(1, None, "s"), (2, "", "s"), (3, "A b  c\x0b\n", "s"), (3, "A b  c\x0b\n", "s"), (None, "日本 🙂", "s"), (4, "word " * 50000, "s")]
     got = lm.score_documents(_docs(spark, given), steps=3).collect()
