@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NONE, UNKNOWN = "none", "unknown"
-#: A paragraph without any of these is no licence notice; every positive of the training table has one.
+#: Licence talk; a paragraph without any of these is no notice unless a template confirms a family (``marks``).
 STEMS = ("licen", "released under", "copyright", "spdx", "gpl", "apache", "creative commons", "cc by", "cc-by", "permission is hereby", "permission to use", "redistribution", "public domain", "all rights reserved")
 WORD = "[a-z0-9]+(?:[.][0-9]+)*"
 #: Least calibrated probability of a family, and least share of a template's word pairs, for a prediction to stand.
@@ -121,6 +121,32 @@ def templates() -> dict[str, list[list[str]]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def marks() -> str:
+    """A pattern of lower-cased text that is found wherever a template may be confirmed, beside the one-word stems.
+
+    At least LEAST_MATCH of a template's pairs occur where it is confirmed, so of one pair more than may be missing
+    one occurs. Pairs with a one-word stem need no part of the pattern. "the" before a name of one word is no mark.
+    """
+    plain = [s for s in STEMS if " " not in s and "-" not in s]
+    out: set[str] = set()
+    for shapes in templates().values():
+        for shape in shapes:
+            missing = int(len(shape) * (1 - LEAST_MATCH) + 1e-9)
+            told = sum(any(s in p for s in plain) for p in shape)
+            if told <= missing and not (len(shape) == 1 and shape[0].startswith("the ")):
+                rest = [p for p in shape if not any(s in p for s in plain)]
+                out |= set(sorted(rest, key=lambda p: (-len(p), p))[: missing + 1 - told])
+                if len(shape) == 1 and shape[0].startswith("under "):
+                    out.add(shape[0].replace("under ", "under the "))
+    return "(?<![a-z0-9])(?:" + "|".join(_apart(p) for p in sorted(out)) + ")(?![a-z0-9])"
+
+
+def _apart(words: str) -> str:
+    """A pattern of words with anything between them that is no word, such as the end of a line."""
+    return "[^a-z0-9]+".join(w.replace(".", "[.]") for w in re.split("[ -]", words))
+
+
 @dataclass
 class Classifier:
     """Softmax regression on the presence of words and word pairs, with a temperature fitted by cross-validation."""
@@ -218,7 +244,9 @@ def licence_findings(paragraphs: Column) -> Column:
 def licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licence, probability, confirmed, families, n_notices), one row per input row.
 
-    Paragraphs are lines. A paragraph is a notice of a family if the classifier says so with a calibrated
+    Paragraphs are runs of lines without a blank one. Each line is judged by itself, and then its paragraph as a
+    whole, which counts if it is of a family that no line of it has (unknown lines are then part of it) or if no
+    line is a notice. Text is a notice of a family if the classifier says so with a calibrated
     probability of at least 0.6 and a template of the family confirms it by at least 0.8 of its word pairs;
     other licence talk is "unknown". ``licence`` is the likeliest family, else "unknown", else "none" for a
     document without notices (probability null, confirmed false); ties go to the first name. ``families`` lists
@@ -227,9 +255,20 @@ def licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     has_stem = lambda x: reduce(or_, (F.contains(x, F.lit(s)) for s in STEMS))
+    wrapped = "|".join(_apart(s) for s in STEMS if " " in s)
+    talks = lambda x: has_stem(x) | F.rlike(x, F.lit(wrapped))
+    judged = lambda x: talks(x) | F.rlike(x, F.lit(marks()))
+    none = F.array().cast("array<string>")
+    is_known = lambda r: ~r["family"].isin(NONE, UNKNOWN)
+    counts = lambda r: is_known(r) | ((r["family"] == UNKNOWN) & talks(F.lower(r["paragraph"])))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.lower(text).alias("low"))
-    lines = F.when(has_stem(F.col("low")), F.filter(F.split("text", "\n"), lambda p: has_stem(F.lower(p)))).otherwise(F.array().cast("array<string>"))
-    found = rows.select("doc_id", lines.alias("lines")).select("doc_id", F.filter(licence_findings(F.col("lines")), lambda r: r["family"] != NONE).alias("found"))
+    runs = rows.select("doc_id", F.when(judged(F.col("low")), F.filter(F.split("text", "\n\\s*\n"), lambda p: judged(F.lower(p)))).otherwise(none).alias("runs"))
+    lines = lambda p: F.filter(F.split(p, "\n"), lambda x: judged(F.lower(x)))
+    whole = lambda p: F.when(F.contains(F.trim(p), F.lit("\n")), F.array(p)).otherwise(none)
+    split = runs.select("doc_id", F.transform("runs", lambda p: F.struct(lines(p).alias("lines"), whole(p).alias("whole"))).alias("runs"))
+    each = split.select("doc_id", F.transform("runs", lambda r: F.struct(F.filter(licence_findings(r["lines"]), counts).alias("own"), F.filter(licence_findings(r["whole"]), counts).alias("whole"))).alias("runs"))
+    as_lines = lambda r: (F.size(r["whole"]) == 0) | F.exists(r["own"], lambda x: x["family"] == r["whole"][0]["family"]) | ((r["whole"][0]["family"] == UNKNOWN) & (F.size(r["own"]) > 0))
+    found = each.select("doc_id", F.flatten(F.transform("runs", lambda r: F.when(as_lines(r), r["own"]).otherwise(F.concat(F.filter(r["own"], is_known), r["whole"])))).alias("found"))
     known = F.filter("found", lambda r: r["family"] != UNKNOWN)
     # least negative probability first, so that ties go to the first name
     top = F.array_min(F.transform(F.when(F.size(known) > 0, known).otherwise(F.col("found")), lambda r: F.struct((-r["probability"]).alias("q"), r["family"].alias("family"))))

@@ -217,6 +217,19 @@ def test_licence_edges(spark):
     assert licences.licences(_docs(spark, given).where("false")).count() == 0
 
 
+def test_wrapped_licences_and_bare_names(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
+    isc = "Permission\nto use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+    given = [mit, gpl, bsd, isc, "Some words.\n\n" + mit + "\n\nMore.", "Distributed under MPL-2.0", "Available under CC0 1.0", "BSD-3-Clause", "Distributed under MIT"]
+    want = ["mit", "gpl-3.0", "bsd-3-clause", "isc", "mit", "mpl-2.0", "cc0-1.0", "bsd-3-clause", "mit"]
+    prose = ["He read at the MIT and came back\nwith a friend.", "Der Hund geht mit dem Mann.", "They came without restriction\nand left.", "The 3 clause rule, see version 2.0"]
+    got = {r["doc_id"]: (r["licence"], r["families"], r["n_notices"]) for r in licences.licences(_docs(spark, [(i, t, "s") for i, t in enumerate(given + prose)])).collect()}
+    assert [got[i] for i in range(len(want))] == [(w, w, 1) for w in want]
+    assert [got[i][0] for i in range(len(want), len(got))] == ["none"] * len(prose)
+
+
 # ---------------------------------------------------------------- 6
 
 
