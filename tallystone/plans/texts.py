@@ -189,7 +189,7 @@ def _(v: Views) -> DataFrame:
 
 @query("f25_scrub")
 def _(v: Views) -> DataFrame:
-    text = F.concat(F.lit("call 01012345678 or @some_user or https://facebook.com/joe.doe "), F.substring("text", 1, 200))
+    text = F.concat(F.lit("call 01012345678 or @some_user or https://facebook.com/joe.doe "), "text")
     return v.table("documents").select("doc_id", T.scrubbed(text).alias("scrubbed"))
 
 
@@ -201,7 +201,7 @@ def _(v: Views) -> DataFrame:
 
 @query("f27_public_text")
 def _(v: Views) -> DataFrame:
-    text = F.concat(F.lit("strict_key=1; evidence rows agree; internal_state=X; "), F.substring("summary", 1, 80))
+    text = F.concat(F.lit("strict_key=1; evidence rows agree; internal_state=X; "), "summary")
     return v.evidence.select("evidence_id", taxonomy.public_text(text).alias("text"))
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tallystone.operators import dedupe, dml, ranking, resolve, search
+from tallystone.plans import registry
+from tallystone.plans.views import Views
 from tallystone.sources import exports
 from tallystone.streaming import incremental as S
 
@@ -145,3 +148,25 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     stream = S.file_stream(spark, str(tmp_path / "in"), spark.range(1).schema)
     twice = stream.union(S.file_stream(spark, str(tmp_path / "in"), spark.range(1).schema))
     assert S.drained(S.first_seen(twice, ["id"])).count() == 20
+
+
+# ---------------------------------------------------------------- whole texts
+
+
+def test_whole_texts_are_scrubbed(spark):
+    """Against the documents themselves: the last word of a text is there, and no handle or number is left in any."""
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null and length(text) > 400").select("doc_id", "text")
+    got = registry.queries()["f25_scrub"](spark, DATA).join(texts, "doc_id").collect()
+    assert got
+    for r in got:
+        assert "01012345678" not in r["scrubbed"] and "@some_user" not in r["scrubbed"]
+        assert len(r["scrubbed"]) > len(r["text"]) / 2, r["doc_id"]
+
+
+def test_public_text_takes_whole_summaries(spark):
+    summaries = {r["evidence_id"]: r["summary"] for r in Views(spark, DATA).evidence.select("evidence_id", "summary").collect()}
+    got = {r["evidence_id"]: r["text"] for r in registry.queries()["f27_public_text"](spark, DATA).collect()}
+    plain = {i: " ".join(s.split()) for i, s in summaries.items() if len(s) > 200 and ";" not in s and s.isascii()}
+    assert plain and got.keys() == summaries.keys()
+    kept = [i for i, s in plain.items() if s[:40] in got[i]]
+    assert kept and all(got[i].endswith(plain[i]) for i in kept)
