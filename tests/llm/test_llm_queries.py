@@ -176,6 +176,27 @@ def test_counts_that_no_worker_holds_reach_the_score(spark, documents):
     assert some.keys() == all_.keys() and all(some[i] == pytest.approx(all_[i]) for i in some)
 
 
+def test_the_network_starts_from_all_training_texts(spark, documents, monkeypatch):
+    import numpy as np
+
+    seen = []
+    fit = lm.fit
+
+    def spy(texts, *rest, gather, **named):
+        def kept(subwords, number):
+            seen.append((len(texts), subwords, number, gather(subwords, number)))
+            return seen[0][3]
+
+        return fit(texts, *rest, gather=kept, **named)
+
+    monkeypatch.setattr(lm, "fit", spy)
+    lm.score_documents(documents, steps=1, sample_docs=20)
+    ((n, subwords, number, got),) = seen
+    whole = [r for r in documents.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
+    lists = [number[np.array([i for w in lm._split(r["text"].encode()) for i in subwords.ids(w.decode("utf-8", "replace"))] + [lm.END])] for r in whole]
+    assert n < len(whole) / 2 and (got == sum(lm.id_counts(s, np.array([len(s)])) for s in lists)).all()
+
+
 def test_lm_edges(spark):
     given = [(1, None, "s"), (2, "", "s"), (3, "A b  c\x0b\n", "s"), (3, "A b  c\x0b\n", "s"), (None, "日本 🙂", "s"), (4, "word " * 50000, "s")]
     got = lm.score_documents(_docs(spark, given), steps=3).collect()
