@@ -33,6 +33,8 @@ MENU_TAGS = frozenset("nav header footer aside form menu dialog search".split())
 MAIN_TAGS = frozenset("article main".split())
 MENU_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
 MAIN_ROLES = frozenset("article main".split())
+#: Words of elements whose articles are not the page's own.
+FOREIGN_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot comment comments commentlist discussion disqus related recommend recommended replies reply respond promo promoted promotion sponsor sponsored teaser widget widgets modal popup".split())
 MENU_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback footer gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related recommend recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
@@ -83,12 +85,19 @@ def _cue(tag: str, attributes: str) -> int:
     return 1 if tag in MAIN_TAGS and says == 0 else says
 
 
+@lru_cache(maxsize=65536)
+def _foreign(tag: str, attributes: str) -> bool:
+    """Whether articles inside of an element are not the page's own."""
+    words = {w.lower() for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for w in _WORD.findall(html.unescape(a or b or c))}
+    return tag in MENU_TAGS - {"form"} or bool(words & FOREIGN_WORDS)
+
+
 def blocks(page: str) -> list[Block]:
     """The flat list of text blocks of a page, in page order, boilerplate included."""
     out: list[Block] = []
-    open_: list[tuple[str, int, int]] = []  # tag, cue here, depth of links
+    open_: list[tuple[str, int, int, bool]] = []  # tag, cue here, depth of links, whether articles here are foreign
     parts: list[tuple[str, bool]] = []
-    cue, links, headings, lists = 0, 0, 0, 0
+    cue, links, headings, lists, foreign = 0, 0, 0, 0, False
 
     def flush() -> None:
         if not parts:
@@ -100,22 +109,24 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
 
     def push(tag: str, attributes: str) -> None:
-        nonlocal cue, headings, lists
+        nonlocal cue, headings, lists, foreign
         says = _cue(tag, attributes)
         if tag == "header" and says == -1 and cue == 1:
             says = 0  # the heading of an article is part of it
-        if says and says != cue and cue > -1:
+        inner = cue == -1 and says == 1 and tag in MAIN_TAGS and not foreign  # undoes what a wrapper says
+        if says and says != cue and (cue > -1 or inner):
             flush()
-        open_.append((tag, cue, links))
+        open_.append((tag, cue, links, foreign))
+        foreign = foreign or says == -1 and _foreign(tag, attributes)
         headings += len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         lists += tag == "li"
-        if cue >= 0 and says:
+        if says and (cue >= 0 or inner or cue == -1 and says == -2):
             cue = says
 
     def pop_to(depth: int) -> None:
-        nonlocal cue, links, headings, lists
+        nonlocal cue, links, headings, lists, foreign
         while len(open_) > depth:
-            tag, before, had = open_.pop()
+            tag, before, had, foreign = open_.pop()
             if before != cue:
                 flush()
             headings -= len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()

@@ -226,6 +226,14 @@ def test_very_long_page():
     assert htmltext.main_text("<div>" * 5000 + "x" * 10 + "</div>" * 5000) == ""
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='content has-sidebar'>", "<div id='page' class='site with-sidebar'>", "<form action='/all'>"])
+def test_articles_inside_of_wrappers(wrapper):
+    text = "The river rose by two metres in the night and the road to the town was closed until the morning."
+    page = f"<body>{wrapper}<nav><a href='/'>Home</a></nav><article><h1>High water</h1><p>{text}</p></article><aside><article><p>Other news of the day in short.</p></article></aside>"
+    assert htmltext.main_text(page) == f"High water\n{text}"
+    assert htmltext.main_text(f"<body><article><p>{text}</p></article><section id='comments'><article><p>I saw it from the bridge myself.</p></article></section>") == text
+
+
 # ---------------------------------------------------------------- licences
 
 
