@@ -106,6 +106,46 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 140)}}
 
 
+class _Counted(Scratch):
+    """Remembers the names of what is saved."""
+
+    def save(self, df, name):
+        self.saved = [*getattr(self, "saved", []), name]
+        return super().save(df, name)
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_rounds_grow_with_the_logarithm_of_a_path(spark, mixed):
+    order = list(range(10_001))
+    if mixed:
+        random.Random(5).shuffle(order)
+    pairs = list(zip(order, order[1:], strict=False))
+    scratch = _Counted(spark, "path")
+    got = graph.components(spark.createDataFrame(pairs, "a long, b long"), scratch, "t").collect()
+    assert len(got) == 10_001 and {r["comp"] for r in got} == {0}
+    assert sum(n.startswith("t-hooks") for n in scratch.saved) <= 20
+
+
+def test_components_match_a_search_on_random_graphs(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(600), rng.randrange(600)) for _ in range(420)]
+    near = collections.defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [node] if node not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = node
+                todo += near[x]
+    got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "t"), "t").collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- 2
 
 
