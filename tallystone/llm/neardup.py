@@ -32,6 +32,8 @@ ESTIMATE_FLOOR = 0.65
 BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: Bytes of text that a worker hashes at once.
 CHUNK_BYTES = 1 << 20
+#: Cells whose darts are thrown at once.
+CELLS = 1 << 19
 
 
 class DartMinHash:
@@ -60,38 +62,42 @@ class DartMinHash:
         return out
 
     def _throw(self, cells: np.ndarray, rows: np.ndarray, cover: np.ndarray | None, which: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Darts of rank below ``limit`` (one a row) for the rows ``which``; also which rows lack a coordinate."""
+        """Darts of rank below ``limit`` (one a row) for the rows ``which``; also which rows lack a coordinate.
+
+        Cells are thrown in pieces; only the darts that win their coordinate so far go from piece to piece.
+        """
         count = np.diff(rows)[which]
-        at = np.repeat(rows[which] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()), dtype=np.int64)
-        own, row = cells[at], np.repeat(np.arange(len(which)), count)
-        part = cover[at] if cover is not None else None
-        best = np.full(len(which) * self.k, np.inf)
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        begin = np.cumsum(count) - count
+        best, sketch = np.full(len(which) * self.k, np.inf), np.zeros(len(which) * self.k, U64)
+        for a in range(0, int(count.sum()), CELLS):
+            b = min(a + CELLS, int(count.sum()))
+            row = np.searchsorted(begin, np.arange(a, b), side="right") - 1
+            at = rows[which][row] + np.arange(a, b) - begin[row]
+            for slot, rank, dart in self._darts(cells[at], row, None if cover is None else cover[at], limit):
+                np.minimum.at(best, slot, rank)
+                won = rank == best[slot]
+                sketch[slot[won]] = dart[won] | U64(1)
+        lacks = np.isinf(best).reshape(len(which), self.k).any(axis=1)
+        return sketch.reshape(len(which), self.k), lacks
+
+    def _darts(self, own: np.ndarray, row: np.ndarray, part: np.ndarray | None, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(coordinate of a row, rank, hash) of the darts of some cells, those of the n-th throw together."""
         rank, step = np.zeros(len(own)), 0
         while len(own):
             # ranks of a cell's darts are a Poisson process: gaps are exponential
             bits = salted(own, 3 * step)
             gap = ((bits >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
-            bound = limit[row] - rank
-            near = gap > np.exp(-np.minimum(bound, 700.0))
+            near = gap > np.exp(-np.minimum(limit[row] - rank, 700.0))
             own, row, rank = own[near], row[near], rank[near] - np.log(gap[near])
             dart = salted(own, 3 * step + 1)
             slot = row * self.k + (salted(own, 3 * step + 2) >> U64(33)).astype(np.int64) % self.k
-            if part is not None:
+            if part is None:
+                yield slot, rank, dart
+            else:
                 part = part[near]
                 hit = (mix64(dart) >> U64(11)).astype(np.float64) * 2.0**-53 < part
-                np.minimum.at(best, slot[hit], rank[hit])
-                kept.append((slot[hit], rank[hit], dart[hit]))
-            else:
-                np.minimum.at(best, slot, rank)
-                kept.append((slot, rank, dart))
+                yield slot[hit], rank[hit], dart[hit]
             step += 1
-        sketch = np.zeros(len(which) * self.k, U64)
-        for slot, rank, dart in kept:
-            win = rank == best[slot]
-            sketch[slot[win]] = dart[win] | U64(1)
-        lacks = np.isinf(best).reshape(len(which), self.k).any(axis=1)
-        return sketch.reshape(len(which), self.k), lacks
 
 
 def band_keys(sketch: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
@@ -284,11 +290,15 @@ def near_duplicates(
     mixed = mixed.select("bucket", F.col("most.comp").alias("main"), "n", "s", (F.col("n") - F.col("most.c")).alias("out_n"), (F.col("s") - F.col("most.s")).alias("out_s"))
     mixed = scratch.save(mixed.where("out_n > 0"), "mixed")
     rows = mine.drop("size").join(mixed, "bucket").join(nodes.select("doc", "sig"), "doc").join(bags.select(F.col("doc_id").alias("doc"), "bag"), "doc")
-    spread = lambda n, s: F.pmod(F.xxhash64("doc"), F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_BYTES))))
+    blocks = lambda n, s: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_BYTES)))
+    spread = lambda n, s: F.pmod(F.xxhash64("doc"), blocks(n, s))
     entry = F.struct("doc", "comp", "sig", "bag")
     every = rows.withColumn("block", spread(F.col("n"), F.col("s"))).repartition("bucket", "block").groupBy("bucket", "block").agg(F.collect_list(entry).alias("every"))
-    some = rows.where("comp <> main").withColumn("block", spread(F.col("out_n"), F.col("out_s"))).repartition("bucket", "block").groupBy("bucket", "band", "main", "block").agg(F.collect_list(entry).alias("some"))
-    crossed = some.drop("block").join(every.drop("block"), "bucket").select("band", "main", "some", "every")
+    some = rows.where("comp <> main").withColumn("blocks", blocks(F.col("n"), F.col("s"))).withColumn("own", spread(F.col("out_n"), F.col("out_s")))
+    some = some.repartition("bucket", "own").groupBy("bucket", "band", "main", "own", "blocks").agg(F.collect_list(entry).alias("some"))
+    # one row for each pair of blocks, dealt by bucket and block: the pairs of one bucket are the work of many tasks
+    paired = some.select("bucket", "band", "main", "some", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    crossed = paired.join(every, ["bucket", "block"]).select("band", "main", "some", "every")
     late = scratch.save(crossed.mapInArrow(lambda it: cross_batches(it, floor, band_rows, threshold), "a long, b long").distinct(), "late")
     left, right = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
     merged = late.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
