@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.llm.scratch import Scratch
 from tallystone.llm.texthash import chunks, string_buffers
 
 #: Filters and their bytes; chunks of four segments that start every three.
@@ -25,6 +26,10 @@ SAMPLE = 5000
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.02, 1e-4
 THRESHOLD = 0.7
 SCORE_BYTES = 1 << 18
+#: Segments that filters run over at once, and chunks that are pooled at once.
+SEGMENTS, POOLED = 512, 1 << 15
+#: Bytes of the texts that the network is fitted on, at most: texts are taken in the order of their hash until then.
+FIT_BYTES = 64 << 20
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +39,8 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     segments = -(-(length + WIDTH - 1) // SEGMENT)
     at = np.concatenate([np.zeros(1, np.int64), np.cumsum(segments)])
     out = np.zeros(int(at[-1]) * SEGMENT + WIDTH - 1, np.uint8)
-    out[np.repeat(at[:-1] * SEGMENT + WIDTH - 1 - offsets[:-1], length) + np.arange(len(data), dtype=np.int64)] = data
+    for a, n, to in zip(offsets[:-1].tolist(), length.tolist(), (at[:-1] * SEGMENT + WIDTH - 1).tolist(), strict=True):
+        out[to : to + n] = data[a : a + n]
     return out, at
 
 
@@ -49,6 +55,16 @@ def responses(filters: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out.reshape(-1, SEGMENT, filters.shape[2])
 
 
+def segment_maxima(filters: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """(segments, FILTERS): each filter's largest response in each segment; some segments at a time."""
+    n = (len(data) - WIDTH + 1) // SEGMENT
+    out = np.empty((n, filters.shape[2]), filters.dtype)
+    for a in range(0, n, SEGMENTS):
+        b = min(a + SEGMENTS, n)
+        out[a:b] = responses(filters, data[a * SEGMENT : b * SEGMENT + WIDTH - 1]).max(axis=1)
+    return out
+
+
 def chunk_index(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(chunks, CHUNK_SEGMENTS) segment numbers, the last repeated at a row's end, and the rows' chunk offsets."""
     segments = np.diff(at)
@@ -67,18 +83,21 @@ class Network:
     weights: np.ndarray  # (2 * FILTERS,)
     offset: float
 
-    def _pooled(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        flat, at = padded(data, offsets)
-        segment = responses(self.filters, flat).max(axis=1)
-        index, own = chunk_index(at)
-        return np.maximum(segment[index].max(axis=1) + self.bias, 0.0), own, flat, index
-
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The probability of each row."""
-        pooled, own, _, _ = self._pooled(data, offsets)
-        mean = np.add.reduceat(pooled, own[:-1], axis=0) / np.diff(own)[:, None]
-        most = np.maximum.reduceat(pooled, own[:-1], axis=0)
-        z = np.hstack([mean, most]).astype(np.float64) @ self.weights + self.offset
+        flat, at = padded(data, offsets)
+        segment = segment_maxima(self.filters, flat)
+        index, own = chunk_index(at)
+        rows, width = len(own) - 1, segment.shape[1]
+        total, most = np.zeros((rows, width)), np.zeros((rows, width))
+        for a in range(0, len(index), POOLED):
+            b = min(a + POOLED, len(index))
+            pooled = np.maximum(segment[index[a:b]].max(axis=1) + self.bias, 0.0)
+            edges = np.clip(own, a, b) - a
+            some = np.flatnonzero(np.diff(edges))
+            total[some] += np.add.reduceat(pooled, edges[:-1][some], axis=0)
+            most[some] = np.maximum(most[some], np.maximum.reduceat(pooled, edges[:-1][some], axis=0))
+        z = np.hstack([total / np.diff(own)[:, None], most]).astype(np.float64) @ self.weights + self.offset
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -145,14 +164,25 @@ def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = EPOCHS, seed: i
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``limit`` labelled texts, those of least id hash. A document of several labels has the least."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, fit_bytes: int = FIT_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """At most ``limit`` labelled texts of at most ``fit_bytes`` bytes together, those of least id hash; a longer
+    text than what is left of these is passed over, whole. A document of several labels has the least; of the
+    texts of a repeated id the least counts."""
     sound = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sound = sound.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     chosen = sound.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # at most ``limit`` rows of two numbers: small enough to be sent to every executor
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    rows = sorted(texts.select("doc_id", "text", "quality").collect())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= fit_bytes)
+    texts = Scratch(docs.sparkSession, "labelled").save(sized.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "texts")
+    # at most ``limit`` rows of three numbers
+    left, out = fit_bytes, []
+    for r in sorted(texts.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("text").alias("n")).collect()):
+        if r["n"] > left:
+            out.append(r["doc_id"])
+        else:
+            left -= r["n"]
+    rows = sorted(texts.where(~F.col("doc_id").isin(out)).select("doc_id", "text", "quality").collect())
     return [r["text"].encode("utf-8") for r in rows], np.array([r["quality"] for r in rows], np.float64)
 
 
