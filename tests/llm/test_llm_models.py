@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import collections
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import ROOT
 
 from tallystone.llm import bpe, htmltext, licences, lm, media, neardup, quality, texthash, topk, warc
 
@@ -325,6 +329,66 @@ def test_chunks_overlap_and_reach_the_end():
         assert all(set(a) & set(b) for a, b in zip(seen.tolist(), seen.tolist()[1:], strict=False))
 
 
+def test_scores_match_a_plain_convolution():
+    """Every filter at every place by loops, chunks cut from the text itself."""
+    texts, labels = _labelled(random.Random(9), 30)
+    net = quality.fit(texts, labels, epochs=1)
+    for text in (b"", b"a", texts[0][:61], texts[1], (texts[2] * 9)[:1500]):
+        lead = bytes(quality.WIDTH - 1) + text
+        n = -(-len(lead) // quality.SEGMENT) * quality.SEGMENT
+        lead = lead.ljust(n + quality.WIDTH - 1, b"\0")
+        at = [sum(net.filters[k, lead[i + k]] for k in range(quality.WIDTH)) for i in range(n)]
+        size, step = quality.CHUNK_SEGMENTS * quality.SEGMENT, quality.CHUNK_STEP * quality.SEGMENT
+        begins = [0]
+        while begins[-1] + size < n:
+            begins.append(begins[-1] + step)
+        pooled = np.array([np.maximum(np.max(at[b : b + size], axis=0) + net.bias, 0) for b in begins], np.float64)
+        z = np.concatenate([pooled.mean(axis=0), pooled.max(axis=0)]) @ net.weights + net.offset
+        assert net.score(*quality._joined([text]))[0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+_LONG = """
+import sys
+sys.path.insert(0, {root!r})
+import numpy as np, pyarrow as pa
+from tallystone.llm import lm, neardup, quality
+from tallystone.llm.bpe import public_vocabulary
+
+rng = np.random.default_rng(1)
+words = np.array([("%x" % x)[:7].encode() for x in rng.integers(0, 2**28, 50_000)], object)
+text = b" ".join(words[rng.integers(0, len(words), 8_600_000)].tolist())[: 64 << 20].decode()
+small = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text[:3000]])], names=["doc_id", "text"])
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+if {which!r} == "near":
+    run = lambda b: list(neardup.sketch_batches(iter([b]), 5, 25, 5)) + list(neardup.bag_batches(iter([b]), 5))
+elif {which!r} == "quality":
+    net = quality.fit([b"good words", b"BAD $$"], np.array([1.0, 0.0]), epochs=1)
+    run = lambda b: list(quality.scored_batches(iter([b]), net))
+else:
+    model = lm.fit([text[:20_000].encode()] * 12, {{}}, 1, public_vocabulary()[0], steps=2)
+    lm.TaskContext = type("T", (), {{"get": staticmethod(lambda: type("C", (), {{"partitionId": lambda self: 0}})())}})
+    shared = type("B", (), {{"value": (model, np.array([lm.END_HASH]), np.array([1]), 1)}})
+    run = lambda b: list(lm.scored_batches(iter([b]), shared))
+run(small)
+del words, text
+held = lambda name: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith(name))
+open("/proc/self/clear_refs", "w").write("5")  # the peak starts anew
+before = held("VmRSS")
+run(batch)
+print((held("VmHWM") - before) >> 10)
+"""
+
+
+@pytest.mark.parametrize("which", ["near", "quality", "lm"])
+def test_one_text_of_64_megabytes(which):
+    """What a worker needs beyond the text itself stays below a gigabyte."""
+    code = _LONG.format(root=str(ROOT), which=which)
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env={**os.environ, "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"})
+    print(which, said.stdout)
+    assert said.returncode == 0, said.stderr
+    assert int(said.stdout.split()[-1]) < 1000
+
+
 def test_one_label_only():
     net = quality.fit([b"a", b"b"], np.array([1.0, 1.0]))
     assert net.score(*quality._joined([b"", b"zzz"])) == pytest.approx([0.75, 0.75])

@@ -223,8 +223,8 @@ def test_the_network_starts_from_all_training_texts(spark, documents, monkeypatc
     fit = lm.fit
 
     def spy(texts, *rest, gather, **named):
-        def kept(subwords, number):
-            seen.append((len(texts), subwords, number, gather(subwords, number)))
+        def kept(model):
+            seen.append((len(texts), model.subwords, model.number, gather(model)))
             return seen[0][3]
 
         return fit(texts, *rest, gather=kept, **named)
@@ -233,10 +233,77 @@ def test_the_network_starts_from_all_training_texts(spark, documents, monkeypatc
     lm.score_documents(documents, steps=1, sample_docs=20)
     ((n, subwords, number, got),) = seen
     whole = [r for r in documents.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
-    lists = [number[np.array([i for w in lm._split(r["text"].encode()) for i in subwords.ids(w.decode("utf-8", "replace"))] + [lm.END])] for r in whole]
+    lists = [number[np.array([i for w in lm._split(r["text"].encode()) for i in subwords.ids([w])[0].tolist()] + [lm.END])] for r in whole]
     assert n < len(whole) / 2 and (got == sum(lm.id_counts(s, np.array([len(s)])) for s in lists)).all()
 
 
+def test_scores_match_their_definition(spark, documents, monkeypatch):
+    """Each id's probability by plain loops over its window, each word's as the mixture."""
+    import numpy as np
+
+    kept = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a, **k: kept.append(fit(*a, **k)) or kept[0])
+    some = documents.where("doc_id < 40")
+    got = {r["doc_id"]: r for r in lm.score_documents(some, steps=30, sample_docs=10, train_every=2).collect()}
+    (model,) = kept
+    net = model.net
+    words = {r["doc_id"]: lm._split(r["text"].encode()) for r in some.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
+    count = collections.Counter(w for i, ws in words.items() if not held[i] for w in [*ws, None])
+    total = sum(count.values())
+    for i in sorted(words, key=lambda i: len(words[i]))[:6]:
+        spelled = [model.number[model.subwords.ids([w])[0]].tolist() for w in words[i]] + [[model.number[lm.END]]]
+        s = np.array([x for w in spelled for x in w])
+        before = np.append(lm.BEGIN, s[:-1])
+        lp = []
+        for t in range(len(s)):
+            x = before[max(0, t // lm.STRIDE * lm.STRIDE - (lm.WINDOW - lm.STRIDE)) : t + 1]
+            w = np.exp(net.key[x] @ net.query[before[t]] + net.near[np.arange(len(x))[::-1]])
+            ctx = (w / w.sum()) @ net.value[x]
+            z = np.exp(net.class_of[before[t]] + ctx @ net.class_out)
+            c, m = divmod(int(s[t]), lm.MEMBERS)
+            y = np.exp(net.member[c] @ (ctx @ net.mix + net.last[before[t]]) + net.member_bias[c])
+            lp.append(math.log(z[c] / z.sum() * y[m] / y.sum()))
+        at, want = 0, 0.0
+        for w, ids in zip([*words[i], None], spelled, strict=True):
+            want += math.log10(model.share * count[w] / total + (1 - model.share) * math.exp(sum(lp[at : at + len(ids)])))
+            at += len(ids)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-3)
+
+
+def test_weights_of_tasks_are_averaged(spark, documents, monkeypatch):
+    """The weights that the driver gets are the mean of the tasks', by their pieces."""
+    import numpy as np
+
+    kept = []
+    fit = lm.fit
+
+    def spy(*a, refine, **k):
+        def seen(model):
+            kept.append((model, model.net.copy(), refine(model)))
+            return kept[0][2]
+
+        return fit(*a, refine=seen, **k)
+
+    monkeypatch.setattr(lm, "fit", spy)
+    lm.score_documents(documents.repartition(3), steps=5, sample_docs=10, train_every=3)
+    ((model, before, after),) = kept
+    change = max(float(np.abs(a - b).max()) for a, b in zip(before.arrays(), after.arrays(), strict=True))
+    assert 0 < change < 1
+    # one task alone: what it gives is its own weights
+    batch = documents.where("doc_id < 30").select("text").toArrow().combine_chunks().to_batches()
+    sums = list(lm.summed_batches(lm.refined_batches(iter(batch), type("B", (), {"value": model}))))
+    own = np.concatenate([np.frombuffer(x) for x in sums[0].column(2).to_pylist()]) / sums[0].column(1)[0].as_py()
+    assert len(own) == sum(p.size for p in before.arrays()) and np.isfinite(own).all()
+
+
+def test_many_rows_without_an_id_are_sampled_like_others(spark):
+    texts = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    got = lm.score_documents(texts, steps=2, sample_docs=10).collect()
+    assert len(got) == 400 and all(r["train_tokens"] == 1600 and r["score"] < 0 for r in got)
+
+
 def test_lm_edges(spark):
     given = [(1, None, "s"), (2, "", "s"), (3, "A b  c\x0b\n", "s"), (3, "A b  c\x0b\n", "s"), (None, "日本 🙂", "s"), (4, "word " * 50000, "s")]
     got = lm.score_documents(_docs(spark, given), steps=3).collect()
@@ -390,6 +457,22 @@ def test_quality_edges(spark, documents):
     assert kept.count() == 0 and "lang" in kept.columns
 
 
+def test_quality_ignores_other_columns(spark, documents):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    clash = [*CLASH, "quality", "toxic", "h", "n", "predicted", "lang"]
+    plain_, wide = (quality.quality_scores(d, labels, sample=60) for d in (documents.select("doc_id", "text"), documents.select("doc_id", "text", *[F.lit("clash").alias(c) for c in clash])))
+    assert rows(plain_) == rows(wide)
+
+
+def test_quality_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(1, 60)] + [(3, "a"), (3, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    texts, marks = quality.labelled_sample(docs, labels, 1000, fit_bytes=800)
+    assert 0 < sum(map(len, texts)) <= 800 and len(texts) == len(marks) and b"b" not in texts
+    whole, _ = quality.labelled_sample(docs, labels, 1000)
+    assert len(whole) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 60))
+
+
 def test_quality_holds_out(spark, documents):
     texts, _ = quality.labelled_sample(documents, spark.read.parquet(f"{DATA}/labels.parquet"), 10**6)
     allowed = {r["text"].encode() for r in documents.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
