@@ -1,66 +1,84 @@
 """Exact top-k inner products with a three-phase uniform threshold.
 
 The components of the vectors are dealt to ``parts`` column groups; each group knows its own list of partial
-scores for a query. Phase 1 gathers each group's local top lists and scores their entries exactly, which
-gives a k-th best score that the answer can't fall below. Phase 2 sends that cutoff, divided evenly among the
-groups, back to them: a row of which every partial score is below its share can't reach the cutoff. Phase 3
-resolves the remaining rows exactly.
+scores for a query. Phase 1 gathers the groups' local top lists and scores their entries exactly, which gives a
+k-th best score that the answer can't fall below. Phase 2 sends that cutoff, divided evenly among the groups, to
+all rows: a row of which every partial score is below its share can't reach the cutoff. Phase 3 resolves the
+remaining entries exactly.
+
+The local lists of phase 1 are those of one row in ``CUTOFF_EVERY``: the k-th best of fewer rows is never above
+that of all, so the cutoff stays safe, and phase 1 costs a fraction of a pass. Vectors are never shuffled: each
+task holds the queries of a round, whose bytes are bounded, and hands on at most k entries for each of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.llm.blas import one_thread
 from tallystone.llm.scratch import Scratch
 
 SCALE = 256
 PARTS = 4
-#: Queries in a block, and candidate rows multiplied with a block at once.
-QUERY_BLOCK, ROW_BLOCK = 1024, 1024
+#: Rows of which one gives local lists.
+CUTOFF_EVERY = 16
+#: Bytes of the queries of a round, as float32.
+ROUND_BYTES = 16 << 20
+#: Rows and queries whose products are made at once, and entries that a task gathers before it cuts them.
+TILE_ROWS, TILE_QUERIES, HELD = 512, 1024, 1 << 20
 _LONG = (-(2**63), 2**63 - 1)
+#: Bytes of a score that a long doesn't hold: products of doubles have at most 2,100 bits.
+WIDE = 320
 
 
 def quantised(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as double; rows that take no part are gone.
-
-    Null vectors, empty vectors, and vectors with null or non-finite components take no part, nor do rows
-    without an id. Rows of equal id count once; of different vectors for one id the least counts.
-    """
+    """(uid, vec_id, small, large): floor(scale * x) of each component, as array<smallint> or, where one doesn't fit,
+    as array<double>; uid tells rows of equal ids apart. Rows that take no part are gone: null and empty vectors,
+    and those with null or non-finite components."""
     v = F.col(vector_col).cast("array<double>")
-    wide = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
+    wide = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("size(v) > 0")
     fine = wide.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    whole = fine.select("vec_id", F.transform("v", lambda x: _floor(x * F.lit(float(scale)))).alias("v"))
-    return whole.groupBy("vec_id").agg(F.min("v").alias("v"))
+    whole = fine.select(F.monotonically_increasing_id().alias("uid"), "vec_id", F.transform("v", lambda x: _floor(x * F.lit(float(scale)))).alias("v"))
+    fits = F.forall("v", lambda x: F.abs(x) < 32768.0)
+    return whole.select("uid", "vec_id", F.when(fits, F.col("v").cast("array<smallint>")).alias("small"), F.when(~fits, F.col("v")).alias("large"))
 
 
-def _floor(x: F.Column) -> F.Column:
+def _floor(x: Column) -> Column:
     """floor() of a double as a double: Spark's own gives a long, which large values don't fit."""
     return F.when(F.abs(x) >= F.lit(4503599627370496.0), x).otherwise(F.floor(x).cast("double"))
 
 
-def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
-    """Rows as a matrix of ``width`` columns; shorter vectors are filled up with zeros, longer ones cut."""
-    out = np.zeros((len(rows), width))
-    for i, r in enumerate(rows):
-        out[i, : min(len(r), width)] = r[:width]
-    return out
-
-
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of integral doubles: float32, float64 or Python integers, as sizes allow."""
-    most = float(np.abs(a).max(initial=0.0)) * float(np.abs(b).max(initial=0.0)) * max(1, a.shape[1])
-    if most < 2**24:
-        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.float64)
-    if most < 2**53:
-        return a @ b.T
-    whole = np.array([[int(x) for x in r] for r in a], dtype=object).reshape(a.shape)
-    other = np.array([[int(x) for x in r] for r in b], dtype=object).reshape(b.shape)
-    return whole @ other.T
+@dataclass
+class Rows:
+    uid: np.ndarray
+    vec_id: np.ndarray  # null: the largest long
+    named: np.ndarray  # whether vec_id isn't null
+    values: np.ndarray  # integral doubles, filled up with zeros
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch | pa.Table, width: int | None = None) -> Rows:
+        """Vectors of a batch (uid, vec_id, small, large) as rows of ``width`` columns, the longest's if None."""
+        ids, small, large = batch.column("vec_id"), batch.column("small"), batch.column("large")
+        if isinstance(batch, pa.Table):
+            ids, small, large = (c.combine_chunks() for c in (ids, small, large))
+        lengths = [np.diff(c.offsets.to_numpy()) for c in (small, large)]
+        widest = max((int(n.max(initial=0)) for n in lengths), default=0) if width is None else width
+        out = np.zeros((batch.num_rows, widest))
+        for column, n in zip((small, large), lengths, strict=True):
+            flat, begin = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[:-1]
+            held = np.flatnonzero(n * column.is_valid().to_numpy(zero_copy_only=False))
+            for size in np.unique(n[held]).tolist():
+                own = held[n[held] == size]
+                out[own, : min(size, widest)] = flat[begin[own][:, None] + np.arange(min(size, widest))]
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
+        return cls(batch.column("uid").to_numpy(), ids.fill_null(_LONG[1]).to_numpy(), named, out)
 
 
 def _groups(width: int, parts: int) -> list[slice]:
@@ -68,9 +86,22 @@ def _groups(width: int, parts: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
+def _kind(a: np.ndarray, b: np.ndarray) -> type:
+    """The numbers in which inner products of rows of ``a`` and ``b``, and all sums on the way, are exact."""
+    most = float(np.abs(a).max(initial=0.0)) * float(np.abs(b).max(initial=0.0)) * max(1, a.shape[1])
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
+
+
+def _typed(x: np.ndarray, kind: type) -> np.ndarray:
+    return x.astype(kind) if kind is not object else np.array([[int(v) for v in r] for r in x], dtype=object).reshape(x.shape)
+
+
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best entries of each query: higher score first, then smaller id."""
-    order = np.lexsort((ids, -score, query))
+    if score.dtype == object:
+        order = np.array(sorted(range(len(score)), key=lambda i: (query[i], -score[i], ids[i])), np.int64)
+    else:
+        order = np.lexsort((ids, -score, query))
     q = query[order]
     fresh = np.ones(len(q), bool)
     fresh[1:] = q[1:] != q[:-1]
@@ -79,128 +110,183 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def _tops(partial: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(column, row) of at least the k largest entries of each column."""
-    if len(partial) <= k:
-        row, col = np.nonzero(np.ones(partial.shape, bool))
-        return col, row
-    found = np.argpartition(-partial, k - 1, axis=0)[:k]
-    return np.tile(np.arange(partial.shape[1]), k), found.ravel()
-
-
-def _blocked(batches: Iterator[pa.RecordBatch], phase: int, k: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (query block, ids and vectors of queries[, cutoffs], ids and vectors of candidates) -> entries."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            get = lambda name, i=i, batch=batch: batch.column(name)[i].values
-            qid, cid = get("qid").to_numpy(), get("cid").to_numpy()
-            qv, cv = ([r.values.to_numpy(zero_copy_only=False) for r in get(name)] for name in ("qv", "cv"))
-            width = max(map(len, qv), default=0)
-            q, c = _matrix(qv, width), _matrix(cv, width)
-            if phase == 1:
-                pairs = []
-                for part in _groups(width, parts):
-                    partial = _products(c[:, part], q[:, part])
-                    if partial.dtype == object:
-                        pairs.append(tuple(x.ravel() for x in np.meshgrid(np.arange(len(qid)), np.arange(len(cid)))))
-                        break
-                    partial[cid[:, None] == qid[None, :]] = -np.inf
-                    pairs.append(_tops(partial, k))
-                col, row = (np.concatenate([p[j] for p in pairs]) for j in (0, 1))
-            else:
-                floor = np.array(get("floor").to_pylist(), dtype=object)
-                groups = _groups(width, parts)
-                keep = np.zeros((len(cid), len(qid)), bool)
-                share = np.array([-np.inf if f is None else float(f) / len(groups) for f in floor])
-                for part in groups:
-                    partial = _products(c[:, part], q[:, part])
-                    if partial.dtype == object:
-                        keep[:] = True
-                        break
-                    keep |= partial >= share - 1e-9 * np.abs(share)
-                row, col = np.nonzero(keep)
-            other = cid[row] != qid[col]
-            pair = np.unique(col[other].astype(np.int64) * len(cid) + row[other])
-            col, row = pair // max(1, len(cid)), pair % max(1, len(cid))
-            score = _resolved(q, c, col, row)
-            if phase == 2:
-                bound = np.array([_LONG[0] if f is None else f for f in floor], dtype=object)[col]
-                high = np.array(score >= bound, dtype=bool)
-                col, row, score = col[high], row[high], score[high]
-            best = _best(qid[col], cid[row], score, k)
-            col, row, score = col[best], row[best], score[best]
-            exact = [min(max(int(s), _LONG[0]), _LONG[1]) for s in score.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(qid[col]), pa.array(cid[row]), pa.array(exact, pa.int64())], names=["query_id", "vec_id", "score"])
-
-
-def _resolved(q: np.ndarray, c: np.ndarray, col: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Exact whole scores of the given entries."""
-    most = float(np.abs(q).max(initial=0.0)) * float(np.abs(c).max(initial=0.0)) * max(1, q.shape[1])
-    if most >= 2**53:
-        return np.array([sum(int(x) * int(y) for x, y in zip(q[a], c[b], strict=True)) for a, b in zip(col.tolist(), row.tolist(), strict=True)], dtype=object)
-    out = np.zeros(len(col))
-    for at in range(0, len(col), 65536):
-        out[at : at + 65536] = np.einsum("ij,ij->i", q[col[at : at + 65536]], c[row[at : at + 65536]])
-    return out
+def local_lists(partials: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 1: (row, column) of the entries in some group's list of the k largest partial scores of a column."""
+    rows, columns = partials[0].shape
+    if rows <= k or partials[0].dtype == object:
+        return tuple(x.ravel() for x in np.indices((rows, columns)))
+    listed = np.zeros((rows, columns), bool)
+    for partial in partials:
+        np.put_along_axis(listed, np.argpartition(partial, rows - k, axis=0)[rows - k :], True, axis=0)
+    return np.nonzero(listed)
+
+
+def reaching(partials: list[np.ndarray], score: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phases 2 and 3: (row, column) of the entries that some group's share of the column's cutoff lets through, and
+    whose whole score reaches it. Shares are rounded up, which whole partial scores allow."""
+    parts = len(partials)
+    if partials[0].dtype == object:
+        share = np.array([-(-int(c) // parts) if c > -np.inf else c for c in cutoff], dtype=object)
+        let = np.zeros(score.shape, bool)
+        for p in partials:
+            let |= np.asarray(p >= share, bool)
+        return np.nonzero(let & np.asarray(score >= cutoff, bool))
+    share = np.ceil(cutoff / parts).astype(score.dtype)
+    high = partials[0].copy()
+    for p in partials[1:]:
+        np.maximum(high, p, out=high)
+    return np.nonzero((high >= share) & (score >= cutoff.astype(score.dtype)))
+
+
+class Search:
+    """The best entries so far of each query of a round, over the rows of a task."""
+
+    def __init__(self, queries: Rows, k: int, parts: int, floors: np.ndarray | None):
+        self.queries, self.k, self.parts = queries, k, parts
+        #: phase 1 has none yet
+        self.phase = 1 if floors is None else 2
+        self.cutoff = np.full(len(queries.uid), -np.inf, object) if floors is None else floors
+        self.order = np.argsort(queries.uid)
+        self.entries: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+        self.typed: dict[type, np.ndarray] = {}
+
+    def add(self, rows: Rows) -> None:
+        kind = _kind(rows.values, self.queries.values)
+        if kind not in self.typed:
+            self.typed = {kind: _typed(self.queries.values, kind)}
+        queries, values = self.typed[kind], _typed(rows.values, kind)
+        cutoff = self.cutoff if kind is object else self.cutoff.astype(np.float64)
+        groups = _groups(values.shape[1], self.parts)
+        for a in range(0, len(values), TILE_ROWS):
+            tile = slice(a, a + TILE_ROWS)
+            own_row, own_query = self._own(rows.uid[tile])
+            for b in range(0, len(queries), TILE_QUERIES):
+                some = slice(b, b + TILE_QUERIES)
+                partials = [values[tile, g] @ queries[some, g].T for g in groups]
+                score = partials[0].copy()
+                for p in partials[1:]:
+                    score += p
+                row, column = local_lists(partials, self.k) if self.phase == 1 else reaching(partials, score, cutoff[some])
+                if not len(row):
+                    continue
+                found = score[row, column]
+                mine = np.isin(row * len(self.queries.uid) + column + b, own_row * len(self.queries.uid) + own_query)
+                row, column, found = row[~mine], column[~mine] + b, found[~mine]
+                self.entries.append((column, rows.uid[tile][row], rows.vec_id[tile][row], rows.named[tile][row], found))
+                self.held += len(row)
+                if self.held > HELD:
+                    self._cut()
+
+    def _own(self, uid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query) where a row is the query itself."""
+        known = self.queries.uid[self.order]
+        at = np.minimum(np.searchsorted(known, uid), max(0, len(known) - 1))
+        hit = np.flatnonzero(known[at] == uid) if len(known) else np.zeros(0, np.int64)
+        return hit, self.order[at[hit]] if len(known) else hit
+
+    def _cut(self) -> None:
+        if not self.entries:
+            return
+        kinds = {e[4].dtype for e in self.entries}
+        to = object if np.dtype(object) in kinds else np.float64
+        columns = [np.concatenate([e[i] for e in self.entries]) for i in range(4)]
+        score = np.concatenate([np.array([int(x) for x in e[4]], object) if to is object else e[4].astype(to) for e in self.entries])
+        keep = _best(columns[0], columns[2], score, self.k)
+        self.entries = [(*(c[keep] for c in columns), score[keep])]
+        self.held = len(keep)
+
+    def batch(self) -> pa.RecordBatch:
+        """(quid, query_id, uid, vec_id, score, beyond): what the task hands on; ``beyond`` orders scores that a long
+        doesn't hold, which are given as the nearest long."""
+        self._cut()
+        column, uid, vec_id, named, score = self.entries[0] if self.entries else (np.zeros(0, np.int64),) * 5
+        exact = [int(x) for x in score.tolist()]
+        near = [min(max(x, _LONG[0]), _LONG[1]) for x in exact]
+        beyond = [(x + (1 << (8 * WIDE - 1))).to_bytes(WIDE, "big") if n in _LONG else None for x, n in zip(exact, near, strict=True)]
+        arrays = [pa.array(self.queries.uid[column]), pa.array(self.queries.vec_id[column]), pa.array(uid), pa.array(vec_id, mask=~named.astype(bool)), pa.array(near, pa.int64()), pa.array(beyond, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["quid", "query_id", "uid", "vec_id", "score", "beyond"])
+
+
+ENTRIES = "quid long, query_id long, uid long, vec_id long, score long, beyond binary"
+
+
+def entry_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast, k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    queries, floors = shared.value
+    search = Search(queries, k, parts, floors)
+    with one_thread():
+        for batch in batches:
+            search.add(Rows.of(batch, queries.values.shape[1]))
+    yield search.batch()
 
 
 def _ranked(entries: DataFrame, k: int) -> DataFrame:
     """The k best entries of each query with their ranks; each task cuts its own list before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("quid").orderBy(F.col("score").desc(), F.col("beyond").desc_nulls_last(), F.col("vec_id").asc_nulls_last(), "uid")
     return entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _floors(entries: DataFrame, k: int, queries: Rows) -> np.ndarray:
+    """The k-th best score of each query, minus infinity where there are fewer; as many numbers as queries."""
+    out = np.full(len(queries.uid), -np.inf, object)
+    place = {u: i for i, u in enumerate(queries.uid.tolist())}
+    for r in _ranked(entries, k).where(F.col("rank") == k).select("quid", "score", "beyond").collect():
+        out[place[r["quid"]]] = r["score"] if r["beyond"] is None else int.from_bytes(r["beyond"], "big") - (1 << (8 * WIDE - 1))
+    return out
+
+
 def exact_top_k(
-    vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, parts: int = PARTS, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK
+    vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, parts: int = PARTS, round_bytes: int = ROUND_BYTES, cutoff_every: int = CUTOFF_EVERY
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query vector.
 
     Vectors are quantised to floor(scale * x). Queries are the rows whose id is divisible by ``every``,
-    candidates are all rows but the query's own. Ties go to the smaller id; a query with fewer candidates than
-    k gets all. Vectors of different lengths are compared as if the shorter ended in zeros. Scores beyond a
-    long are compared exactly within a block and given as the nearest long.
-
-    Queries and candidates meet as blocks of bounded size, each pair of blocks once a phase; a block hands on
-    at most k entries a query.
+    candidates are all rows but the query's own: of rows with one id each is a row of its own, as a query and as a
+    candidate. Ties go to the smaller id, rows without an id come last; a query with fewer candidates than k gets
+    all. Null and empty vectors and those with null or non-finite components take no part. Vectors of different
+    lengths are compared as if the shorter ended in zeros. Scores beyond a long are ranked exactly and given as the
+    nearest long. An empty table gives an empty table; other columns don't matter.
+
+    Queries go through in rounds of about ``round_bytes`` (as float32), dealt by hash, which the driver sends to
+    all tasks; a task hands on at most k entries a query and phase.
     """
-    scratch = Scratch(vectors.sparkSession, "topk")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     rows = scratch.save(quantised(vectors, id_col=id_col, vector_col=vector_col, scale=scale), "vectors")
     asked = rows.where(F.col("vec_id") % every == 0)
-    n_queries, n_rows = asked.count(), rows.count()
-    n_qb, n_rb = max(1, -(-n_queries // query_block)), max(1, -(-n_rows // row_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    # ids are sorted within blocks so that repeated runs meet the same matrices
-    packed = lambda df: df.agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("all"))
-    queries = packed(asked.withColumn("qb", block(n_qb)).groupBy("qb")).select("qb", F.col("all.vec_id").alias("qid"), F.col("all.v").alias("qv"))
-    queries = scratch.save(queries, "queries")
-    candidates = packed(rows.withColumn("rb", block(n_rb)).groupBy("rb")).select("rb", F.col("all.vec_id").alias("cid"), F.col("all.v").alias("cv"))
-    candidates = scratch.save(candidates, "candidates")
-    dealt = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_qb - 1).cast("long")))).repartition("qb", "rb").drop("rb")
-    schema = "query_id long, vec_id long, score long"
-
-    first = dealt.join(queries, "qb").select("qid", "qv", "cid", "cv").mapInArrow(lambda it: _blocked(it, 1, k, parts), schema)
-    floors = _ranked(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    per_block = asked.select(F.col("vec_id").alias("query_id"), block(n_qb).alias("qb")).join(floors, "query_id", "left")
-    per_block = per_block.groupBy("qb").agg(F.array_sort(F.collect_list(F.struct("query_id", "floor"))).alias("f")).select("qb", F.col("f.floor").alias("floor"))
-    armed = scratch.save(queries.join(per_block, "qb"), "armed")
-    last = dealt.join(armed, "qb").select("qid", "qv", "floor", "cid", "cv").mapInArrow(lambda it: _blocked(it, 2, k, parts), schema)
-    return _ranked(last, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    width = F.max(F.greatest(F.size("small"), F.size("large")))
+    n, width = asked.agg(F.count("*"), width).first()
+    rounds = max(1, -(-n * (width or 0) * 4 // round_bytes))
+    dealt = lambda i: F.pmod(F.xxhash64("uid"), F.lit(rounds)) == i
+    some = rows.where(F.pmod(F.xxhash64("uid", F.lit("cutoff")), F.lit(cutoff_every)) == 0)
+    done: list[DataFrame] = []
+    for i in range(rounds if n else 0):
+        queries = Rows.of(asked.where(dealt(i)).toArrow())
+        first = spark.sparkContext.broadcast((queries, None))
+        floors = _floors(some.mapInArrow(lambda it, b=first: entry_batches(it, b, k, parts), ENTRIES), k, queries)
+        second = spark.sparkContext.broadcast((queries, floors))
+        found = scratch.save(rows.mapInArrow(lambda it, b=second: entry_batches(it, b, k, parts), ENTRIES), f"round-{i}")
+        first.destroy()
+        second.destroy()
+        done.append(found)
+    if not done:
+        return rows.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
+    entries = spark.read.schema(ENTRIES).parquet(*[scratch.folder(f"round-{i}") for i in range(len(done))])
+    return _ranked(entries, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 #: The same result for DuckDB.
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
-  GROUP BY vec_id
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  SELECT q.uid, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.uid <> c.uid
   WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -464,23 +464,40 @@ def test_training_lowers_the_loss():
 # ---------------------------------------------------------------- top-k
 
 
-def test_products_are_exact_at_every_size():
-    a = np.array([[3.0, -2.0], [2.0**40, 1.0], [2.0**52, 3.0]])
-    for rows in (a[:1], a[:2], a):
-        got = topk._products(rows, rows)
-        want = [[sum(int(x) * int(y) for x, y in zip(r, s, strict=True)) for s in rows] for r in rows]
-        assert [[int(x) for x in r] for r in got.tolist()] == want
+def _rows(values):
+    n = len(values)
+    return topk.Rows(np.arange(n), np.arange(n), np.ones(n, bool), np.array(values, float))
+
+
+@pytest.mark.parametrize("size", [1.0, 2.0**30, 2.0**300])
+def test_products_are_exact_at_every_size(size):
+    a = [[3.0, -2.0, 1.0], [5.0 * size, 1.0, -1.0], [size, 3.0, size]]
+    search = topk.Search(_rows(a), 3, 2, None)
+    search.add(_rows(a))
+    search._cut()
+    query, _, row, _, score = search.entries[0]
+    got = {(int(q), int(r)): int(s) for q, r, s in zip(query, row, score, strict=True)}
+    assert got == {(i, j): sum(int(x) * int(y) for x, y in zip(a[i], a[j], strict=True)) for i in range(3) for j in range(3) if i != j}
 
 
 def test_threshold_keeps_every_answer():
+    """Every entry of the answer passes its share in some group, whatever safe cutoff is used; few others do."""
     rng = np.random.default_rng(5)
     v = np.floor(rng.normal(0, 60, (300, 16)))
-    score = v @ v.T
-    for q in range(20):
-        order = np.lexsort((np.arange(300), -score[q]))
-        order = order[order != q][:5]
-        cutoff = score[q][order[-1]]
-        reach = np.zeros(300, bool)
-        for part in topk._groups(16, topk.PARTS):
-            reach |= v[:, part] @ v[q, part] >= cutoff / topk.PARTS
-        assert reach[order].all()
+    score = (v @ v[:20].T).astype(np.float32)
+    partials = [(v[:, p] @ v[:20, p].T).astype(np.float32) for p in topk._groups(16, topk.PARTS)]
+    best = np.argsort(-score, axis=0, kind="stable")[:5]
+    for at in (4, 50):
+        cutoff = -np.sort(-score, axis=0)[at].astype(float)
+        row, column = topk.reaching(partials, score, cutoff)
+        kept = set(zip(row.tolist(), column.tolist(), strict=True))
+        assert {(int(r), q) for q in range(20) for r in best[:, q]} <= kept and len(kept) <= 20 * (at + 1)
+
+
+def test_local_lists_hold_each_groups_best():
+    rng = np.random.default_rng(6)
+    partials = [rng.integers(-99, 99, (50, 7)).astype(np.float32) for _ in range(3)]
+    listed = set(zip(*(x.tolist() for x in topk.local_lists(partials, 4)), strict=True))
+    for p in partials:
+        for q in range(7):
+            assert {r for r in range(50) if p[r, q] > np.sort(p[:, q])[-5]} <= {r for r, c in listed if c == q}
