@@ -2,14 +2,16 @@
 
 A page becomes a flat list of text blocks. Each block is described by its word count, its link density, those
 of the blocks before and after it, and what the elements around it say about themselves (an article, a menu,
-an advert). A CART tree, trained on the labelled blocks of ``TRAINING_PAGES``, tells content from boilerplate.
+an advert). A CART tree, trained on the blocks of ``labelled_pages``, tells content from boilerplate.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -97,6 +99,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     open_: list[tuple[str, int, int, bool]] = []  # tag, cue here, depth of links, whether articles here are foreign
     parts: list[tuple[str, bool]] = []
+    count: Counter[str] = Counter()  # of open elements
+    endless: set[str] = set()  # raw elements that no end follows
     cue, links, headings, lists, foreign = 0, 0, 0, 0, False
 
     def flush() -> None:
@@ -117,6 +121,7 @@ def blocks(page: str) -> list[Block]:
         if says and says != cue and (cue > -1 or inner):
             flush()
         open_.append((tag, cue, links, foreign))
+        count[tag] += 1
         foreign = foreign or says == -1 and _foreign(tag, attributes)
         headings += len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         lists += tag == "li"
@@ -127,6 +132,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal cue, links, headings, lists, foreign
         while len(open_) > depth:
             tag, before, had, foreign = open_.pop()
+            count[tag] -= 1
             if before != cue:
                 flush()
             headings -= len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
@@ -134,6 +140,8 @@ def blocks(page: str) -> list[Block]:
             cue, links = before, had
 
     def close(tag: str) -> None:
+        if not count[tag]:
+            return
         for depth in range(len(open_) - 1, -1, -1):
             if open_[depth][0] == tag:
                 pop_to(depth)
@@ -170,21 +178,22 @@ def blocks(page: str) -> list[Block]:
             close(tag)
             continue
         if tag in RAW_TAGS and not (attributes or "").endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if end is None and tag in ("button", "select", "object", "audio", "video", "canvas", "svg", "math", "datalist"):
+                endless.add(tag)
                 continue  # without an end the rest of the page isn't its content
             at = end.end() if end else size
             continue
         if tag in VOID_TAGS or (attributes or "").endswith("/") and tag not in BLOCK_TAGS and tag != "a":
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and count["p"]:
             for depth in range(len(open_) - 1, -1, -1):
                 if open_[depth][0] == "p":
                     pop_to(depth)
                     break
                 if open_[depth][0] in BLOCK_TAGS:
                     break
-        if tag in IMPLIED_END:
+        if tag in IMPLIED_END and any(count[t] for t in IMPLIED_END[tag]):
             for depth in range(len(open_) - 1, -1, -1):
                 if open_[depth][0] in IMPLIED_END[tag]:
                     pop_to(depth)
@@ -264,47 +273,133 @@ class DecisionTree:
         return out
 
 
-def _lorem(n: int, salt: int) -> str:
-    return " ".join(f"w{(salt * 31 + i * 7) % 97}" for i in range(n)) + "."
-
+class Invented:
+    """Pages of invented words, with a mark of content on each block; the same seed gives the same pages."""
+
+    def __init__(self, seed: int):
+        self.rng, self.made = random.Random(seed), 0
+
+    def words(self, least: int, most: int) -> str:
+        """A line that occurs once."""
+        self.made += 1
+        n = self.rng.randint(least, most)
+        return " ".join(["".join(self.rng.choice(("ra", "ne", "to", "li", "sum", "ka")) for _ in range(self.rng.randint(1, 4))) for _ in range(n - 1)] + [f"x{self.made}"])
+
+    def link(self, least: int, most: int) -> str:
+        return f"<a href='/{self.made}'>{self.words(least, most)}</a>"
+
+    def links(self, n: int, least: int, most: int, gap: str) -> str:
+        return gap.join(self.link(least, most) for _ in range(n))
+
+    def menu(self) -> list[str]:
+        """Blocks of links above or below an article: lists, lines, paths."""
+        n = self.rng.randint(4, 12)
+        kind = self.rng.randrange(4)
+        if kind == 0:
+            return [f"<ul>{''.join(f'<li>{self.link(1, 4)}</li>' for _ in range(n))}</ul>"]
+        if kind == 1:
+            return [f"<div>{self.links(n, 1, 6, self.rng.choice((' | ', ' ', ' - ')))}</div>"]
+        if kind == 2:
+            return [f"<p>{self.links(self.rng.randint(2, 4), 1, 3, ' / ')} {self.words(1, 2)}</p>"]
+        return [f"<table><tr>{''.join(f'<td>{self.link(1, 3)}</td>' for _ in range(n))}</tr></table>"]
+
+    def note(self) -> list[str]:
+        """Taglines, notices, legal lines, adverts: words around links, or few words among blocks of links."""
+        kind = self.rng.randrange(4)
+        if kind == 0:
+            return [f"<div>{self.words(2, 9)}</div>"]
+        if kind == 1:
+            return [f"<div>{self.words(6, 30)} {self.link(2, 12)} {self.words(1, 4)}</div>"]
+        if kind == 2:
+            return [f"<p>{self.words(3, 14)}</p>"]
+        return [f"<div>{self.link(5, 20)}</div>"]
+
+    def related(self) -> list[str]:
+        """Headings over links to other articles, each with a teaser or without."""
+        out = [f"<h3>{self.words(1, 4)}</h3>"]
+        for _ in range(self.rng.randint(2, 6)):
+            out.append(self.rng.choice(("<p>{}</p>", "<li>{}</li>", "<h4>{}</h4>")).format(self.link(4, 14)))
+            if self.rng.random() < 0.4:
+                out.append(f"<p>{self.words(6, 18)}</p>")
+        return out
 
-def training_pages() -> list[tuple[str, tuple[str, ...]]]:
+    def article(self) -> list[str]:
+        """A heading, paragraphs of all lengths (dialogue among them), headings between, lists, links in the text."""
+        out = [f"<h1>{self.words(2, 12)}</h1>"]
+        for _ in range(self.rng.randint(2, 14)):
+            kind = self.rng.random()
+            if kind < 0.5:
+                out.append(f"<p>{self.words(22, 140)}</p>")
+            elif kind < 0.62:
+                out.append(f"<p>{self.words(10, 22)}</p>")
+            elif kind < 0.74:
+                out += [f"<p>{self.words(2, 9)}</p>" for _ in range(self.rng.randint(1, 3))]
+            elif kind < 0.84:
+                out.append(f"<p>{self.words(12, 60)} {self.link(1, 6)} {self.words(8, 40)}</p>")
+            elif kind < 0.92:
+                out += [f"<h2>{self.words(1, 8)}</h2>", f"<p>{self.words(30, 120)}</p>"]
+            else:
+                out += [f"<ul><li>{self.words(5, 25)}</li><li>{self.words(5, 25)}</li><li>{self.words(8, 30)}</li></ul>", f"<p>{self.words(20, 90)}</p>"]
+        return [*out, f"<p>{self.words(18, 120)}</p>"]
+
+    def plain_page(self) -> tuple[str, tuple[str, ...]]:
+        """No element says what it holds: word counts and link densities alone tell."""
+        some = lambda *kinds: [x for _ in range(self.rng.randint(1, 3)) for x in self.rng.choice(kinds)()]
+        above = some(self.note, self.menu, self.menu) if self.rng.random() < 0.85 else []
+        below = some(self.menu, self.note, self.related, self.related) + self.menu() if self.rng.random() < 0.75 else []
+        body = self.article() if self.rng.random() < 0.9 else []
+        if not body:  # a page without an article: one note, or several blocks
+            above, below = self.note() if self.rng.random() < 0.5 else above, []
+        wrap = self.rng.choice(("{}", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>"))
+        return f"<body>{''.join(above)}{wrap.format(''.join(body))}{''.join(below)}</body>", tuple(b.text for x in body for b in blocks(x))
+
+    def named_page(self) -> tuple[str, tuple[str, ...]]:
+        """Elements that name themselves hold blocks of every size."""
+        title, one, two, last = self.words(1, 10), self.words(1, 200), self.words(1, 60), self.words(1, 25)
+        body, keep = f"<h1>{title}</h1><p>{one}</p><p>{two}</p><p>{last}</p>", (title, one, two, last)
+        note, ad, foot = self.words(3, 30), self.words(3, 25), f"<footer>{self.words(4, 25)}</footer>"
+        menu = "".join(self.menu())
+        kind = max(0, self.rng.randrange(6) - 2)
+        if kind == 0:
+            # any of the parts around an article may lack, and all of the article but one paragraph
+            some = lambda x: x if self.rng.random() < 0.5 else ""
+            whole = self.rng.random() < 0.6
+            inside = body if whole else f"<p>{last}</p>"
+            return f"<body>{some(f'<nav>{menu}</nav>')}{some(f'<div class=ad>{ad}</div>')}<article>{inside}</article>{some(foot)}</body>", keep if whole else (last,)
+        if kind == 1:
+            item, talk = self.words(1, 9), f"<section id='comments'><h2>{self.words(1, 3)}</h2><p>{self.words(3, 60)}</p><p>{self.words(3, 60)}</p></section>"
+            side = f"<aside><h3>{self.words(1, 3)}</h3><p>{note}</p><ul><li>{self.link(3, 20)}</li></ul></aside>"
+            return f"<body><header><p>{self.words(3, 30)}</p>{menu}</header><main>{body}<ul><li>{item}</li></ul>{talk}</main>{side}{foot}</body>", (*keep, item)
+        if kind == 2:
+            return f"<body><div class='cookie-notice'>{note}</div><div class='post-content'>{body}<div class='share'>{ad}</div></div><div id='sidebar'><p>{self.words(3, 90)}</p></div></body>", keep
+        text, source = self.words(2, 60), self.words(1, 12)
+        return f"<body>{menu}<article>{body}<p>{text} <a href='/x'>there</a></p><p><a href='/s'>{source}</a></p></article><p>{note}</p><p>{self.words(20, 60)}</p></body>", (*keep, f"{text} there", source)
+
+
+#: Invented pages of the labelled table, of each kind.
+PAGES_TRAINED = 300
+
+
+@lru_cache(maxsize=2)
+def labelled_pages(seed: int = 3, n: int = PAGES_TRAINED) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """The labelled table: invented pages, and the texts of their content blocks. Every other block is boilerplate."""
-    menu = "<ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li><li><a href='/c'>Contact us now</a></li></ul>"
-    pages: list[tuple[str, tuple[str, ...]]] = []
-    for k, n in enumerate((1, 2, 4, 9, 15, 25, 40, 80, 200)):
-        title, one, two, last = _lorem(min(n, 10), k), _lorem(n, k + 1), _lorem(max(1, n // 3), k + 2), _lorem(1 + n // 7, k + 3)
-        note, ad = _lorem(8 + k, k + 4), _lorem(3 + 2 * k, k + 5)
-        body = f"<h1>{title}</h1><p>{one}</p><p>{two}</p><p>{last}</p>"
-        keep = (title, one, two, last)
-        foot = f"<footer>&copy; site.example {note}</footer>"
-        side = f"<aside><h3>Side</h3><p>{note}</p><ul><li><a href='/r'>{ad}</a></li></ul></aside>"
-        talk = f"<section id='comments'><h2>Comments</h2><p>{_lorem(12 + 5 * k, k + 6)}</p><p>{_lorem(3 + k, k + 7)}</p></section>"
-        # semantic markup
-        pages.append((f"<body><nav>{menu}</nav><div class='ad'>{ad}</div><article>{body}</article>{foot}</body>", keep))
-        pages.append((f"<body><header><p>{note}</p>{menu}</header><main>{body}<ul><li>{_lorem(5, k)}</li></ul>{talk}</main>{side}{foot}</body>", (*keep, _lorem(5, k))))
-        pages.append((f"<body><div class='cookie-notice'>{note}</div><div class='post-content'>{body}<div class='share'>{ad}</div></div><div id='sidebar'><p>{_lorem(30, k)}</p></div></body>", keep))
-        # links inside of an article, and a list of links below it
-        linked = _lorem(6 + n, k + 8)
-        pages.append((f"<body>{menu}<article>{body}<p>{linked[:-1]} <a href='/x'>there</a></p><p><a href='/s'>source</a></p></article><p>{note}</p></body>", (*keep, f"{linked[:-1]} there", "source")))
-    for k, n in enumerate((12, 20, 30, 45, 60, 90, 120, 160)):
-        # no hints in the markup: word counts and link densities alone
-        one, two, three = _lorem(n, k + 11), _lorem(n + 9, k + 12), _lorem(max(12, n // 2), k + 13)
-        pages.append((f"<body>{menu}<div>{_lorem(2 + k % 3, k)}</div><h1>{_lorem(5, k)}</h1><p>{one}</p><p>{two}</p><p>{three}</p><div>{_lorem(3, k + 1)}</div>{menu}</body>", (_lorem(5, k), one, two, three)))
-        pages.append((f"<body><table><tr><td>{menu}</td><td><h2>{_lorem(4, k)}</h2>{one}<p>{two}</p></td></tr></table><p><a href='/a'>{_lorem(14, k)}</a></p><div>{_lorem(4, k + 2)}</div></body>", (_lorem(4, k), one, two)))
-        pages.append((f"<body><p>{one}</p></body>", (one,)))
-    pages.append((f"<body>{menu}<div>{_lorem(3, 1)}</div></body>", ()))
-    return pages
+    make = Invented(seed)
+    return tuple(page for _ in range(n) for page in (make.named_page(), make.plain_page()))
 
 
-@lru_cache(maxsize=1)
-def trained_tree() -> DecisionTree:
+def labelled_blocks(pages: Iterable[tuple[str, tuple[str, ...]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of labelled pages."""
     x, y = [], []
-    for page, keep in training_pages():
-        found = blocks(page)
+    for page, keep in pages:
+        found, kept = blocks(page), set(keep)
         x.append(features(found))
-        y.append(np.array([b.text in keep for b in found]))
-    return DecisionTree().fit(np.concatenate(x), np.concatenate(y))
+        y.append(np.array([b.text in kept for b in found]))
+    return np.concatenate(x), np.concatenate(y)
+
+
+@lru_cache(maxsize=1)
+def trained_tree() -> DecisionTree:
+    return DecisionTree(depth=9, least=5).fit(*labelled_blocks(labelled_pages()))
 
 
 def main_texts(pages: list[str]) -> list[str]:
@@ -312,7 +407,7 @@ def main_texts(pages: list[str]) -> list[str]:
     found = [blocks(p) for p in pages]
     if not any(found):
         return [""] * len(pages)
-    keep = iter((trained_tree().predict(np.concatenate([features(f) for f in found])) >= 0.5).tolist())
+    keep = iter((trained_tree().predict(np.concatenate([features(f) for f in found])) > 0.5).tolist())
     return ["\n".join([b.text for b in f if next(keep)]) for f in found]
 
 
