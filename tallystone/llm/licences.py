@@ -178,8 +178,13 @@ def _descend(x: np.ndarray, y: np.ndarray, decay: float, rounds: int) -> tuple[n
     return w, b
 
 
+#: Temperatures that calibration chooses from.
+TEMPERATURES = np.geomspace(0.2, 8.0, 38)
+
+
 @lru_cache(maxsize=1)
-def trained(decay: float = 2e-4, rounds: int = 240, folds: int = 3) -> Classifier:
+def _table() -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, features, presence of features, labels, number of the distinct text) of the labelled table."""
     table = training_table()
     classes = [*sorted(NAMES), UNKNOWN, NONE]
     lists = [list(dict.fromkeys((w := tokens(t)) + pairs(w))) for t, _ in table]
@@ -188,16 +193,38 @@ def trained(decay: float = 2e-4, rounds: int = 240, folds: int = 3) -> Classifie
     x = np.zeros((len(table), len(features)))
     for i, own in enumerate(lists):
         x[i, [place[f] for f in own]] = 1.0
-    y = np.eye(len(classes))[[classes.index(c) for _, c in table]]
-    held = np.zeros(y.shape)
-    fold = np.arange(len(table)) % folds
+    numbers = {t: i for i, t in enumerate(dict.fromkeys(t for t, _ in table))}
+    return classes, features, x, np.eye(len(classes))[[classes.index(c) for _, c in table]], np.array([numbers[t] for t, _ in table])
+
+
+@lru_cache(maxsize=1)
+def held_out(decay: float = 2e-4, rounds: int = 240, folds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, labels) of every distinct text under a model that hasn't seen it: all rows of a text are in one fold."""
+    _, _, x, y, text = _table()
+    scores = np.zeros(y.shape)
     for k in range(folds):
-        w, b = _descend(x[fold != k], y[fold != k], decay, rounds // 2)
-        held[fold == k] = x[fold == k] @ w + b
-    grid = np.geomspace(1.0, 8.0, 31)
-    loss = [-(np.log(np.maximum(1e-12, (np.exp((z := held / t) - z.max(1, keepdims=True)) / np.exp(z - z.max(1, keepdims=True)).sum(1, keepdims=True) * y).sum(1)))).mean() for t in grid]
+        out = text % folds == k
+        w, b = _descend(x[~out], y[~out], decay, rounds)
+        scores[out] = x[out] @ w + b
+    first = np.unique(text, return_index=True)[1]
+    return scores[first], y[first]
+
+
+def softmax(scores: np.ndarray, temperature: float) -> np.ndarray:
+    e = np.exp((scores - scores.max(axis=1, keepdims=True)) / temperature)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def log_loss(scores: np.ndarray, labels: np.ndarray, temperature: float) -> float:
+    return float(-np.log(np.maximum(1e-12, (softmax(scores, temperature) * labels).sum(axis=1))).mean())
+
+
+@lru_cache(maxsize=1)
+def trained(decay: float = 2e-4, rounds: int = 240) -> Classifier:
+    classes, features, x, y, _ = _table()
+    loss = [log_loss(*held_out(decay, rounds), t) for t in TEMPERATURES]
     w, b = _descend(x, y, decay, rounds)
-    return Classifier(classes, features, np.round(w, 6), np.round(b, 6), float(grid[int(np.argmin(loss))]))
+    return Classifier(classes, features, np.round(w, 6), np.round(b, 6), float(TEMPERATURES[int(np.argmin(loss))]))
 
 
 def _literal(value: object, kind: str) -> Column:
