@@ -12,7 +12,7 @@ import base64
 import gzip
 import hashlib
 import io
-import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -47,6 +47,8 @@ HEADER_COLUMNS = {"record_id": "warc-record-id", "record_type": "warc-type", "ta
 SPLIT_BYTES = 32 << 20
 FILE_BYTES = 256 << 20
 HEAD_BYTES = 2048
+#: What the name of an index adds to that of its archive, an entry of it (offset and length), and entries read at once.
+INDEX, ENTRY, INDEX_ROWS = ".idx", struct.Struct("<QQ"), 65536
 #: Records of a batch of the reader.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 # Fixed value of the format: the profile of a revisit of an identical payload.
@@ -54,8 +56,16 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 WRITTEN_AT = "1970-01-01T00:00:00Z"
 
 
+#: Names that Hadoop has for stores which Arrow knows by others.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfss"}
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """The file system of a path or address as Spark names it, and the path there."""
+    scheme, mark, rest = path.partition("://")
+    if not mark:
+        return pafs.FileSystem.from_uri(path if path.startswith("file:") else f"file://{path}")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -144,7 +154,7 @@ def sequential(stream: io.BufferedIOBase, wanted, need_payload: bool) -> Iterato
             yield headers, None
 
 
-def indexed(handle, spans: list[tuple[int, int]], wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+def indexed(handle, spans: Iterable[tuple[int, int]], wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Records at known places: the headers of each are inflated first, the rest only if it is wanted."""
     for offset, length in spans:
         handle.seek(offset)
@@ -173,10 +183,11 @@ def indexed(handle, spans: list[tuple[int, int]], wanted, need_payload: bool) ->
 
 @dataclass
 class Span(InputPartition):
-    """Records of one file: those at ``spans`` (offset, length), or all of them in order."""
+    """Records of one file: so many from a place in its index, or all of them in order."""
 
     path: str
-    spans: list[tuple[int, int]] | None
+    first: int = 0
+    count: int | None = None
 
 
 class WarcReader(DataSourceReader):
@@ -214,24 +225,26 @@ class WarcReader(DataSourceReader):
             found = [files.get_file_info(root)]
         else:
             found = [x for x in files.get_file_info(pafs.FileSelector(root, recursive=True)) if x.type == pafs.FileType.File and (x.path.endswith(".warc") or x.path.endswith(".warc.gz")) and "/_" not in x.path[len(root) :]]
+        # of an index the driver looks at the size only: a task reads its own part
+        indexes = {x.path: x for x in files.get_file_info([x.path + INDEX for x in found])}
         out: list[InputPartition] = []
         for info in sorted(found, key=lambda x: x.path):
-            index = files.get_file_info(info.path + ".idx")
+            index = indexes[info.path + INDEX]
             if index.type != pafs.FileType.File:
-                out.append(Span(info.path, None))
+                out.append(Span(info.path))
                 continue
-            spans, held = [], 0
-            with files.open_input_stream(index.path) as lines:
-                for line in io.BufferedReader(lines):
-                    offset, length = json.loads(line)
-                    spans.append((offset, length))
-                    held += length
-                    if held >= self.split:
-                        out.append(Span(info.path, spans))
-                        spans, held = [], 0
-            if spans:
-                out.append(Span(info.path, spans))
-        return out or [Span("", [])]
+            records = index.size // ENTRY.size
+            step = max(1, -(-records // max(1, -(-info.size // self.split))))
+            out += [Span(info.path, a, min(step, records - a)) for a in range(0, records, step)]
+        return out or [Span("")]
+
+    def _places(self, files: pafs.FileSystem, partition: Span) -> Iterator[tuple[int, int]]:
+        """(offset, length) of the records of a partition, some at a time."""
+        with files.open_input_file(partition.path + INDEX) as index:
+            for a in range(partition.first, partition.first + partition.count, INDEX_ROWS):
+                n = min(INDEX_ROWS, partition.first + partition.count - a)
+                index.seek(a * ENTRY.size)
+                yield from ENTRY.iter_unpack(index.read(n * ENTRY.size))
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -241,8 +254,8 @@ class WarcReader(DataSourceReader):
         rows: list[dict] = []
         held = 0
         with files.open_input_file(partition.path) as raw:
-            if partition.spans is not None:
-                records = indexed(raw, partition.spans, self._wanted, need)
+            if partition.count is not None:
+                records = indexed(raw, self._places(files, partition), self._wanted, need)
             else:
                 stream = io.BufferedReader(raw) if not partition.path.endswith(".gz") else gzip.GzipFile(fileobj=io.BufferedReader(raw))
                 records = sequential(stream, self._wanted, need)
@@ -290,13 +303,13 @@ class WarcWriter(DataSourceArrowWriter):
         staged = f"{root}/_staged-{self.job}"
         files.create_dir(staged, recursive=True)
         names: list[str] = []
-        out, index, offset = None, [], 0
+        out, index, offset = None, bytearray(), 0
 
         def finish() -> None:
             if out is not None:
                 out.close()
-                with files.open_output_stream(f"{staged}/{names[-1]}.idx", compression=None) as lines:
-                    lines.write("".join(f"[{a}, {b}]\n" for a, b in index).encode())
+                with files.open_output_stream(f"{staged}/{names[-1]}{INDEX}", compression=None) as places:
+                    places.write(bytes(index))
 
         for batch in iterator:
             ids, uris, refs, payloads = (batch.column(batch.schema.get_field_index(c)) for c in ("record_id", "target_uri", "refers_to", "payload"))
@@ -304,12 +317,12 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or offset >= self.most:
                     finish()
                     names.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, index, offset = files.open_output_stream(f"{staged}/{names[-1]}", compression=None), [], 0
+                    out, index, offset = files.open_output_stream(f"{staged}/{names[-1]}", compression=None), bytearray(), 0
                 packer = zlib.compressobj(self.level, zlib.DEFLATED, 31)
                 raw = record_bytes(ids[i].as_py(), uris[i].as_py(), payloads[i].as_py() or b"", refs[i].as_py(), self.at)
                 member = packer.compress(raw) + packer.flush()
                 out.write(member)
-                index.append((offset, len(member)))
+                index += ENTRY.pack(offset, len(member))
                 offset += len(member)
         finish()
         return Wrote(names)
@@ -322,7 +335,7 @@ class WarcWriter(DataSourceArrowWriter):
                     files.delete_file(old.path)
         for message in messages:
             for name in message.names if message else []:
-                for suffix in (".idx", ""):  # an archive is visible only once its index is
+                for suffix in (INDEX, ""):  # an archive is visible only once its index is
                     files.move(f"{root}/_staged-{self.job}/{name}{suffix}", f"{root}/{name}{suffix}")
         files.create_dir(root, recursive=True)
         self._clear(files, root)
