@@ -222,18 +222,15 @@ def test_the_network_starts_from_all_training_texts(spark, documents, monkeypatc
     seen = []
     fit = lm.fit
 
-    def spy(texts, *rest, gather, **named):
-        def kept(model):
-            seen.append((len(texts), model.subwords, model.number, gather(model)))
-            return seen[0][3]
-
-        return fit(texts, *rest, gather=kept, **named)
+    def spy(model, texts, *rest, started, **named):
+        seen.append((len(texts), model, started))
+        return fit(model, texts, *rest, started=started, **named)
 
     monkeypatch.setattr(lm, "fit", spy)
     lm.score_documents(documents, steps=1, sample_docs=20)
-    ((n, subwords, number, got),) = seen
+    ((n, model, got),) = seen
     whole = [r for r in documents.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
-    lists = [number[np.array([i for w in lm._split(r["text"].encode()) for i in subwords.ids([w])[0].tolist()] + [lm.END])] for r in whole]
+    lists = [model.number[np.array([i for w in lm._split(r["text"].encode()) for i in model.subwords.ids([w])[0].tolist()] + [lm.END])] for r in whole]
     assert n < len(whole) / 2 and (got == sum(lm.id_counts(s, np.array([len(s)])) for s in lists)).all()
 
 
