@@ -186,9 +186,12 @@ def safe_component(text: Column) -> Column:
 
 
 def redacted(text: Column, most: int = 300) -> Column:
-    """Secret query parameters masked, queries of links dropped, bounded."""
-    out = F.regexp_replace(text, f"(?i)\\b({'|'.join(SECRET_KEYS)})=([^&\\s\"']+)", "$1=[redacted]")
-    return F.substring(F.regexp_replace(out, "(https?://[^\\s?]+)\\?\\S*", "$1"), 1, most)
+    """A diagnostic on one line: links keep scheme, host and path only, secret parameters are masked, bounded."""
+    line = F.trim(F.regexp_replace(text, "\\s+", " "))
+    low = F.regexp_replace(F.regexp_replace(line, "(?i)\\bhttps://", "https://"), "(?i)\\bhttp://", "http://")
+    bare = F.regexp_replace(low, "\\b(https?)://(?:[^\\s/?#]*@)?([^\\s/?#]*)([^\\s?#]*)(?:[?#]\\S*)?", "$1://$2$3")
+    rooted = F.regexp_replace(bare, "\\b(https?://[^\\s/]+)(?=\\s|$)", "$1/")
+    return F.substring(F.regexp_replace(rooted, f"(?i)\\b({'|'.join(SECRET_KEYS)})=([^&\\s\"']+)", "$1=[redacted]"), 1, most)
 
 
 def neutralised(text: Column) -> Column:

@@ -3,20 +3,36 @@
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import parse_qsl, urlsplit
+import re
+from functools import reduce
+from operator import or_
+from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 # Query parameters that only track the visitor.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "igshid", "si", "ref")
 # Hosts and paths of shared platforms, and the form of an address.
 ACCESS_KINDS = ("web", "whois", "offline", "unknown")
 KNOWN_HOSTS = ("facebook.com", "instagram.com", "tiktok.com", "g.page", "goo.gl", "maps.app.goo.gl", "maps.google.com", "google.com", "play.google.com", "apps.apple.com")
-SHARED_HOSTS = {"facebook.com": "facebook", "m.facebook.com": "facebook", "instagram.com": "instagram", "tiktok.com": "tiktok", "google.com": "google_maps", "maps.google.com": "google_maps", "maps.app.goo.gl": "google_maps", "goo.gl": "google_maps", "g.page": "google_maps", "play.google.com": "marketplace", "apps.apple.com": "marketplace"}
-RESERVED_SEGMENTS = ("groups", "marketplace", "watch", "reel", "reels", "photo", "photos", "story", "events", "pages", "video", "videos", "posts", "share", "hashtag", "p", "explore", "stories")
+# First path segments of the social network that are no account, roots of sites by language, and hosts
+# of offices and help pages, which are no identity of an entity.
+RESERVED_SEGMENTS = ("profile.php", "pages", "groups", "watch", "events", "marketplace", "video")
+LANGUAGE_ROOTS = ("ar", "en", "ar-eg", "en-eg", "eg-ar", "eg-en", "eg")
+QUARANTINED_HOSTS = ("cpa.gov.eg", "shakwa.cpa-mobile.com", "support.apple.com")
+# What an identifier of each kind says of its owner.
+ROLES = {
+    "phone": "contact", "whatsapp": "contact", "email": "contact", "website": "owned_site", "facebook": "social_profile", "instagram": "social_profile", "tiktok": "social_profile",
+    "marketplace": "marketplace_profile", "google_maps": "location", "address": "location", "commercial_register": "registration",
+}
+# Sites of social networks, and hosts and paths of places.
+SOCIAL = {"facebook.com": "facebook", "instagram.com": "instagram", "tiktok.com": "tiktok"}
+PLACES = (("g.page", "/"), ("goo.gl", "/maps"), ("maps.app.goo.gl", "/maps"), ("google.com", "/maps"), ("google.com", "/place"), ("maps.google.com", "/maps"), ("maps.google.com", "/place"))
+_SCHEME = re.compile(r"[a-z][a-z0-9+.-]*://", re.I)
+_DIGITS = {0x660 + i: str(i) for i in range(10)} | {0x6F0 + i: str(i) for i in range(10)}
 EMAIL = "^[^\\s@/]+@[^\\s@/]+\\.[^\\s@/]{2,}$"
 
 
@@ -77,22 +93,29 @@ def depth(url: Column) -> Column:
 
 def is_language_root(url: Column) -> Column:
     s = segments(url)
-    return (F.size(s) == 1) & F.coalesce(F.lower(F.try_element_at(s, F.lit(1))).rlike("^(en|ar|fr|de|es)(-[a-z]{2})?$"), F.lit(False))
+    return (F.size(s) == 1) & F.coalesce(F.lower(F.try_element_at(s, F.lit(1))).isin(*LANGUAGE_ROOTS), F.lit(False))
 
 
 def is_redirect_to_home(url: Column, final: Column) -> Column:
-    return (depth(url) > 0) & ((depth(final) == 0) | is_language_root(final)) & (host(url) == host(final))
+    """From a page at least two segments deep to the root of a site or of one of its languages, or one segment."""
+    return (depth(url) > 1) & ((depth(final) <= 1) | is_language_root(final))
 
 
 def is_deeper_url(url: Column, final: Column) -> Column:
-    return (host(url) == host(final)) & (depth(final) > depth(url))
+    return ~is_language_root(final) & (depth(final) > depth(url))
+
+
+def is_social_host(url: Column) -> Column:
+    return F.coalesce(bare_host(url).rlike("(^|\\.)(facebook|fb)\\.com$"), F.lit(False))
 
 
 def is_vendor_page(url: Column) -> Column:
-    """A page of one account of the social network, by the form of its path."""
-    s = segments(url)
-    first = F.lower(F.try_element_at(s, F.lit(1)))
-    return F.coalesce(host(url).rlike("(^|\\.)facebook\\.com$") & (F.size(s) >= 1) & ~first.isin(*RESERVED_SEGMENTS), F.lit(False))
+    """A page of one account of the social network, which names no single post."""
+    low = F.lower(path(url))
+    named = reduce(or_, [F.contains(low, F.lit(x)) for x in ("/mentions", "/photos", "/plugins/", "/about")])
+    post = reduce(or_, [F.contains(low, F.lit(x)) for x in ("/posts/", "/videos/", "/reel/")])
+    referred = F.contains(F.lower(url), F.lit("ref=")) & ~post
+    return is_social_host(url) & (named | referred | (depth(url) <= 1) | low.startswith("/p/") | low.startswith("/people/"))
 
 
 def group_slug(url: Column) -> Column:
@@ -116,35 +139,61 @@ def input_kind(text: Column) -> Column:
     )
 
 
-@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("kind", "host", "account_key", "path_key", "origin_key")]))
+def _site(name: str, *of: str) -> bool:
+    return any(name == x or name.endswith("." + x) for x in of)
+
+
+def _keyed(kind: str, where: str, rest: str, keys: list[str], origin: str | None, external: bool) -> dict[str, object]:
+    return {"kind": kind, "normalized": f"https://{where}{rest}", "schemeless": f"{where}{rest}".lower(), "host": where, "path_keys": list(dict.fromkeys(keys)), "origin_key": origin, "external": external}
+
+
+def link_keys(raw: str | None) -> dict[str, object] | None:
+    """Kind, canonical form and keys of a link that somebody searches for or that is stored; None for what is none.
+
+    Accounts of social networks go by their first path segment (the id of the query for numbered profiles, the
+    whole path behind a reserved segment), places and apps by their path, other sites by path and by host.
+    """
+    text = (raw or "").strip().translate(_DIGITS)
+    try:
+        parts = urlsplit(text if _SCHEME.match(text) else f"https://{text}")
+        name = (parts.hostname or "").lower()
+    except ValueError:
+        return None
+    if "." not in name or any(c.isspace() for c in name):
+        return None
+    name = name.removeprefix("www.")
+    trail, way, asked = [s for s in parts.path.split("/") if s], parts.path.rstrip("/"), parse_qsl(parts.query, keep_blank_values=True)
+    identity = {k: v for k, v in asked if k.lower() == "id"}
+    kept = f"?{urlencode(identity)}" if identity else ""
+    external = name in QUARANTINED_HOSTS
+    first = trail[0] if trail else ""
+    if first and _site(name, *SOCIAL):
+        kind = next(k for site, k in SOCIAL.items() if _site(name, site))
+        home, number = f"{kind}.com", dict(asked).get("id", "")
+        if kind == "facebook" and first == "profile.php" and number:
+            account = f"profile.php?id={number}"
+            return _keyed(kind, home, f"/{account}", [f"{home}/{account}".lower()], None, external)
+        if kind == "facebook" and first.lower() in RESERVED_SEGMENTS:
+            return _keyed(kind, home, way, [f"{home}{way}".lower()], None, external)
+        account = first.lower() if kind == "instagram" else f"@{first.removeprefix('@')}" if kind == "tiktok" else first
+        return _keyed(kind, home, f"/{account}", [f"{home}/{account}".lower(), f"{home}{way}".lower()], None, external)
+    if way and any(name == h and way.startswith(p) for h, p in PLACES):
+        return _keyed("google_maps", name, way, [f"{name}{way}".lower()], None, external)
+    if name == "play.google.com" and way.startswith("/store/apps/"):
+        return _keyed("marketplace", name, way + kept, [f"{name}{way}{kept}".lower()], None, external)
+    if name == "apps.apple.com" and re.search(r"/id\d+", way):
+        return _keyed("marketplace", name, way, [f"{name}{way}".lower()], None, external)
+    full = f"{way}{kept}" if trail or parts.query else ""
+    return _keyed("website", name, full, [f"{name}{full}".lower(), name], name, external)
+
+
+_LINK = StructType([StructField(n, ArrayType(StringType()) if n == "path_keys" else BooleanType() if n == "external" else StringType()) for n in ("kind", "normalized", "schemeless", "host", "path_keys", "origin_key", "external")])
+
+
+@F.pandas_udf(_LINK)
 def query_url(urls: pd.Series) -> pd.DataFrame:
-    """Keys under which a link that somebody searches for may be known; nulls for what is no link."""
-
-    def keys(raw: str | None) -> tuple:
-        if not raw or not raw.strip():
-            return (None,) * 5
-        text = raw.strip()
-        try:
-            parts = urlsplit(text if "://" in text else f"https://{text}")
-            name = (parts.hostname or "").lower()
-        except ValueError:
-            return (None,) * 5
-        name = name[4:] if name.startswith("www.") else name
-        if "." not in name:
-            return (None,) * 5
-        name = "facebook.com" if name in ("m.facebook.com", "web.facebook.com", "fb.com") else name
-        kind, trail = SHARED_HOSTS.get(name, "website"), [s for s in parts.path.split("/") if s]
-        account = None
-        if kind == "facebook" and trail[:1] == ["profile.php"]:
-            account = dict(parse_qsl(parts.query)).get("id")
-        elif kind in ("facebook", "instagram") and trail and trail[0].lower() not in RESERVED_SEGMENTS:
-            account = trail[0].lower()
-        elif kind == "tiktok" and trail and trail[0].startswith("@"):
-            account = trail[0][1:].lower()
-        full = f"https://{name}/{'/'.join(trail)}".rstrip("/").lower()
-        return kind, name, f"{name}/{account}" if account else None, full, None if name in SHARED_HOSTS else f"https://{name}"
-
-    return pd.DataFrame([keys(u) for u in urls], columns=["kind", "host", "account_key", "path_key", "origin_key"])
+    """``link_keys`` of each link; nulls for what is none."""
+    return pd.DataFrame([k or dict.fromkeys(_LINK.names) for k in map(link_keys, urls)], columns=_LINK.names)
 
 
 @F.pandas_udf(BooleanType())
@@ -184,15 +233,21 @@ def query_phone(text: Column) -> Column:
     return F.when(full.rlike("^20(1[0125][0-9]{8}|[2-9][0-9]{8})$"), F.concat(F.lit("+"), full))
 
 
-def identifier_role(kind: Column, value: Column, quarantined: tuple[str, ...] = ("support.apple.com", "play.google.com", "apps.apple.com")) -> Column:
-    """high_signal, supporting, weak or external_reference."""
-    outside = kind.isin("website", "marketplace") & host(value).isin(*quarantined)
-    return F.when(outside, "external_reference").when(kind.isin("phone", "whatsapp", "legal_id", "website"), "high_signal").when(kind.isin("email", "facebook", "instagram", "tiktok", "google_maps", "marketplace"), "supporting").otherwise("weak")
+def bare_host(url: Column) -> Column:
+    """Lower-case host without www., user and port; empty if there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]+)", 1)), "^www\\.", "")
+
+
+def identifier_role(kind: Column, value: Column) -> Column:
+    """The role of an identifier by its kind; external_reference for a link of an office or a help page."""
+    role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    return F.when(kind.isin("website", "marketplace") & bare_host(value).isin(*QUARANTINED_HOSTS), "external_reference").otherwise(F.try_element_at(role, kind))
 
 
 def is_searchable_identifier(kind: Column, value: Column) -> Column:
     """Whether a stored identifier may be found by search (and shown): no quarantined host, a valid shape."""
-    phone = value.rlike("^\\+20") & F.regexp_replace(value, "\\D", "").rlike("^20(1[0125][0-9]{8}|[2-9][0-9]{8})$")
-    pathless = host(value).isin(*SHARED_HOSTS) & (F.regexp_replace(path(value), "/", "") == "")
-    shape = F.when(kind.isin("phone", "whatsapp"), phone).when(kind == "website", host(value) != "").when(kind.isin("marketplace", "facebook", "instagram", "tiktok", "google_maps"), (host(value) != "") & ~pathless).when(kind == "email", F.contains(value, F.lit("@")) & F.contains(value, F.lit("."))).otherwise(F.lit(True))
-    return (identifier_role(kind, value) != "external_reference") & shape
+    phone = value.startswith("+20") & F.regexp_replace(value, "\\D", "").rlike("^20(1[0125][0-9]{8}|[2-9][0-9]{8})$")
+    named = F.contains(bare_host(value), F.lit("."))
+    pathless = bare_host(value).isin(*KNOWN_HOSTS) & path(value).isin("", "/")
+    shape = F.when(kind.isin("phone", "whatsapp"), phone).when(kind == "website", named).when(kind.isin("marketplace", "facebook", "instagram", "tiktok", "google_maps"), named & ~pathless).when(kind == "email", F.contains(value, F.lit("@")) & F.contains(value, F.lit("."))).otherwise(F.lit(True))
+    return (F.coalesce(identifier_role(kind, value), F.lit("")) != "external_reference") & shape

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Aliases of enumerated values in incoming payloads.
-BAND_ALIASES = {"moderate": "medium", "high": "strong", "low": "weak", "very strong": "very_strong"}
+BAND_ALIASES = {"moderate": "medium", "high": "strong", "low": "weak", "very_high": "very_strong", "very strong": "very_strong"}
 SENTIMENT_ALIASES = {"mixed": "neutral", "pos": "positive", "neg": "negative"}
 BANDS = ("weak", "medium", "strong", "very_strong")
 SENTIMENTS = ("positive", "negative", "neutral")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.operators.components import connected, shared_key_links
 from tallystone.sources.exports import cut
 
 
@@ -19,17 +20,9 @@ def keepers_by_url(evidence: DataFrame) -> DataFrame:
 
 def content_components(rows: DataFrame, group: str, keys: list[str], id_col: str) -> DataFrame:
     """``rows`` with ``component``: rows of one group that share a key, directly or through others, have the least
-    id among them. Labels spread by key until they stand still; each round is written, so its work isn't repeated."""
-    now = cut(rows.withColumn("component", F.col(id_col)))
-    while True:
-        spread = now
-        for key in keys:
-            spread = spread.withColumn("component", F.min("component").over(Window.partitionBy(group, key)))
-        after = cut(spread.withColumn("_moved", F.col("component") != F.min(F.col("component")).over(Window.partitionBy(group, keys[0]))))
-        changed = after.where("_moved").limit(1).count()
-        now = after.drop("_moved")
-        if not changed:
-            return now
+    id among them; a null key links nothing."""
+    found = connected(shared_key_links(rows, group, keys, id_col)).withColumnRenamed("id", id_col)
+    return rows.join(found, id_col, "left").withColumn("component", F.coalesce("component", id_col))
 
 
 def rooted(rows: DataFrame, group: str, id_col: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions.urls import canonical_url, is_http_url
+from tallystone.operators.numbering import numbered
 
 COVERAGE = ("none", "limited", "moderate", "broad")
 PAGE_SIZE = 20
@@ -83,9 +84,8 @@ def matching(rows: DataFrame, *, tag: str | None = None, governorate: str | None
 def page(rows: DataFrame, number: int, order: list[Column], size: int = PAGE_SIZE) -> DataFrame:
     """The rows of one page with the totals of all; a page beyond the last has no rows."""
     total = rows.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / size).cast("long"))
-    some = rows.orderBy(*order).limit(number * size)
-    ranked = some.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("position") > (number - 1) * size)
-    return ranked.join(F.broadcast(total))  # one row
+    on = numbered(rows, "position", *order).where(F.col("position").between((number - 1) * size + 1, number * size))
+    return on.join(F.broadcast(total))  # one row
 
 
 def facets(rows: DataFrame, column: str) -> DataFrame:

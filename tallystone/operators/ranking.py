@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.operators.numbering import numbered
+
 PRIORITIES = ("critical", "high", "medium", "low")
 # Claim types that a summary shows first, and second.
 FIRST_CLAIMS = ("official_warning",)
@@ -53,33 +56,31 @@ def balanced(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     return rows.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", group).limit(n)
 
 
-def _index(key: str) -> Column:
-    # an order over all rows: for work queues, whose rows are few
-    return F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)) - 1
-
-
 def dealt(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """Rows dealt to n agents in turns."""
-    return rows.withColumn("agent", F.pmod(_index(key), F.lit(n)).cast("int"))
+    """Rows dealt to n agents in turns, in order of a key without repeats."""
+    return numbered(rows, "agent", key).withColumn("agent", F.pmod(F.col("agent") - 1, F.lit(n)).cast("int"))
 
 
 def chunked(rows: DataFrame, key: str, size: int) -> DataFrame:
-    return rows.withColumn("chunk", F.floor(_index(key) / F.lit(size)).cast("int"))
+    return numbered(rows, "chunk", key).withColumn("chunk", F.floor((F.col("chunk") - 1) / F.lit(size)).cast("int"))
 
 
 def packed(rows: DataFrame, key: str, size: str, bins: int) -> DataFrame:
-    """(key, size, bin): longest first, each to the emptiest bin so far, ties to the first. One sequential group,
-    for work lists of a size that one task holds."""
+    """(key, size, bin): longest first, each to the emptiest bin so far, ties to the first.
+
+    Which bin a row gets depends on all before it, so one task deals them, in order, with the bins' loads as its
+    only state; rows pass through it in batches and aren't held.
+    """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heap = [(0, b) for b in range(bins)]
-        pdf = pdf.sort_values([size, key], ascending=[False, True], kind="stable").reset_index(drop=True)
-        places = []
-        for n in pdf[size]:
-            load, b = heapq.heappop(heap)
-            places.append(b)
-            heapq.heappush(heap, (load + int(n), b))
-        return pdf.assign(bin=places)
+        for pdf in batches:
+            places = []
+            for n in pdf[size]:
+                load, b = heap[0]
+                places.append(b)
+                heapq.heapreplace(heap, (load + int(n), b))
+            yield pdf.assign(bin=places)
 
     kept = rows.select(F.col(key).cast("long").alias(key), F.col(size).cast("long").alias(size))
-    return kept.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda pdf: pack(pdf[[key, size]]), f"{key} long, {size} long, bin int")
+    return kept.repartition(1).sortWithinPartitions(F.col(size).desc(), key).mapInPandas(pack, f"{key} long, {size} long, bin int")

@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import text as T
+from tallystone.functions.urls import input_kind, is_searchable_identifier, query_phone, query_url
+from tallystone.sources.exports import cut
 
 # Ranks of the ways in which a query can match, best first.
 TIERS = ("exact_identifier", "exact_name", "exact_alias", "normalized_variant", "partial_name", "category", "claim", "evidence", "source", "typo")
 VIEWS = ("all", "positive")
+PLACE_KINDS = ("address", "commercial_register")
+# The letter that a query may begin a word with, and labels of what a hit matched on, Arabic and English.
+CONJUNCTION = "\u0648"
+LABELS = {
+    "commercial_register": ("سجل تجاري", "Commercial register"),
+    "address": ("عنوان", "Address"),
+    "phone": ("هاتف", "Phone"),
+    "whatsapp": ("واتساب", "WhatsApp"),
+    "email": ("بريد إلكتروني", "Email"),
+    "facebook": ("صفحة فيسبوك", "Facebook page"),
+    "instagram": ("حساب إنستغرام", "Instagram account"),
+    "tiktok": ("حساب تيك توك", "TikTok account"),
+    "website": ("الموقع الرسمي", "Official website"),
+    "marketplace": ("متجر إلكتروني", "Online store / Marketplace"),
+    "google_maps": ("موقع على الخرائط", "Google Maps location"),
+    "website-host": ("تطابق نطاق الموقع", "Website domain match"),
+    "marketplace-host": ("تطابق نطاق متجر إلكتروني", "Marketplace domain match"),
+    "exact_name": ("تطابق اسم تام", "Exact name match"),
+    "exact_alias": ("تطابق اسم بديل", "Exact alias match"),
+    "normalized_variant": ("صيغة قريبة من الاسم", "Normalized name variant"),
+    "partial_name": ("تطابق جزئي في الاسم", "Partial name match"),
+    "category": ("تصنيف", "Category"),
+    "claim": ("ادعاء موثق", "Documented claim"),
+    "evidence": ("دليل مسجل", "Recorded evidence"),
+    "source": ("مصدر", "Source"),
+    "typo": ("تشابه تقريبي في الاسم", "Approximate name match"),
+}
 
 
-def validated_query(given: dict[str, object]) -> dict[str, object] | str:
-    """The cleaned parameters of a directory query, or the name of the first parameter that is wrong."""
-    query = given.get("query", "")
-    if not isinstance(query, str) or len(query) > 160 or re.search(r"[\x00-\x1f\x7f]", query):
-        return "query"
-    page = given.get("page", 1)
-    if not isinstance(page, int) or isinstance(page, bool) or not 1 <= page <= 2**53 - 1:
-        return "page"
-    view = given.get("view", "all")
-    if view not in VIEWS:
-        return "view"
-    return {"query": " ".join(query.split()).lower(), "page": page, "view": view}
+def query_problem(query: Column, page: Column, view: Column) -> Column:
+    """The first parameter of a directory request (as texts, null: not given) that is wrong, or null."""
+    text, number = F.coalesce(query, F.lit("")), F.coalesce(page, F.lit("1"))
+    whole = F.when(number.rlike("^[0-9]{1,16}$"), number.cast("long"))
+    return (
+        F.when((F.length(text) > 160) | text.rlike("[\\x00-\\x1f\\x7f]"), "query")
+        .when(~F.coalesce(whole.between(1, 2**53 - 1), F.lit(False)), "page")
+        .when(~F.coalesce(view, F.lit("all")).isin(*VIEWS), "view")
+    )
+
+
+def cleaned_query(query: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), "\\s+", " ")))
 
 
 def canonical_query(query: Column, city: Column, page: Column) -> Column:
@@ -88,45 +118,223 @@ def partial_matches(asked: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 
 def ranked(hits: DataFrame, key: str) -> DataFrame:
-    """Best hit of each entity per query, in the order of the six ranking keys, with the ambiguity flag."""
-    order = ["tier", "fuzzy", "extra", "distance", F.col("confidence").desc(), key]
-    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", key).orderBy(*order))).where("_r = 1").drop("_r")
+    """Best hit of each entity per query, in the order of the six ranking keys, with the ambiguity flag; of hits that
+    are equal in these the first by way and value counts."""
+    order = ["tier", "fuzzy", "extra", "distance"]
+    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", key).orderBy(*order, "matched_on", "matched_value"))).where("_r = 1").drop("_r")
     by = Window.partitionBy("query_id")
-    placed = best.withColumn("rank", F.row_number().over(by.orderBy(*order))).withColumn("best", F.min("tier").over(by))
+    placed = best.withColumn("rank", F.row_number().over(by.orderBy(*order, F.col("confidence").desc(), key))).withColumn("best", F.min("tier").over(by))
     return placed.withColumn("ambiguous", F.count_if(F.col("tier") == F.col("best")).over(by) > 1).drop("best")
 
 
-def search(queries: DataFrame, names: DataFrame, aliases: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Rank a batch of queries (query_id, query) against entities.
+# ---------------------------------------------------------------- index
+
+
+@dataclass(frozen=True)
+class Index:
+    """What searches look things up in; ``build_index`` makes it, ``stored`` writes it once for many searches."""
+
+    entities: DataFrame  # merchant_id, confidence
+    exact: DataFrame  # way, form, merchant_id, value: identifiers, names and aliases by their exact and loose forms
+    links: DataFrame  # key, merchant_id, value: keys of links, bare hosts of entities' own sites among them
+    hosts: DataFrame  # key, owners, one_family: who owns the site of a bare host
+    candidates: DataFrame  # candidate_id, merchant_id, kind, display, tokens
+    postings: DataFrame  # token, candidate_id, named: distinct tokens of candidates
+    words: DataFrame  # token, holders: candidates that hold it
+    grams: DataFrame  # gram, token: runs of two and of three characters
+    trigrams: DataFrame  # trigram, token: padded ones, of tokens of names of four or more characters
+
+    def stored(self) -> Index:
+        """The index in the shared folder."""
+        return Index(**{f.name: cut(getattr(self, f.name)) for f in fields(self)})
+
+
+def _label(df: DataFrame, value: Column, kind: str | Column) -> DataFrame:
+    return df.select("merchant_id", value.alias("display"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"))
+
+
+def build_index(merchants: DataFrame, identifiers: DataFrame, aliases: DataFrame, claims: DataFrame, evidence: DataFrame, sources: DataFrame) -> Index:
+    """``merchants``: merchant_id, name, category, confidence; ``identifiers``: merchant_id, kind, normalized;
+    ``aliases``: merchant_id, alias; ``claims``: merchant_id, summary; ``evidence``: merchant_id, summary,
+    quoted_excerpt; ``sources``: merchant_id, url, label. Identifiers that mustn't be found are left out; blank
+    texts hold no tokens. Of several values of one form an owner keeps the least."""
+    value, kind = F.col("normalized"), F.col("kind")
+    shown = cut(identifiers.where(is_searchable_identifier(kind, value)).select("merchant_id", "kind", "normalized", query_url(value).alias("l")))
+    places = F.col("kind").isin(*PLACE_KINDS)
+    names = merchants.select("merchant_id", F.col("name").alias("value"), F.lit("exact_name").alias("way"))
+    called = names.unionByName(aliases.select("merchant_id", F.col("alias").alias("value"), F.lit("exact_alias").alias("way")))
+    by_form = lambda df, way, form: df.select(way.alias("way"), form.alias("form"), "merchant_id", "value")
+    valued = shown.withColumnRenamed("normalized", "value")
+    exact = (
+        by_form(valued, kind, F.lower("value"))
+        .unionByName(by_form(valued.where(places), kind, T.strict_name(F.col("value"))))
+        .unionByName(by_form(called, F.col("way"), T.strict_name(F.col("value"))))
+        .unionByName(by_form(called, F.lit("normalized_variant"), T.loose_name(F.col("value"))))
+    )
+    exact = exact.where("form <> ''").groupBy("way", "form", "merchant_id").agg(F.min("value").alias("value"))
+
+    own = F.col("kind") == "website"
+    keyed = shown.where("not l.external").select("merchant_id", "kind", F.col("normalized").alias("value"), F.explode("l.path_keys").alias("key"), F.col("l.origin_key").alias("origin"))
+    bare = F.coalesce(F.col("key") == F.col("origin"), F.lit(False))
+    links = keyed.where(~bare | own).groupBy("key", "merchant_id").agg(F.min("value").alias("value"), F.max(bare).alias("bare"))
+    owners = links.where("bare").groupBy("key").agg(F.count("*").alias("owners"), F.min("merchant_id").alias("first"))
+    brands = exact.where(F.col("way").isin("exact_name", "exact_alias")).select("merchant_id", F.col("form").alias("brand")).distinct()
+    several = links.where("bare").join(owners.where("owners > 1"), "key")
+    theirs = several.select("key", "merchant_id", "owners").join(brands, "merchant_id")
+    firsts = several.select("key", F.col("first").alias("merchant_id")).distinct().join(brands, "merchant_id").select("key", "brand")
+    family = theirs.join(firsts, ["key", "brand"], "left_semi").groupBy("key").agg((F.count_distinct("merchant_id") == F.first("owners")).alias("one_family"))
+    hosts = owners.join(family, "key", "left").select("key", "owners", F.coalesce("one_family", F.lit(False)).alias("one_family"))
+
+    joined = lambda *cs: F.concat_ws(" ", *[F.when(F.trim(x) != "", x) for x in map(F.col, cs)])
+    handles = shown.where(kind.isin("facebook", "instagram", "tiktok")).select("merchant_id", "normalized", F.explode("l.path_keys").alias("key"))
+    handles = handles.withColumn("handle", F.regexp_replace(F.split_part("key", F.lit("/"), F.lit(2)), "^@", "")).where(F.length("handle") >= 2)
+    texts = _label(called, F.col("value"), "name").unionByName(_label(shown.where(places), value, "address"))
+    for df, text, name in ((merchants, F.col("category"), "category"), (claims, F.col("summary"), "claim"), (evidence, joined("summary", "quoted_excerpt"), "evidence"), (sources, joined("label", "url"), "source")):
+        texts = texts.unionByName(_label(df, text, name))
+    loose, strict = T.loose_name(F.col("display")), T.strict_name(F.col("display"))
+    both = F.array_union(T.tokens(loose), T.tokens(strict))
+    held = texts.select("merchant_id", "kind", "display", F.when((F.col("kind") == "name") & (loose != strict), both).otherwise(T.tokens(loose)).alias("tokens"))
+    held = held.unionByName(handles.select("merchant_id", F.lit("name").alias("kind"), F.col("normalized").alias("display"), F.array(F.lower("handle")).alias("tokens")))
+    candidates = cut(held.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("candidate_id"), "merchant_id", "kind", "display", "tokens"))
+    postings = candidates.select("candidate_id", (F.col("kind") == "name").alias("named"), F.explode(F.array_distinct("tokens")).alias("token"))
+    words = postings.groupBy("token").agg(F.count("*").alias("holders"), F.max("named").alias("named"))
+    return Index(
+        entities=merchants.select("merchant_id", "confidence"),
+        exact=exact,
+        links=links.select("key", "merchant_id", "value"),
+        hosts=hosts,
+        candidates=candidates,
+        postings=postings,
+        words=words.select("token", "holders"),
+        grams=words.where(F.length("token") >= 2).select("token", F.explode(F.array_distinct(F.concat(runs(F.col("token"), 2), runs(F.col("token"), 3)))).alias("gram")),
+        trigrams=words.where(F.col("named") & (F.length("token") >= 4)).select("token", F.explode(F.array_distinct(T.trigrams(F.col("token")))).alias("trigram")),
+    )
+
+
+def runs(token: Column, n: int) -> Column:
+    """All runs of n characters of a token."""
+    return F.when(F.length(token) >= n, F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)), lambda i: F.substring(token, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+# ---------------------------------------------------------------- search
+
+
+def _tier(name: str) -> Column:
+    return F.lit(TIERS.index(name))
+
+
+def _plain(df: DataFrame, tier: Column, way: Column) -> DataFrame:
+    """Hits without anything missing."""
+    return df.select("query_id", "merchant_id", tier.alias("tier"), way.alias("matched_on"), F.col("value").alias("matched_value"), *[F.lit(0).alias(x) for x in ("fuzzy", "extra", "distance")])
+
+
+def classified(queries: DataFrame) -> DataFrame:
+    """(query_id, query, kind, l, phone, diagnostic) of queries (query_id, query): the kind of input, the keys of a
+    link, the number of a phone. Links of offices and help pages get no hits, whatever their form."""
+    rows = queries.select("query_id", "query", input_kind(F.col("query")).alias("kind"), query_url(F.col("query")).alias("l"), query_phone(F.col("query")).alias("phone"))
+    rows = rows.withColumn("external", F.coalesce("l.external", F.lit(False)))
+    wrong = (F.col("kind") == "phone") & F.col("phone").isNull() & ~F.col("external")
+    return rows.withColumn("diagnostic", F.when(wrong, "invalid_egyptian_phone"))
+
+
+def by_identifier(asked: DataFrame, index: Index) -> DataFrame:
+    """Hits of phones, addresses of mail, and links. A bare host counts for the one owner of its site, or for several
+    of one family of names."""
+    first = _tier("exact_identifier")
+    number = asked.where("kind = 'phone'").select("query_id", F.col("phone").alias("form")).join(index.exact.where(F.col("way").isin("phone", "whatsapp")), "form")
+    mail = asked.where("kind = 'email'").select("query_id", F.lower(F.trim("query")).alias("form")).join(index.exact.where("way = 'email'"), "form")
+    link = asked.where("kind = 'url' and l is not null").select("query_id", F.col("l.kind").alias("way"), F.col("l.path_keys").alias("keys"), F.col("l.origin_key").alias("origin"))
+    keys = link.select("query_id", "way", F.explode(F.array_except("keys", F.array("origin"))).alias("key"))
+    site = link.where("origin is not null").select("query_id", F.col("origin").alias("key")).join(index.hosts.where("owners = 1 or one_family"), "key").join(index.links, "key")
+    host = F.when(F.col("owners") == 1, "website").otherwise("website-host")
+    found = _plain(number, first, F.col("way")).unionByName(_plain(mail, first, F.col("way")))
+    return found.unionByName(_plain(keys.join(index.links, "key"), first, F.col("way"))).unionByName(_plain(site, first, host))
+
+
+def by_form(text: DataFrame, index: Index) -> DataFrame:
+    """Hits of names (query_id, query, loose) in their exact and loose forms; a leading conjunction letter may be
+    dropped where the rest is plausible, for the loose form only."""
+    strict = text.select("query_id", T.strict_name(F.col("query")).alias("form"))
+    tiers = F.when(F.col("way").isin(*PLACE_KINDS), _tier("exact_identifier")).when(F.col("way") == "exact_name", _tier("exact_name")).otherwise(_tier("exact_alias"))
+    exact = _plain(strict.join(index.exact.where(F.col("way").isin(*PLACE_KINDS, "exact_name", "exact_alias")), "form"), tiers, F.col("way"))
+    rests = text.select("query_id", F.explode(T.tokens(F.col("loose"))).alias("t")).where(F.col("t").startswith(CONJUNCTION)).select("query_id", F.expr("substr(t, 2)").alias("token"))
+    known = rests.join(index.words.select("token"), "token", "left_semi").groupBy("query_id").agg(F.collect_set("token").alias("known"))
+    forms = text.join(known, "query_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    forms = forms.select("query_id", F.explode(F.array_distinct(F.concat(F.array("loose"), T.conjunction_variants(F.col("loose"), F.col("known"))))).alias("form"))
+    return exact.unionByName(_plain(forms.join(index.exact.where("way = 'normalized_variant'"), "form"), _tier("normalized_variant"), F.col("way")))
+
+
+def holding(tokens: DataFrame, index: Index) -> DataFrame:
+    """(token, found, holders): the words of the index that contain a token; of a token of one letter only itself.
+    Tokens and words meet by the token's rarest run of characters."""
+    asked = tokens.select("token").distinct()
+    run = F.when(F.length("token") >= 3, runs(F.col("token"), 3)).otherwise(runs(F.col("token"), 2))
+    sizes = index.grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.where(F.length("token") >= 2).select("token", F.explode(run).alias("gram")).join(sizes, "gram", "left")
+    rarest = rarest.groupBy("token").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    found = rarest.join(index.grams.withColumnRenamed("token", "found"), "gram").where(F.contains("found", F.col("token"))).select("token", "found")
+    single = asked.where(F.length("token") == 1).select("token", F.col("token").alias("found"))
+    return found.unionByName(single).join(index.words.withColumnRenamed("token", "found"), "found").select("token", "found", "holders")
+
+
+def by_part(text: DataFrame, index: Index) -> DataFrame:
+    """Hits of candidates of which some word contains each token of the query (query_id, asked: distinct tokens).
+
+    Candidates come from the token that the fewest hold, and are then checked for the others. A token of one letter
+    must be a whole word somewhere among the entity's candidates.
+    """
+    each = text.select("query_id", "asked", F.explode("asked").alias("token"))
+    found = cut(holding(each, index))
+    weight = found.groupBy("token").agg(F.sum("holders").alias("weight"))
+    single = F.length("token") == 1
+    lead = each.join(weight, "token").groupBy("query_id").agg(F.min_by("token", F.struct(single, F.col("weight"), F.col("token"))).alias("token"), F.count("*").alias("there"), F.first("asked").alias("asked"))
+    lead = lead.where(F.col("there") == F.size("asked"))
+    started = lead.join(found, "token").join(index.postings.select(F.col("token").alias("found"), "candidate_id"), "found").select("query_id", "asked", "candidate_id", single.alias("single")).distinct()
+    # where all tokens have one letter, the entities that own the first, with all their candidates
+    owners = started.where("single").join(index.candidates.select("candidate_id", "merchant_id"), "candidate_id").select("query_id", "asked", "merchant_id").distinct()
+    pool = started.where("not single").select("query_id", "asked", "candidate_id").join(index.candidates, "candidate_id")
+    pool = pool.unionByName(owners.join(index.candidates, "merchant_id").select(*pool.columns))
+    whole = pool.where(F.forall("asked", lambda t: F.exists("tokens", lambda x: F.contains(x, t))))
+    letters = F.filter("asked", lambda t: F.length(t) == 1)
+    lone = whole.where(F.size(letters) > 0).select("query_id", "merchant_id", F.explode(letters).alias("token")).distinct()
+    owned = index.postings.join(lone.select("token").distinct(), "token", "left_semi").join(index.candidates.select("candidate_id", "merchant_id"), "candidate_id").select("token", "merchant_id").distinct()
+    short = lone.join(owned, ["token", "merchant_id"], "left_anti").select("query_id", "merchant_id").distinct()
+    whole = whole.join(short, ["query_id", "merchant_id"], "left_anti")
+    exact = F.size(F.filter("asked", lambda t: F.array_contains("tokens", t)))
+    named = F.col("kind").isin("name", "address")
+    tier = F.when(named, _tier("partial_name")).otherwise(F.array_position(F.array(*map(F.lit, TIERS)), F.col("kind")).cast("int") - 1)
+    way = F.when(F.col("kind") == "name", "partial_name").otherwise(F.col("kind"))
+    return whole.select("query_id", "merchant_id", tier.alias("tier"), way.alias("matched_on"), F.col("display").alias("matched_value"), (F.size("asked") - exact).alias("fuzzy"), F.greatest(F.lit(0), F.size("tokens") - F.size("asked")).alias("extra"), F.lit(0).alias("distance"))
+
+
+def by_typo(text: DataFrame, index: Index) -> DataFrame:
+    """Hits of names that hold all tokens of the query but one (two of three or more), and nearly hold those."""
+    each = text.select(F.explode("asked").alias("token")).distinct()
+    grams = each.select("token", F.explode(F.array_distinct(T.trigrams(F.col("token")))).alias("trigram"))
+    most = lambda t: F.when(F.length(t) >= 8, 2).otherwise(1)
+    near = grams.join(index.trigrams.withColumnRenamed("token", "found"), "trigram").where(F.abs(F.length("token") - F.length("found")) <= most("token")).select("token", "found").distinct()
+    near = near.where((F.levenshtein("token", "found") <= most("token")) & (F.col("token") != F.col("found")))
+    started = text.select("query_id", "asked", F.explode("asked").alias("token")).join(near, "token")
+    started = started.join(index.postings.where("named").select(F.col("token").alias("found"), "candidate_id"), "found").select("query_id", "asked", "candidate_id").distinct()
+    pool = started.join(index.candidates, "candidate_id").withColumn("missed", F.array_except("asked", "tokens"))
+    pool = pool.where((F.size("missed") >= 1) & (F.size("missed") <= F.when(F.size("asked") >= 3, 2).otherwise(1)))
+    close = lambda t: F.filter("tokens", lambda x: (F.length(x) >= 4) & (F.abs(F.length(x) - F.length(t)) <= most(t)))
+    pool = pool.withColumn("steps", F.transform("missed", lambda t: F.array_min(F.transform(close(t), lambda x: F.levenshtein(x, t)))))
+    pool = pool.where(F.forall(F.arrays_zip("missed", "steps"), lambda z: F.coalesce(z["steps"] <= most(z["missed"]), F.lit(False))))
+    covered = F.size(F.filter("tokens", lambda x: F.array_contains("asked", x)))
+    return pool.select("query_id", "merchant_id", _tier("typo").alias("tier"), F.lit("typo").alias("matched_on"), F.col("display").alias("matched_value"), F.size("missed").alias("fuzzy"), (F.size("tokens") - covered).alias("extra"), F.aggregate("steps", F.lit(0), lambda a, x: a + x).alias("distance"))
+
+
+def search(queries: DataFrame, index: Index, locale: str = "ar") -> DataFrame:
+    """The ranked hits of a batch of queries (query_id, query): best hit of each entity, its tier, what it matched on,
+    the value and the label of that, and whether the best tier of the query holds several entities.
 
-    ``names``: merchant_id, name, confidence; ``aliases``: merchant_id, alias; ``identifiers``: merchant_id,
-    normalized. Queries in the form of an identifier never match names.
+    Queries in the form of a phone, an address of mail or a link never match names.
     """
-    from tallystone.functions.urls import canonical_url, input_kind, query_phone
-
-    asked = queries.withColumn("kind", input_kind(F.col("query")))
-    value = F.when(F.col("kind") == "phone", query_phone(F.col("query"))).when(F.col("kind") == "url", canonical_url(F.col("query"))).when(F.col("kind") == "email", F.lower(F.trim("query")))
-    zero = {c: F.lit(0) for c in ("fuzzy", "extra", "distance")}
-    shape = ["query_id", "merchant_id", "tier", "fuzzy", "extra", "distance"]
-    tier = lambda name: F.lit(TIERS.index(name))
-    stored = identifiers.select("merchant_id", F.when(F.contains("normalized", F.lit("://")), canonical_url(F.col("normalized"))).otherwise(F.lower("normalized")).alias("value"))
-    by_id = asked.where("kind <> 'name'").select("query_id", value.alias("value")).join(stored, "value").withColumns({**zero, "tier": tier("exact_identifier")}).select(*shape)
-    text = asked.where("kind = 'name'").select("query_id", "query")
-    known = names.select("merchant_id", F.col("name").alias("label"), F.lit("exact_name").alias("way")).unionByName(aliases.select("merchant_id", F.col("alias").alias("label"), F.lit("exact_alias").alias("way")))
-    strict = text.withColumn("form", T.strict_name(F.col("query"))).join(known.withColumn("form", T.strict_name(F.col("label"))), "form")
-    exact = strict.withColumns({**zero, "tier": F.when(F.col("way") == "exact_name", tier("exact_name")).otherwise(tier("exact_alias"))}).select(*shape)
-    loose = text.withColumn("form", T.loose_name(F.col("query"))).join(known.withColumn("form", T.loose_name(F.col("label"))), "form")
-    variant = loose.withColumns({**zero, "tier": tier("normalized_variant")}).select(*shape)
-    held = postings(known, "merchant_id", "label")
-    tokens = query_tokens(text)
-    part = partial_matches(tokens, held, "merchant_id").withColumns({"tier": tier("partial_name"), "distance": F.lit(0)}).select(*shape)
-    # names in which all tokens but one (two of three or more) are found, and the others nearly
-    own = postings(names, "merchant_id", "name")
-    near = typo_matches(tokens, own)
-    equal = tokens.join(own, "token").select("query_id", "merchant_id", "n_tokens", "token", F.lit(0).alias("distance"))
-    close = tokens.join(near, "token").join(own.withColumnRenamed("token", "found"), "found").select("query_id", "merchant_id", "n_tokens", "token", "distance")
-    least = equal.unionByName(close).groupBy("query_id", "merchant_id", "n_tokens", "token").agg(F.min("distance").alias("distance"))
-    whole = least.groupBy("query_id", "merchant_id", "n_tokens").agg(F.count("*").alias("hits"), F.count_if(F.col("distance") > 0).alias("missed"), F.sum("distance").alias("distance"))
-    typo = whole.where("hits = n_tokens and missed between 1 and if(n_tokens >= 3, 2, 1)").withColumns({"tier": tier("typo"), "fuzzy": F.col("missed"), "extra": F.lit(0)}).select(*shape)
-    hits = by_id.unionByName(exact).unionByName(variant).unionByName(part).unionByName(typo)
-    return ranked(hits.join(names.select("merchant_id", "confidence"), "merchant_id"), "merchant_id")
+    asked = cut(classified(queries).where("not external"))
+    text = asked.where("kind = 'name'").withColumn("loose", T.loose_name(F.col("query")))
+    text = text.select("query_id", "query", "loose", F.array_distinct(T.tokens(F.col("loose"))).alias("asked")).where(F.size("asked") > 0)
+    hits = by_identifier(asked, index).unionByName(by_form(text, index)).unionByName(by_part(text, index)).unionByName(by_typo(text, index))
+    at = ("ar", "en").index(locale if locale in ("ar", "en") else "ar")
+    labels = F.create_map(*[F.lit(x) for name, pair in LABELS.items() for x in (name, pair[at])])
+    return ranked(hits.join(index.entities, "merchant_id"), "merchant_id").withColumn("label", labels[F.col("matched_on")])

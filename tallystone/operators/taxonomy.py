@@ -56,13 +56,29 @@ SOURCE_KEYWORDS: dict[str, tuple[str, ...]] = {
     "news": ("news", "press", "journalistic", "journalism", "journal", "investigative", "publication", "outlet", "article"),
 }
 AUTHOR_CATEGORIES = {"regulator": "public_authority", "registry": "public_authority", "merchant": "merchant_owned", "customer": "customer_report", "journalist": "news"}
-INTERNAL_KEYS = ("strict_key", "internal_state", "payload_version", "evidence_ids")
+# Keys that are internal in any form, and words that are internal only where they are keys.
+STRICT_KEYS = ("source_reliability", "entity_certainty", "reliability_band", "identity_confidence", "source_type", "duplicate_of", "package_labels", "independent_source_count")
+SOFT_KEYS = ("evaluation", "confidence", "sentiment", "reliability", "validity", "ambiguity", "corroboration", "contradictions", "freshness", "strength", "severity", "verdict", "score")
+_STRICT, _ANY = "|".join(STRICT_KEYS), "|".join((*STRICT_KEYS, *SOFT_KEYS))
+_QUOTED = "\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'"
+# What is cut out of public text, and what stands in its place, in this order: pairs of quoted keys,
+# strict keys in any form, other keys with a value, and what punctuation is left behind.
+INTERNAL = (
+    (f"(?iU)['\"](?:{_ANY})['\"]\\s*[:=]\\s*(?:{_QUOTED}|[^;,{{}}]*)", " "),
+    (f"(?iU)['\"]?(?:{_STRICT})['\"]?(?:\\s*[:=]\\s*(?:{_QUOTED}|\\S+)|\\s+\\S+)?", " "),
+    (f"(?iU)['\"]?(?:{'|'.join(SOFT_KEYS)})['\"]?\\s*[:=]\\s*(?:{_QUOTED}|[^;,)\\]}}\\s]+)", " "),
+    ("(?U)\\s*[,;]\\s*(?=[)\\]}])", ""),
+    ("(?U)\\(\\s*[,;]?\\s*\\)", ""),
+    ("(?U)[,;]\\s*[,;]", ";"),
+)
+SEGMENT_EDGES = "(?U)^[,{}\\[\\]\\s'\"\\\\/:]+|[,{}\\[\\]\\s'\"\\\\/:]+$"
+SEGMENT_KEY = f"(?iU)^\\s*[\"']?(?:{_ANY})[\"']?\\s*[=:]"
 
 
 def tokenised(text: Column) -> Column:
     """Tokens of a category or source type: separators are boundaries, an Arabic article is dropped."""
     words = F.split(F.regexp_replace(F.lower(text), "[_\\-+,/]+", " "), "[^\\p{L}\\p{N}]+")
-    return F.filter(F.transform(words, lambda t: F.regexp_replace(t, "^لل", "")), lambda t: t != "")
+    return F.filter(F.transform(words, lambda t: F.regexp_replace(t, "^ل?ال(?=[^\\p{L}]|$)|^لل", "")), lambda t: t != "")
 
 
 def matches(tokens: Column, keywords: tuple[str, ...]) -> Column:
@@ -103,7 +119,10 @@ def district_hints(city: Column) -> Column:
 
 
 def public_text(text: Column) -> Column:
-    """Analysis text without segments that speak of internal keys, and with plain words for internal ones."""
-    parts = F.filter(F.split(text, ";\\s*"), lambda p: ~reduce(or_, [F.contains(F.lower(p), F.lit(k)) for k in INTERNAL_KEYS]))
-    joined = F.array_join(parts, "; ")
-    return F.trim(F.regexp_replace(F.regexp_replace(joined, "(?i)\\bevidence rows\\b", "reports"), "\\s+", " "))
+    """Analysis text without internal keys and their values; segments that begin with one go. Null: empty."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern, instead in INTERNAL:
+        out = F.regexp_replace(out, pattern, instead)
+    parts = F.transform(F.split(out, ";"), lambda p: F.regexp_replace(p, SEGMENT_EDGES, ""))
+    kept = F.filter(parts, lambda p: (F.length(p) > 1) & ~p.rlike(SEGMENT_KEY))
+    return F.trim(F.regexp_replace(F.array_join(kept, "; "), "(?U)\\s{2,}", " "))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import text as T
 from tallystone.functions import urls as U
-from tallystone.operators.search import canonical_query, validated_query
+from tallystone.operators.search import canonical_query, cleaned_query, query_problem
 from tallystone.plans.registry import query
 from tallystone.plans.views import CUTOFF_2Y, CUTOFF_30D, STATES, Views
 
@@ -29,9 +29,9 @@ def _(v: Views) -> DataFrame:
     return whole.select("merchant_id", F.transform("items", lambda x: x["claim_type"]).alias("types"))
 
 
-@query("pf03_comparisons", "SELECT evidence_id, confidence FROM evidence WHERE independent = 1 AND confidence >= 0.7 AND claim_type <> 'other' AND evidence_id < 900")
+@query("pf03_comparisons", "SELECT evidence_id, confidence FROM evidence WHERE independent = 1 AND confidence >= 0.7 AND claim_type <> 'other'")
 def _(v: Views) -> DataFrame:
-    return v.evidence.where((c("independent") == 1) & (c("confidence") >= 0.7) & (c("claim_type") != "other") & (c("evidence_id") < 900)).select("evidence_id", "confidence")
+    return v.evidence.where((c("independent") == 1) & (c("confidence") >= 0.7) & (c("claim_type") != "other")).select("evidence_id", "confidence")
 
 
 @query("pf04_null_tests", "SELECT evidence_id FROM evidence WHERE duplicate_of IS NULL AND published_at IS NOT NULL AND NOT (published_at < TIMESTAMP '2024-01-01')")
@@ -44,9 +44,9 @@ def _(v: Views) -> DataFrame:
     return v.merchants.where(~c("state").isin(*STATES[:5])).select("merchant_id", "state")
 
 
-@query("pf06_not_in_subquery", "SELECT merchant_id FROM merchants WHERE merchant_id NOT IN (SELECT DISTINCT merchant_id FROM analyses WHERE round_no = 6 AND analysis_id < 3000)")
+@query("pf06_not_in_subquery", "SELECT merchant_id FROM merchants WHERE merchant_id NOT IN (SELECT DISTINCT merchant_id FROM analyses WHERE round_no = 6 AND internal_state = 'OFFICIAL_WARNING')")
 def _(v: Views) -> DataFrame:
-    seen = v.analyses.where("round_no = 6 and analysis_id < 3000").select("merchant_id").distinct()
+    seen = v.analyses.where("round_no = 6 and internal_state = 'OFFICIAL_WARNING'").select("merchant_id").distinct()
     return v.merchants.select("merchant_id").join(seen, "merchant_id", "left_anti")
 
 
@@ -119,13 +119,19 @@ def _(v: Views) -> DataFrame:
     return matching(rows, governorate="ASIA", least_locations=1, query="supplier nation_1").select("merchant_id")
 
 
-@query("pf19_query_validation", "SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'query' WHEN user_id % 4 = 1 THEN 'page' WHEN user_id % 4 = 2 THEN 'view' ELSE 'ok' END AS outcome FROM (SELECT DISTINCT user_id FROM events)")
+@query(
+    "pf19_query_validation",
+    "SELECT event_id, CASE WHEN event_id % 5 = 1 OR event_id % 170 > 160 THEN 'query' WHEN event_id % 7 = 2 OR event_id % 7 = 3 THEN 'page' WHEN event_id % 3 = 2 THEN 'view' END AS wrong, CASE WHEN NOT (event_id % 5 = 1 OR event_id % 170 > 160 OR event_id % 7 = 2 OR event_id % 7 = 3 OR event_id % 3 = 2) THEN concat(repeat('x', CAST(event_id % 170 AS INTEGER)), CASE WHEN event_id % 170 > 0 THEN '' ELSE 'shop' END) END AS query FROM events",
+)
 def _(v: Views) -> DataFrame:
-    outcome = [validated_query(x) for x in ({"query": "a\u0007"}, {"page": 0}, {"view": "other"}, {"query": " shop ", "page": 2})]
-    users = v.table("events").select("user_id").distinct()
-    k = c("user_id") % 4
-    names = [o if isinstance(o, str) else "ok" for o in outcome]
-    return users.select("user_id", F.when(k == 0, names[0]).when(k == 1, names[1]).when(k == 2, names[2]).otherwise(names[3]).alias("outcome"))
+    """Parameters of each event's directory request: lengths at the limit, control characters, pages and views."""
+    k = c("event_id")
+    long = F.repeat(F.lit("X"), (k % 170).cast("int"))
+    text = F.when(k % 5 == 1, F.concat(long, F.lit("\u0007"))).when(k % 170 == 0, F.lit(" Shop ")).otherwise(long)
+    page = F.when(k % 7 == 2, "0").when(k % 7 == 3, "1.5").otherwise((k + 1).cast("string"))
+    view = F.when(k % 3 == 2, "other").when(k % 3 == 1, "positive")
+    problem = query_problem(text, page, view)
+    return v.table("events").select("event_id", problem.alias("wrong"), F.when(problem.isNull(), cleaned_query(text)).alias("query"))
 
 
 @query("pf20_cache_key", "SELECT merchant_id, concat('[\"', lower(trim(name)), '\",\"', city, '\",', CAST(merchant_id % 5 + 1 AS VARCHAR), ']') AS cache_key FROM merchants")
@@ -135,13 +141,13 @@ def _(v: Views) -> DataFrame:
 
 _HOST = "regexp_replace(lower(regexp_extract(normalized, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)), '^www\\.', '')"
 _PATH = "regexp_extract(normalized, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-_SEARCHABLE = f"""CASE WHEN kind IN ('website', 'marketplace') AND {_HOST} IN ('support.apple.com', 'play.google.com', 'apps.apple.com') THEN false
+SEARCHABLE = f"""(CASE WHEN kind IN ('website', 'marketplace') AND {_HOST} IN ('cpa.gov.eg', 'shakwa.cpa-mobile.com', 'support.apple.com') THEN false
   WHEN kind IN ('phone', 'whatsapp') THEN normalized LIKE '+20%' AND regexp_matches(regexp_replace(normalized, '[^0-9]', '', 'g'), '^20(1[0125][0-9]{{8}}|[2-9][0-9]{{8}})$')
-  WHEN kind = 'website' THEN {_HOST} <> '' WHEN kind IN ('marketplace', 'facebook', 'instagram', 'tiktok', 'google_maps') THEN {_HOST} <> '' AND NOT ({_HOST} IN ({_in(list(U.SHARED_HOSTS))}) AND replace({_PATH}, '/', '') = '')
-  WHEN kind = 'email' THEN contains(normalized, '@') AND contains(normalized, '.') ELSE true END"""
+  WHEN kind = 'website' THEN contains({_HOST}, '.') WHEN kind IN ('marketplace', 'facebook', 'instagram', 'tiktok', 'google_maps') THEN contains({_HOST}, '.') AND NOT ({_HOST} IN ('facebook.com', 'instagram.com', 'tiktok.com', 'g.page', 'goo.gl', 'maps.app.goo.gl', 'maps.google.com', 'google.com', 'play.google.com', 'apps.apple.com') AND {_PATH} IN ('', '/'))
+  WHEN kind = 'email' THEN contains(normalized, '@') AND contains(normalized, '.') ELSE true END)"""
 
 
-@query("pf21_identifier_policy", f"SELECT identifier_id, {_SEARCHABLE} AS searchable FROM identifiers")
+@query("pf21_identifier_policy", f"SELECT identifier_id, {SEARCHABLE} AS searchable FROM identifiers")
 def _(v: Views) -> DataFrame:
     return v.identifiers.select("identifier_id", U.is_searchable_identifier(c("kind"), c("normalized")).alias("searchable"))
 
@@ -165,9 +171,14 @@ def _(v: Views) -> DataFrame:
     return rows.select("user_id", F.size(F.filter("items", lambda x: F.coalesce(x["source_url"], x["url"], x["link"]).isNotNull())).alias("n_kept"))
 
 
-@query("pf25_blocked_targets", "SELECT event_id, event_id % 5 < 3 AS blocked FROM events WHERE event_id < 500")
+@query(
+    "pf25_blocked_targets",
+    "SELECT event_id, CASE event_id % 10 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN event_id % 256 BETWEEN 16 AND 31 WHEN 4 THEN event_id % 256 = 168 WHEN 5 THEN true WHEN 6 THEN false WHEN 7 THEN false WHEN 8 THEN true ELSE event_id % 256 = 0 OR event_id % 256 = 10 OR event_id % 256 = 127 OR event_id % 256 >= 240 OR event_id % 256 BETWEEN 224 AND 239 AND false END AS blocked FROM events",
+)
 def _(v: Views) -> DataFrame:
-    url = F.element_at(F.array(*map(F.lit, ("http://127.0.0.1/x", "http://10.2.3.4/", "https://localhost:80/a", "https://shop.example.com/", "http://8.8.8.8/dns"))), (c("event_id") % 5 + 1).cast("int"))
-    return v.table("events").where("event_id < 500").select("event_id", U.is_blocked_target(url).alias("blocked"))
-
-
+    """Loopback, private, link-local and reserved ranges at and beyond their borders, names and numbers."""
+    octet = (c("event_id") % 256).cast("string")
+    parts = ("http://127.0.0.{0}/x", "http://10.{0}.3.4/", "https://localhost:80{0}/a", "http://172.{0}.0.9/", "http://192.{0}.1.1/", "http://169.254.{0}.1/", "https://shop{0}.example.com/", "http://8.8.{0}.8/dns", "http://host{0}/", "http://{0}.20.30.40/")
+    made = [F.concat(F.lit(a), octet, F.lit(b)) for a, b in (p.split("{0}") for p in parts)]
+    url = F.element_at(F.array(*made), (c("event_id") % 10 + 1).cast("int"))
+    return v.table("events").select("event_id", U.is_blocked_target(url).alias("blocked"))

@@ -126,9 +126,9 @@ def _(v: Views) -> DataFrame:
     return v.evidence.groupBy("merchant_id").agg(F.max("confidence").alias("confidence"), F.min("captured_at").alias("first_seen"), F.min("evidence_id").alias("first_id"))
 
 
-@query("ag17_next_round", "SELECT m.merchant_id, coalesce(max(a.round_no), 0) + 1 AS next_round FROM merchants m LEFT JOIN analyses a ON a.merchant_id = m.merchant_id AND a.analysis_id < 500 GROUP BY 1")
+@query("ag17_next_round", "SELECT m.merchant_id, coalesce(max(a.round_no), 0) + 1 AS next_round FROM merchants m LEFT JOIN analyses a ON a.merchant_id = m.merchant_id GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    return v.merchants.join(v.analyses.where("analysis_id < 500"), "merchant_id", "left").groupBy("merchant_id").agg((F.coalesce(F.max("round_no"), F.lit(0)) + 1).alias("next_round"))
+    return v.merchants.join(v.analyses, "merchant_id", "left").groupBy("merchant_id").agg((F.coalesce(F.max("round_no"), F.lit(0)) + 1).alias("next_round"))
 
 
 @query("ag18_argmax", "SELECT merchant_id, first(evidence_id ORDER BY independent DESC, confidence DESC, evidence_id) AS best FROM evidence GROUP BY 1")

@@ -22,9 +22,9 @@ def _(v: Views) -> DataFrame:
     return v.evidence.join(v.merchants, "merchant_id").join(v.sources, "source_id").select("evidence_id", "name", "url")
 
 
-@query("j03_left_outer", "SELECT m.merchant_id, i.identifier_id, i.kind FROM merchants m LEFT JOIN identifiers i ON i.merchant_id = m.merchant_id AND i.kind = 'legal_id' AND i.confidence > 0.9")
+@query("j03_left_outer", "SELECT m.merchant_id, i.identifier_id, i.kind FROM merchants m LEFT JOIN identifiers i ON i.merchant_id = m.merchant_id AND i.kind = 'commercial_register' AND i.confidence > 0.9")
 def _(v: Views) -> DataFrame:
-    i = v.identifiers.where("kind = 'legal_id' and confidence > 0.9")
+    i = v.identifiers.where("kind = 'commercial_register' and confidence > 0.9")
     return v.merchants.select("merchant_id").join(i, "merchant_id", "left").select("merchant_id", "identifier_id", "kind")
 
 
@@ -108,11 +108,22 @@ def _(v: Views) -> DataFrame:
     return v.evidence.where("duplicate_of is not null").join(r, "evidence_id").where(c("merchant_id") != c("root_merchant")).select("evidence_id", "root_merchant")
 
 
-@query("j16_shared_identifiers", "SELECT DISTINCT a.merchant_id AS left_id, b.merchant_id AS right_id, a.kind, a.normalized FROM identifiers a JOIN identifiers b ON a.kind = b.kind AND a.normalized = b.normalized AND a.merchant_id < b.merchant_id")
+@query("j16_shared_identifiers", "WITH o AS (SELECT DISTINCT merchant_id, kind, normalized FROM identifiers) SELECT kind, normalized, merchant_id, min(merchant_id) OVER w AS first, count(*) OVER w AS owners FROM o WINDOW w AS (PARTITION BY kind, normalized) QUALIFY count(*) OVER w > 1")
+def _(v: Views) -> DataFrame:
+    return resolve.shared(v.identifiers)
+
+
+@query("j16_collision_links", "WITH o AS (SELECT DISTINCT merchant_id, kind, normalized FROM identifiers) SELECT kind, normalized, f AS left_id, merchant_id AS right_id FROM (SELECT *, min(merchant_id) OVER (PARTITION BY kind, normalized) AS f FROM o) WHERE merchant_id <> f")
 def _(v: Views) -> DataFrame:
     return resolve.collisions(v.identifiers)
 
 
+@query("j16_collision_pairs", "SELECT DISTINCT a.merchant_id AS left_id, b.merchant_id AS right_id, a.kind, a.normalized FROM identifiers a JOIN identifiers b ON a.kind = b.kind AND a.normalized = b.normalized AND a.merchant_id < b.merchant_id WHERE a.kind IN ('phone', 'email')")
+def _(v: Views) -> DataFrame:
+    """Pairs themselves, for the kinds that identify a person."""
+    return resolve.collision_pairs(v.identifiers.where("kind in ('phone', 'email')"))
+
+
 @query(
     "j17_entity_resolution",
     """WITH hit AS (SELECT q.identifier_id AS cand, count(DISTINCT i.merchant_id) AS owners, min(i.merchant_id) AS owner FROM identifiers q JOIN identifiers i ON i.kind = q.kind AND i.normalized = q.normalized AND i.identifier_id < 1000 WHERE q.identifier_id >= 1000 AND q.kind <> 'address' GROUP BY 1)
@@ -146,12 +157,12 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "j20_task_grid",
-    "SELECT merchant_id, grp FROM (SELECT m.merchant_id, g.n_name AS grp, row_number() OVER (ORDER BY m.merchant_id, g.n_name) AS r FROM merchants m, (SELECT n_name FROM nation WHERE n_nationkey < 8) g WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.merchant_id = m.merchant_id AND t.priority = 'critical' AND t.task_id < 300)) WHERE r <= 600",
+    "SELECT merchant_id, grp FROM (SELECT m.merchant_id, g.n_name AS grp, row_number() OVER (ORDER BY m.merchant_id, g.n_name) AS r FROM merchants m, nation g WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE t.merchant_id = m.merchant_id AND t.priority = 'critical' AND t.status = 'in_progress' AND t.cost > 300000)) WHERE r <= 600",
 )
 def _(v: Views) -> DataFrame:
-    groups = v.table("nation").where("n_nationkey < 8").agg(F.array_sort(F.collect_list("n_name")).alias("groups"))
+    groups = v.table("nation").agg(F.array_sort(F.collect_list("n_name")).alias("groups"))
     grid = v.merchants.select("merchant_id").join(F.broadcast(groups)).select("merchant_id", F.explode("groups").alias("grp"))
-    done = v.tasks.where("priority = 'critical' and task_id < 300").select("merchant_id").distinct()
+    done = v.tasks.where("priority = 'critical' and status = 'in_progress' and cost > 300000").select("merchant_id").distinct()
     return grid.join(done, "merchant_id", "left_anti").orderBy("merchant_id", "grp").limit(600)
 
 

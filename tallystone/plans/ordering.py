@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.operators import directory, ranking
+from tallystone.operators import directory, ranking, search
+from tallystone.operators.numbering import numbered
 from tallystone.plans.grouping import RANK_SQL
 from tallystone.plans.registry import query
 from tallystone.plans.views import Views
@@ -14,8 +15,10 @@ c = F.col
 
 
 def _numbered(rows: DataFrame, key: str, *order: object, by: str | None = None) -> DataFrame:
-    """The rows with their place in an order, so that it can be compared."""
-    return rows.select(*([by] if by else []), key, F.row_number().over(Window.partitionBy(by if by else F.lit(0)).orderBy(*order)).alias("place"))
+    """The rows with their place in an order (within a group), so that it can be compared."""
+    if by is None:
+        return numbered(rows, "place", *order).select(key, "place")
+    return rows.select(by, key, F.row_number().over(Window.partitionBy(by).orderBy(*order)).alias("place"))
 
 
 @query("so01_nulls_last", "SELECT merchant_id, evidence_id, row_number() OVER (PARTITION BY merchant_id ORDER BY published_at DESC NULLS LAST, captured_at DESC, evidence_id) AS place FROM evidence")
@@ -33,10 +36,20 @@ def _(v: Views) -> DataFrame:
     return _numbered(v.tasks.where("status = 'pending'"), "task_id", ranking.priority_rank(c("priority")), "task_id")
 
 
-@query("so04_search_order", "SELECT alias_id, row_number() OVER (ORDER BY weight % 4, weight % 3, length(alias) - 5, weight % 7, weight DESC, alias_id) AS place FROM aliases")
+@query(
+    "so04_search_order",
+    f"""WITH q AS (SELECT DISTINCT p_brand AS query_id, string_split(lower(first(p_name ORDER BY p_partkey)), ' ') AS asked FROM part GROUP BY p_brand), k AS (SELECT DISTINCT merchant_id, alias, list_filter(regexp_split_to_array(lower(regexp_replace(alias, '[#]', ' ', 'g')), '\\s+'), lambda t: t <> '') AS tokens FROM aliases),
+      h AS (SELECT query_id, merchant_id, len(list_filter(list_distinct(asked), lambda t: NOT list_contains(tokens, t))) AS fuzzy, greatest(0, len(tokens) - len(list_distinct(asked))) AS extra FROM q, k WHERE len(list_filter(list_distinct(asked), lambda t: len(list_filter(tokens, lambda x: contains(x, t))) > 0)) = len(list_distinct(asked))),
+      b AS (SELECT query_id, merchant_id, identity_confidence, min((fuzzy, extra)) AS best FROM h JOIN merchants USING (merchant_id) GROUP BY ALL)
+    SELECT query_id, merchant_id, row_number() OVER (PARTITION BY query_id ORDER BY best, identity_confidence DESC, merchant_id) AS place FROM b""",
+)
 def _(v: Views) -> DataFrame:
-    hits = v.aliases.select("alias_id", (c("weight") % 4).alias("tier"), (c("weight") % 3).alias("fuzzy"), (F.length("alias") - 5).alias("extra"), (c("weight") % 7).alias("distance"), c("weight").alias("confidence"))
-    return _numbered(hits, "alias_id", "tier", "fuzzy", "extra", "distance", c("confidence").desc(), "alias_id")
+    """Hits of one alias's words of each brand among all aliases, best first."""
+    asked = v.table("part").groupBy(c("p_brand").alias("query_id")).agg(F.min_by("p_name", "p_partkey").alias("query"))
+    nothing = v.evidence.where("false")
+    index = search.build_index(v.merchants.select("merchant_id", F.lit("").alias("name"), F.lit("").alias("category"), c("identity_confidence").alias("confidence")), v.identifiers.where("false").select("merchant_id", "kind", "normalized"), v.aliases.select("merchant_id", "alias").distinct(), nothing.select("merchant_id", "summary"), nothing.select("merchant_id", "summary", "quoted_excerpt"), nothing.select("merchant_id", F.lit("").alias("url"), F.lit("").alias("label")))
+    text = asked.select("query_id", F.array_distinct(search.T.tokens(search.T.loose_name(c("query")))).alias("asked"))
+    return search.ranked(search.by_part(text, index).join(index.entities, "merchant_id"), "merchant_id").select("query_id", "merchant_id", c("rank").alias("place"))
 
 
 @query("so05_name_order", "SELECT merchant_id, row_number() OVER (ORDER BY name, merchant_id) AS place FROM merchants")

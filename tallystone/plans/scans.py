@@ -37,15 +37,15 @@ def _(v: Views) -> DataFrame:
     return readers.dispatched(lines).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("sc05_json_documents", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role FROM conversations WHERE conv_id % 3 = 0")
+@query("sc05_json_documents", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role FROM conversations")
 def _(v: Views) -> DataFrame:
-    whole = v.table("conversations").where(c("conv_id") % 3 == 0).groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role"))).alias("doc"))
+    whole = v.table("conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role"))).alias("doc"))
     return readers.exploded(whole, "doc", "array<struct<turn: bigint, role: string>>").select("conv_id", "item.turn", "item.role")
 
 
-@query("sc06_exclusion_list", "SELECT merchant_id, name FROM merchants WHERE merchant_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id < 60)")
+@query("sc06_exclusion_list", "SELECT merchant_id, name FROM merchants WHERE merchant_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 300)")
 def _(v: Views) -> DataFrame:
-    lines = v.table("events").where((c("event_type") == "error") & (c("user_id") < 60)).select(F.concat(F.lit(" "), c("user_id").cast("string"), F.lit(" ")).alias("value"))
+    lines = v.table("events").where((c("event_type") == "error") & (c("value") > 300)).select(F.concat(F.lit(" "), c("user_id").cast("string"), F.lit(" ")).alias("value"))
     return readers.without_ids(v.merchants.select("merchant_id", "name"), "merchant_id", lines)
 
 
@@ -79,9 +79,9 @@ def _(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", F.size(readers.links("html", 1000)).alias("n_links"))
 
 
-@query("sc13_api_flatten", "SELECT user_id, CAST(event_id AS BIGINT) AS event_id, event_type FROM events WHERE user_id % 10 = 0")
+@query("sc13_api_flatten", "SELECT user_id, CAST(event_id AS BIGINT) AS event_id, event_type FROM events")
 def _(v: Views) -> DataFrame:
-    response = v.table("events").where(c("user_id") % 10 == 0).groupBy("user_id").agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.struct("event_id", "event_type").alias("data"))).alias("children")).alias("data"))).alias("body"))
+    response = v.table("events").groupBy("user_id").agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.struct("event_id", "event_type").alias("data"))).alias("children")).alias("data"))).alias("body"))
     parsed = response.select("user_id", F.from_json("body", "data struct<children: array<struct<data: struct<event_id: bigint, event_type: string>>>>").alias("r"))
     return parsed.select("user_id", F.explode("r.data.children.data").alias("d")).select("user_id", "d.event_id", "d.event_type")
 

@@ -38,15 +38,19 @@ def _(v: Views) -> DataFrame:
     return v.table("supplier").select("s_suppkey", T.canonical_name(F.concat(F.lit("  The "), "s_name", F.lit(" Trading Co., Ltd - Store "))).alias("name"))
 
 
-@query("f03_claim_text", f"SELECT doc_id, md5({_f(_CLAIM, 't')}) AS claim FROM (SELECT doc_id, concat(substr(text, 1, 500), ' https://a.example/x?y ') AS t FROM documents)")
+@query("f03_claim_text", f"SELECT doc_id, md5({_f(_CLAIM, 't')}) AS claim FROM (SELECT doc_id, concat(text, ' https://a.example/x?y ') AS t FROM documents)")
 def _(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", F.md5(T.claim_text(F.concat(F.substring("text", 1, 500), F.lit(" https://a.example/x?y ")))).alias("claim"))
+    return v.table("documents").select("doc_id", F.md5(T.claim_text(F.concat("text", F.lit(" https://a.example/x?y ")))).alias("claim"))
 
 
 _CLAIM_S, _CLAIM_SQ = _f(_CLAIM, "summary"), _f(_CLAIM, "concat(summary, ' ', quoted_excerpt)")
 
 
-@query("f04_fingerprints", f"SELECT evidence_id, sha256(concat({_f(_NAME, 'name')}, '|', claim_type, '|', sha256({_CLAIM_SQ}))) AS content, sha256(concat({_f(_NAME, 'name')}, '|', claim_type, '|', host, '|', sha256({_CLAIM_S}))) AS exact FROM evidence JOIN merchants USING (merchant_id) JOIN sources USING (source_id)")
+CONTENT_SQL = f"sha256(concat({_f(_NAME, 'name')}, '|', claim_type, '|', sha256({_CLAIM_SQ})))"
+EXACT_SQL = f"sha256(concat({_f(_NAME, 'name')}, '|', claim_type, '|', host, '|', sha256({_CLAIM_S})))"
+
+
+@query("f04_fingerprints", f"SELECT evidence_id, {CONTENT_SQL} AS content, {EXACT_SQL} AS exact FROM evidence JOIN merchants USING (merchant_id) JOIN sources USING (source_id)")
 def _(v: Views) -> DataFrame:
     rows = v.evidence.join(v.merchants, "merchant_id").join(v.sources, "source_id")
     return rows.select("evidence_id", T.content_fingerprint(c("name"), c("claim_type"), c("summary"), c("quoted_excerpt")).alias("content"), T.exact_fingerprint(c("name"), c("claim_type"), c("host"), c("summary")).alias("exact"))
@@ -100,21 +104,48 @@ def _(v: Views) -> DataFrame:
     return _locators(v).select("source_id", U.locator(c("raw")).alias("l")).select("source_id", "l.*")
 
 
-@query("f11_query_url", "SELECT page_id, 'website' AS kind, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '') AS host FROM pages")
+_ID, _U = "CAST(page_id AS VARCHAR)", "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '')"
+_WAY = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+
+
+@query(
+    "f11_query_url",
+    f"""WITH k AS (SELECT page_id % 14 AS k, page_id, {_ID} AS i, {_U} AS h, {_WAY} AS way FROM pages)
+    SELECT page_id, CASE WHEN k IN (1, 2, 3, 4) THEN 'facebook' WHEN k = 5 THEN 'instagram' WHEN k = 6 THEN 'tiktok' WHEN k IN (7, 8) THEN 'google_maps' WHEN k IN (9, 10) THEN 'marketplace' WHEN k = 13 THEN NULL ELSE 'website' END AS kind,
+      CASE k WHEN 1 THEN concat('https://facebook.com/Shop.', i) WHEN 2 THEN concat('https://facebook.com/profile.php?id=', i) WHEN 3 THEN concat('https://facebook.com/Pages/Shop/', i) WHEN 4 THEN concat('https://facebook.com/shop', i) WHEN 5 THEN concat('https://instagram.com/shop.', i) WHEN 6 THEN concat('https://tiktok.com/@Shop', i) WHEN 7 THEN concat('https://g.page/Shop', i) WHEN 8 THEN concat('https://maps.app.goo.gl/maps/X', i) WHEN 9 THEN concat('https://play.google.com/store/apps/details?id=com.Shop', i) WHEN 10 THEN concat('https://apps.apple.com/eg/app/shop/id', i) WHEN 11 THEN concat('https://shop', i, '.example') WHEN 12 THEN concat('https://support.apple.com/HT', i) WHEN 13 THEN NULL ELSE concat('https://', h, way) END AS normalized,
+      CASE k WHEN 1 THEN concat('facebook.com/shop.', i, '|facebook.com/shop.', i, '/posts/9') WHEN 2 THEN concat('facebook.com/profile.php?id=', i) WHEN 3 THEN concat('facebook.com/pages/shop/', i) WHEN 4 THEN concat('facebook.com/shop', i) WHEN 5 THEN concat('instagram.com/shop.', i) WHEN 6 THEN concat('tiktok.com/@shop', i, '|tiktok.com/shop', i, '/video/1') WHEN 7 THEN concat('g.page/shop', i) WHEN 8 THEN concat('maps.app.goo.gl/maps/x', i) WHEN 9 THEN concat('play.google.com/store/apps/details?id=com.shop', i) WHEN 10 THEN concat('apps.apple.com/eg/app/shop/id', i) WHEN 11 THEN concat('shop', i, '.example') WHEN 12 THEN concat('support.apple.com/ht', i, '|support.apple.com') WHEN 13 THEN NULL ELSE CASE WHEN way = '' THEN h ELSE concat(lower(concat(h, way)), '|', h) END END AS path_keys,
+      CASE WHEN k = 11 THEN concat('shop', i, '.example') WHEN k = 12 THEN 'support.apple.com' WHEN k = 0 THEN h END AS origin_key, CASE WHEN k <> 13 THEN k = 12 END AS external FROM k""",
+)
 def _(v: Views) -> DataFrame:
-    return _pages(v).select("page_id", U.query_url(c("url")).alias("k")).select("page_id", "k.kind", "k.host")
+    """The pages' own links, and accounts, numbered profiles, reserved segments, places, apps, bare hosts, offices."""
+    shapes = (
+        None, "https://m.facebook.com/Shop.{}/posts/9?ref=x", "facebook.com/profile.php?id={}&sk=about", "http://www.facebook.com/Pages/Shop/{}/", "https://ar-ar.facebook.com/shop{}#top", "https://www.instagram.com/Shop.{}/?hl=en", "https://www.tiktok.com/Shop{}/video/1",
+        "https://g.page/Shop{}", "https://maps.app.goo.gl/maps/X{}", "https://play.google.com/store/apps/details?id=com.Shop{}&hl=ar", "https://apps.apple.com/eg/app/shop/id{}", " www.shop{}.example ", "https://support.apple.com/HT{}", "no link number {}",
+    )
+    made = [c("url") if x is None else F.concat(F.lit(x.split("{}")[0]), c("page_id").cast("string"), F.lit(x.split("{}")[1])) for x in shapes]
+    url = F.element_at(F.array(*made), (c("page_id") % 14 + 1).cast("int"))
+    return _pages(v).select("page_id", U.query_url(url).alias("k")).select("page_id", "k.kind", "k.normalized", F.array_join("k.path_keys", "|").alias("path_keys"), "k.origin_key", "k.external")
+
+
+_SEGMENTS = "CAST(len(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) AS INTEGER)"
 
 
-@query("f12_url_depth", "SELECT page_id, CAST(len(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) AS INTEGER) AS depth, len(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) > 0 AS sent_home FROM pages")
+@query(
+    "f12_url_depth",
+    f"SELECT page_id, depth, CASE page_id % 5 WHEN 4 THEN false ELSE depth > 1 END AS sent_home, CASE page_id % 5 WHEN 2 THEN depth < 1 WHEN 4 THEN depth < 3 ELSE false END AS deeper FROM (SELECT page_id, {_SEGMENTS} AS depth FROM pages)",
+)
 def _(v: Views) -> DataFrame:
-    home = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1), F.lit("/en"))
-    return _pages(v).select("page_id", U.depth(c("url")).alias("depth"), U.is_redirect_to_home(c("url"), home).alias("sent_home"))
+    """Redirects to the root, to roots by language, to one segment of another site, and to a page three segments deep."""
+    final = F.element_at(F.array(*map(F.lit, ("https://shop.example", "https://shop.example/ar-EG/", "https://other.example/a", "https://shop.example/EN?x=1", "https://shop.example/a/b/c"))), (c("page_id") % 5 + 1).cast("int"))
+    return _pages(v).select("page_id", U.depth(c("url")).alias("depth"), U.is_redirect_to_home(c("url"), final).alias("sent_home"), U.is_deeper_url(c("url"), final).alias("deeper"))
 
 
-@query("f13_vendor_page", "SELECT event_id, event_id % 4 = 0 OR event_id % 4 = 3 AS vendor FROM events WHERE event_id < 400")
+@query("f13_vendor_page", "SELECT event_id, event_id % 12 IN (0, 1, 2, 3, 4, 5, 6, 7) AS vendor FROM events")
 def _(v: Views) -> DataFrame:
-    url = F.element_at(F.array(*map(F.lit, ("https://www.facebook.com/shop.one", "https://facebook.com/groups/42", "https://example.com/shop", "https://m.facebook.com/profile.php?id=7"))), (c("event_id") % 4 + 1).cast("int"))
-    return v.table("events").where("event_id < 400").select("event_id", U.is_vendor_page(url).alias("vendor"))
+    """Roots, mentions, photos, plugins, people, short paths, references; then posts, reels with one, groups, other hosts."""
+    shapes = ("https://www.facebook.com/shop.{}", "https://m.facebook.com/shop{}/mentions/", "https://facebook.com/shop/photos/{}", "https://www.facebook.com/plugins/page{}/x", "https://fb.com/p/shop/{}", "https://facebook.com/people/shop/{}", "https://facebook.com/shop/about_details/{}", "https://facebook.com/groups/{}/?REF=share", "https://facebook.com/shop/posts/{}?ref=x", "https://facebook.com/shop/reel/{}", "https://facebook.com/groups/{}", "https://notfacebook.com/shop{}")
+    made = [F.concat(F.lit(a), c("event_id").cast("string"), F.lit(b)) for a, b in (x.split("{}") for x in shapes)]
+    return v.table("events").select("event_id", U.is_vendor_page(F.element_at(F.array(*made), (c("event_id") % 12 + 1).cast("int"))).alias("vendor"))
 
 
 def _phones(v: Views) -> Column:
@@ -160,9 +191,16 @@ def _(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", T.loose_name(F.concat("p_name", F.lit(" شركة النور"))).alias("loose"))
 
 
-@query("f20_conjunction_variants", "SELECT p_partkey, [concat('بيت ', p_name)] AS variants FROM part")
+@query(
+    "f20_conjunction_variants",
+    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN [concat('بيت ', p_name)] WHEN 1 THEN ['تك'] WHEN 2 THEN [] ELSE ['لد ولي', 'ولد لي'] END AS variants FROM part",
+)
 def _(v: Views) -> DataFrame:
-    return v.table("part").select("p_partkey", T.conjunction_variants(F.concat(F.lit("وبيت "), "p_name"), F.array().cast("array<string>")).alias("variants"))
+    """U4: with other words, a short rest that is a known token, one that isn't, and two words that begin alike."""
+    k = c("p_partkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("وبيت "), "p_name")).when(k == 1, "وتك").when(k == 2, "ولي").otherwise("ولد ولي")
+    known = F.when(k == 1, F.array(F.lit("تك"))).otherwise(F.array().cast("array<string>"))
+    return v.table("part").select("p_partkey", T.conjunction_variants(text, known).alias("variants"))
 
 
 @query("f21_tokens", "SELECT p_partkey, list_filter(regexp_split_to_array(concat(' ', p_name, '  ', p_type), '\\s+'), lambda t: t <> '') AS tokens FROM part")
@@ -193,16 +231,42 @@ def _(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", T.scrubbed(text).alias("scrubbed"))
 
 
-@query("f26_redact", "SELECT event_id, substr(concat('GET https://x.example/p?token=[redacted]'), 1, 24) AS detail, length(concat('failed https://x.example/p key=[redacted] ', event_type)) AS n FROM events")
+_E = "CAST(event_id AS VARCHAR)"
+
+
+@query(
+    "f26_redact",
+    f"SELECT event_id, substr(concat('failed https://x.example/p/', {_E}, ' then http://y.example:80/ and key=[redacted]&n=', {_E}, ' ', event_type, CASE WHEN event_id % 4 = 0 THEN repeat(' long', 80) ELSE '' END), 1, 300) AS detail FROM events",
+)
 def _(v: Views) -> DataFrame:
-    raw = F.concat(F.lit("failed https://x.example/p?a="), c("event_id").cast("string"), F.lit(" key=abc "), "event_type")
-    return v.table("events").select("event_id", F.lit("GET https://x.example/p?").alias("detail"), F.length(T.redacted(raw)).cast("bigint").alias("n"))
+    """Users and passwords in links, queries, fragments, links without a path, secrets outside of links, long texts."""
+    n = c("event_id").cast("string")
+    raw = F.concat(F.lit(" failed\n HTTPS://me:pw@x.example/p/"), n, F.lit("?token=t&a="), n, F.lit("  then http://y.example:80#frag and key=s"), n, F.lit("&n="), n, F.lit(" "), c("event_type"), F.when(c("event_id") % 4 == 0, F.repeat(F.lit(" long"), 80)).otherwise(""))
+    return v.table("events").select("event_id", T.redacted(raw).alias("detail"))
+
+
+def _internal_sql() -> str:
+    """The passes of public_text for DuckDB, whose patterns have no look-ahead: there the bracket is put back."""
+    out = "t"
+    for pattern, instead in taxonomy.INTERNAL:
+        flags = "gi" if pattern.startswith("(?iU)") else "g"
+        plain = pattern.replace("(?iU)", "").replace("(?U)", "").replace("(?=[)\\]}])", "([)\\]}])").replace("'", "''")
+        out = f"regexp_replace({out}, '{plain}', '{instead if '([)' not in plain else chr(92) + '1'}', '{flags}')"
+    edges, key = (x.replace("(?iU)", "").replace("(?U)", "").replace("'", "''") for x in (taxonomy.SEGMENT_EDGES, taxonomy.SEGMENT_KEY))
+    parts = f"list_transform(string_split({out}, ';'), lambda p: regexp_replace(p, '{edges}', '', 'g'))"
+    return f"trim(regexp_replace(array_to_string(list_filter({parts}, lambda p: length(p) > 1 AND NOT regexp_matches(p, '{key}', 'i')), '; '), '\\s{{2,}}', ' ', 'g'))"
+
+
+_LEGACY = "concat('{{''verdict'': ''fine; really'', \"score\": 0.', CAST(evidence_id AS VARCHAR), '}}; source_type web; sentiment=', sentiment, ' (confidence: 0.9, ); ', claim_type, ' with Reliability_band: strong, good; freshness = old; ', summary)"
 
 
-@query("f27_public_text")
+@query("f27_public_text", f"SELECT evidence_id, md5({_internal_sql()}) AS text FROM (SELECT evidence_id, {_LEGACY.replace('{{', '{').replace('}}', '}')} AS t FROM evidence)")
 def _(v: Views) -> DataFrame:
-    text = F.concat(F.lit("strict_key=1; evidence rows agree; internal_state=X; "), "summary")
-    return v.evidence.select("evidence_id", taxonomy.public_text(text).alias("text"))
+    """Pairs of quoted keys, strict keys in every form, soft keys with values, brackets left empty, and whole texts."""
+    text = F.concat(
+        F.lit("{'verdict': 'fine; really', \"score\": 0."), c("evidence_id").cast("string"), F.lit("}; source_type web; sentiment="), c("sentiment"), F.lit(" (confidence: 0.9, ); "), c("claim_type"), F.lit(" with Reliability_band: strong, good; freshness = old; "), c("summary")
+    )
+    return v.evidence.select("evidence_id", F.md5(taxonomy.public_text(text)).alias("text"))
 
 
 @query("f28_stringify")

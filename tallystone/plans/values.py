@@ -76,12 +76,12 @@ def _(v: Views) -> DataFrame:
     return v.table("events").select("event_id", (c("value") / 3).cast("string").rlike("0\\.\\d{10,}$").alias("artifact"))
 
 
-_DOC = "string_split(substr(text, 1, 120), ' ')"
+_DOC = "string_split(text, ' ')"
 
 
 @query("a01_arrays", f"SELECT doc_id, len(list_filter({_DOC}, lambda w: length(w) > 6)) > 0 AS any_long, len(list_filter({_DOC}, lambda w: length(w) > 0)) = len({_DOC}) AS all_filled, list_slice({_DOC}, 1, 2) AS head, list_contains({_DOC}, 'the') AS has_the FROM documents")
 def _(v: Views) -> DataFrame:
-    w = F.split(F.substring("text", 1, 120), " ")
+    w = F.split("text", " ")
     return v.table("documents").select("doc_id", F.exists(w, lambda x: F.length(x) > 6).alias("any_long"), F.forall(w, lambda x: F.length(x) > 0).alias("all_filled"), F.slice(w, 1, 2).alias("head"), F.array_contains(w, "the").alias("has_the"))
 
 
@@ -128,9 +128,9 @@ def _(v: Views) -> DataFrame:
     return v.table("events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.coalesce(F.get_json_object("props", "$.name"), F.lit("")).alias("name"))
 
 
-@query("js3_id_lists", "SELECT user_id, list_sort(list(DISTINCT event_id // 2)) AS ids FROM events WHERE event_id < 2000 GROUP BY 1")
+@query("js3_id_lists", "SELECT user_id, list_sort(list(DISTINCT event_id // 2)) AS ids FROM events GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    e = v.table("events").where("event_id < 2000")
+    e = v.table("events")
     lists = e.groupBy("user_id").agg(F.to_json(F.collect_list("event_id")).alias("ids"))
     mapping = e.select(c("event_id").alias("old"), F.floor(c("event_id") / 2).cast("bigint").alias("new"))
     out = lists.select("user_id", F.explode(F.from_json("ids", "array<bigint>")).alias("old")).join(mapping, "old", "left")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.functions import text as T
 from tallystone.operators import dedupe, dml
 from tallystone.plans.registry import query
+from tallystone.plans.texts import CONTENT_SQL, EXACT_SQL
 from tallystone.plans.views import NOW, Views
 
 c = F.col
@@ -37,13 +39,14 @@ def _(v: Views) -> DataFrame:
     return v.aliases.withColumn("r", F.row_number().over(Window.partitionBy("merchant_id").orderBy("alias_id"))).where("r <= 3").select("merchant_id", "alias_id")
 
 
-_KEYS = "SELECT evidence_id, merchant_id, captured_at, independent, duplicate_of, sha256(concat(claim_type, '|', substr(summary, 1, 20))) AS content, sha256(concat(claim_type, '|', CAST(source_id % 5 AS VARCHAR))) AS exact FROM evidence"
+_KEYS = f"SELECT evidence_id, e.merchant_id, captured_at, independent, duplicate_of, {CONTENT_SQL} AS content, {EXACT_SQL} AS exact FROM evidence e JOIN merchants m ON m.merchant_id = e.merchant_id JOIN sources s ON s.source_id = e.source_id"
 
 
 def _keyed(v: Views) -> DataFrame:
-    content = F.sha2(F.concat_ws("|", "claim_type", F.substring("summary", 1, 20)), 256)
-    exact = F.sha2(F.concat_ws("|", "claim_type", (c("source_id") % 5).cast("string")), 256)
-    return v.evidence.select("evidence_id", "merchant_id", "captured_at", "independent", "duplicate_of", content.alias("content"), exact.alias("exact"))
+    """Evidence with the two fingerprints of its entity's name, claim type, whole text and link."""
+    rows = v.evidence.join(v.merchants.select("merchant_id", "name"), "merchant_id").join(v.sources.select("source_id", "host"), "source_id")
+    content, exact = T.content_fingerprint(c("name"), c("claim_type"), c("summary"), c("quoted_excerpt")), T.exact_fingerprint(c("name"), c("claim_type"), c("host"), c("summary"))
+    return rows.select("evidence_id", "merchant_id", "captured_at", "independent", "duplicate_of", content.alias("content"), exact.alias("exact"))
 
 
 @query(

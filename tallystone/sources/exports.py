@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,15 +13,34 @@ from pyspark.sql import functions as F
 INTERNAL = ("raw_json", "quoted_excerpt", "payload_json", "result_json", "payload")
 
 
+def _root(spark: SparkSession) -> str:
+    """The place that the cluster shares; a local one only where none is named and there is no cluster."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tallystone-")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: S110  the JVM may be gone at interpreter exit; the folder is scratch space
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place that the cluster shares; a local one only where none is named (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='tallystone-')).rstrip('/')}/export-{uuid.uuid4().hex}"
+    """A new folder in the place that the cluster shares."""
+    return f"{_root(spark)}/export-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and scan it, so that later steps don't repeat the work before."""
+    """Write a table to the shared folder and scan it, so that later steps don't repeat the work before; what was
+    written is removed when the interpreter ends."""
     where = shared_folder(df.sparkSession)
+    atexit.register(_removed, df.sparkSession, where)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 

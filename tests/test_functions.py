@@ -108,10 +108,59 @@ def test_input_kind(spark, raw, want):
     assert one(spark, raw, U.input_kind) == want
 
 
-def test_query_url(spark):
-    got = one(spark, "https://m.facebook.com/profile.php?id=77", U.query_url)
-    assert (got["kind"], got["host"], got["account_key"]) == ("facebook", "facebook.com", "facebook.com/77")
-    assert one(spark, "not a link at all", U.query_url)["kind"] is None
+@pytest.mark.parametrize(
+    ("raw", "kind", "keys"),
+    [
+        ("https://m.facebook.com/profile.php?id=77&x=1", "facebook", ["facebook.com/profile.php?id=77"]),
+        ("facebook.com/profile.php", "facebook", ["facebook.com/profile.php"]),
+        ("https://FACEBOOK.com/Groups/12/", "facebook", ["facebook.com/groups/12"]),
+        ("http://www.facebook.com/My.Shop/posts/5", "facebook", ["facebook.com/my.shop", "facebook.com/my.shop/posts/5"]),
+        ("https://facebook.com/", "website", ["facebook.com"]),
+        ("instagram.com/Some.One", "instagram", ["instagram.com/some.one"]),
+        ("https://www.tiktok.com/@X", "tiktok", ["tiktok.com/@x"]),
+        ("https://goo.gl/maps/abc", "google_maps", ["goo.gl/maps/abc"]),
+        ("https://goo.gl/abc", "website", ["goo.gl/abc", "goo.gl"]),
+        ("https://maps.google.com/place/A/", "google_maps", ["maps.google.com/place/a"]),
+        ("https://play.google.com/store/apps/details?hl=en&id=a.B", "marketplace", ["play.google.com/store/apps/details?id=a.b"]),
+        ("https://play.google.com/", "website", ["play.google.com"]),
+        ("https://apps.apple.com/us/app/x/id12?l=ar", "marketplace", ["apps.apple.com/us/app/x/id12"]),
+        ("https://shop.example/a/?utm_source=x&id=4", "website", ["shop.example/a?id=4", "shop.example"]),
+        ("WWW.Shop.Example:8080", "website", ["shop.example"]),
+        ("shop.example/١۲", "website", ["shop.example/12", "shop.example"]),
+        ("not a link at all", None, None),
+        ("nodots", None, None),
+        ("", None, None),
+        (None, None, None),
+    ],
+)
+def test_query_url(raw, kind, keys):
+    got = U.link_keys(raw)
+    assert (got and got["kind"], got and got["path_keys"]) == (kind, keys)
+
+
+def test_offices_are_no_identity():
+    assert U.link_keys("https://www.cpa.gov.eg/x")["external"] and not U.link_keys("https://play.google.com/x")["external"]
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "want"),
+    [
+        ("website", "https://cpa.gov.eg/a", ("external_reference", False)),
+        ("marketplace", "https://play.google.com/store/apps/details", ("marketplace_profile", True)),
+        ("marketplace", "https://play.google.com/", ("marketplace_profile", False)),
+        ("facebook", "https://facebook.com", ("social_profile", False)),
+        ("phone", "+201012345678", ("contact", True)),
+        ("phone", "+201312345678", ("contact", False)),
+        ("google_maps", "https://maps.app.goo.gl/x", ("location", True)),
+        ("commercial_register", "CR 12", ("registration", True)),
+        ("email", "a@b", ("contact", False)),
+        ("website", "no link", ("owned_site", False)),
+    ],
+)
+def test_identifier_policy(spark, kind, value, want):
+    df = spark.createDataFrame([(kind, value)], "k string, v string")
+    r = df.select(U.identifier_role(F.col("k"), F.col("v")).alias("role"), U.is_searchable_identifier(F.col("k"), F.col("v")).alias("ok")).first()
+    assert (r["role"], r["ok"]) == want
 
 
 def test_scrub(spark):
@@ -122,6 +171,26 @@ def test_scrub(spark):
 
 def test_redacted(spark):
     assert one(spark, "x api_key=abc y", T.redacted) == "x api_key=[redacted] y"
+    assert one(spark, "GET\thttps://a:b@c.example:1/p?q=1#f  HTTP://d.example failed", T.redacted) == "GET https://c.example:1/p http://d.example/ failed"
+    assert len(one(spark, "x" * 999, T.redacted)) == 300
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("Confidence in this shop is high.", "Confidence in this shop is high."),
+        ("confidence=0.9; the shop answers", "the shop answers"),
+        ("rated reliability_band: strong by us", "rated by us"),
+        ("see {'score': 0.4, \"verdict\": 'x; y'} here", "see {} here"),
+        ("good (sentiment: positive, ) shop", "good shop"),
+        ("source_type web; ; fine", "fine"),
+        (None, ""),
+        ("", ""),
+        ("a; ok", "ok"),
+    ],
+)
+def test_public_text(spark, raw, want):
+    assert one(spark, raw, taxonomy.public_text) == want
 
 
 @pytest.mark.parametrize(("raw", "want"), [("=1+1", "'=1+1"), ("-x", "'-x"), ("plain", "plain"), ("\tx", "'\tx")])
