@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.operators import dedupe, resolve
+from tallystone.plans.quality import merge_tables
 from tallystone.plans.registry import query
 from tallystone.plans.views import Views
 from tallystone.plans.windowing import _KEYS, _keyed
@@ -28,11 +29,11 @@ def _(v: Views) -> DataFrame:
     return resolve.merged(v.merchants, v.aliases, _mapping(v))[1]
 
 
-@query("st03_set_difference", "SELECT 'missing' AS problem, merchant_id FROM (SELECT merchant_id FROM merchants EXCEPT SELECT merchant_id FROM analyses WHERE analysis_id < 200) UNION ALL SELECT 'unexpected', merchant_id FROM (SELECT DISTINCT merchant_id FROM analyses WHERE analysis_id < 200 AND merchant_id > 90 EXCEPT SELECT merchant_id FROM merchants WHERE merchant_id <= 95)")
+@query("st03_set_difference", "SELECT 'missing' AS problem, merchant_id FROM (SELECT merchant_id FROM merchants EXCEPT SELECT merchant_id FROM analyses WHERE round_no = 3 AND internal_state = 'MIXED_REPUTATION') UNION ALL SELECT 'unexpected', merchant_id FROM (SELECT DISTINCT merchant_id FROM analyses WHERE round_no = 3 AND internal_state = 'MIXED_REPUTATION' EXCEPT SELECT merchant_id FROM merchants WHERE state <> 'IDENTITY_UNCERTAIN')")
 def _(v: Views) -> DataFrame:
-    asked, got = v.merchants.select("merchant_id"), v.analyses.where("analysis_id < 200").select("merchant_id")
+    asked, got = v.merchants.select("merchant_id"), v.analyses.where("round_no = 3 and internal_state = 'MIXED_REPUTATION'").select("merchant_id")
     missing = asked.subtract(got).select(F.lit("missing").alias("problem"), "merchant_id")
-    return missing.unionByName(got.where("merchant_id > 90").subtract(asked.where("merchant_id <= 95")).select(F.lit("unexpected").alias("problem"), "merchant_id"))
+    return missing.unionByName(got.subtract(v.merchants.where("state <> 'IDENTITY_UNCERTAIN'").select("merchant_id")).select(F.lit("unexpected").alias("problem"), "merchant_id"))
 
 
 @query("st04_intersection", "SELECT merchant_id FROM evidence WHERE claim_type = 'refund_issue' INTERSECT SELECT merchant_id FROM evidence WHERE sentiment = 'positive'")
@@ -72,6 +73,25 @@ def _(v: Views) -> DataFrame:
     return dedupe.rooted(grouped, "merchant_id", "evidence_id").select("evidence_id", "new_duplicate_of", "new_independent")
 
 
-@query("gr04_reviewed_merge", f"SELECT {_MOVED.format('merchant_id')} AS merchant_id, max(identity_confidence) AS identity_confidence, min(name) AS name FROM merchants GROUP BY 1")
+@query(
+    "gr04_reviewed_merge",
+    f"""WITH m AS (SELECT {_MOVED.format('merchant_id')} AS id, * FROM merchants), i AS (SELECT DISTINCT {_MOVED.format('merchant_id')} AS id, kind, normalized FROM identifiers), l AS (SELECT DISTINCT least({_MOVED.format('left_id')}, {_MOVED.format('right_id')}), greatest({_MOVED.format('left_id')}, {_MOVED.format('right_id')}), relation FROM links WHERE {_MOVED.format('left_id')} <> {_MOVED.format('right_id')})
+    SELECT 'merchants' AS table_name, count(DISTINCT id) AS n FROM m UNION ALL SELECT 'aliases', count(*) FROM (SELECT {_MOVED.format('merchant_id')}, normalized_alias FROM aliases UNION SELECT merchant_id - 9, lower(name) FROM merchants WHERE merchant_id % 10 = 9) UNION ALL SELECT 'identifiers', count(*) FROM i UNION ALL SELECT 'links', count(*) FROM l
+    UNION ALL SELECT 'claims', count(*) FROM (SELECT DISTINCT {_MOVED.format('merchant_id')}, claim_type FROM claims) UNION ALL SELECT 'evidence', count(*) FROM stated UNION ALL SELECT 'claim_evidence', count(*) FROM stated UNION ALL SELECT 'sources', count(*) FROM sources""",
+)
+def _(v: Views) -> DataFrame:
+    """The manifest of the version that a reviewed merge publishes, once its preflight and postconditions hold."""
+    return resolve.reviewed_merge(merge_tables(v), _mapping(v), apply=True)
+
+
+@query(
+    "gr04_merged_evidence",
+    f"SELECT evidence_id, {_MOVED.format('merchant_id')} AS merchant_id, min(claim_id) OVER (PARTITION BY {_MOVED.format('merchant_id')}, claim_type) AS claim_id, root AS duplicate_of FROM stated JOIN (WITH RECURSIVE w AS (SELECT evidence_id AS id, evidence_id AS cur, duplicate_of AS nxt FROM stated UNION ALL SELECT w.id, e.evidence_id, e.duplicate_of FROM w JOIN stated e ON e.evidence_id = w.nxt) SELECT id, CASE WHEN cur <> id THEN cur END AS root FROM w WHERE nxt IS NULL) ON id = evidence_id",
+)
+def _(v: Views) -> DataFrame:
+    return resolve.merge_tables(merge_tables(v), _mapping(v))["evidence"].select("evidence_id", "merchant_id", "claim_id", "duplicate_of")
+
+
+@query("gr04_merged_entities", f"SELECT {_MOVED.format('merchant_id')} AS merchant_id, max(identity_confidence) AS identity_confidence, min(name) AS name FROM merchants GROUP BY 1")
 def _(v: Views) -> DataFrame:
     return resolve.merged(v.merchants, v.aliases, _mapping(v))[0]
