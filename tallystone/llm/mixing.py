@@ -8,6 +8,7 @@ whole epochs, and a prefix of the next one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,9 +110,9 @@ def _cuts(sized: DataFrame, budgets: DataFrame, targets: Targets, scratch: Scrat
     return scratch.save(plan.select(*LEAF, "budget", "epochs", "rest").join(over, [*LEAF], "left"), "cuts")
 
 
-def _leaves(docs: DataFrame) -> DataFrame:
+def _leaves(docs: DataFrame, domain: Callable[[Column], Column]) -> DataFrame:
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.withColumns({"domain": domain_of(known("source")), "lang": known("lang"), "source": known("source")})
+    return docs.withColumns({"domain": F.coalesce(domain(known("source")), F.lit("")), "lang": known("lang"), "source": known("source")})
 
 
 def _copies(targets: Targets) -> Column:
@@ -121,10 +122,11 @@ def _copies(targets: Targets) -> Column:
     return F.coalesce(F.col("epochs") + more, F.lit(0)).cast("int")
 
 
-def mixed(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
+def mixed(docs: DataFrame, targets: Targets = Targets(), *, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, copies): how often each document of ``docs`` is taken.
 
-    ``docs`` has doc_id, text, lang, source. A source takes whole epochs as long as its budget lasts and then
+    ``docs`` has doc_id, text, lang, source; ``domain`` gives the domain of a source's name (the default goes by the
+    number that it ends in, and stands for a table of domains that a caller has). A source takes whole epochs as long as its budget lasts and then
     the documents of the next epoch's order up to the first that would exceed the budget. Documents without
     tokens cost nothing and go with their place in the order. Null and empty texts have no tokens; null names
     count as the name ""; a source of weight 0 gives nothing. Rows of equal id stand or fall together within
@@ -132,20 +134,20 @@ def mixed(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = scratch.save(_leaves(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens"))), "sized")
+    sized = scratch.save(_leaves(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens")), domain), "sized")
     budgets = leaf_budgets(sized.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), targets)
     cuts = _cuts(sized, budgets, targets, scratch)
     taken = sized.join(cuts, [*LEAF], "left").withColumn("copies", _copies(targets))
     return taken.select("doc_id", *LEAF, "n_tokens", "copies")
 
 
-def keep_mixed(docs: DataFrame, targets: Targets = Targets(max_epochs=1)) -> DataFrame:
+def keep_mixed(docs: DataFrame, targets: Targets = Targets(max_epochs=1), *, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture takes it; all columns as they are."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = scratch.save(_leaves(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens"))), "sized")
+    sized = scratch.save(_leaves(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens")), domain), "sized")
     cuts = _cuts(sized, leaf_budgets(sized.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), targets), targets, scratch)
     leaf = {c: f"_leaf_{c}" for c in LEAF}
-    keyed = _leaves(docs.select("doc_id", "lang", "source", F.struct(*docs.columns).alias("row"))).select("row", F.col("doc_id").cast("long").alias("doc_id"), *LEAF)
+    keyed = _leaves(docs.select("doc_id", "lang", "source", F.struct(*docs.columns).alias("row")), domain).select("row", F.col("doc_id").cast("long").alias("doc_id"), *LEAF)
     taken = keyed.join(cuts, [*leaf], "left").withColumn("copies", _copies(targets)).where("copies > 0")
     if targets.max_epochs > 1:
         taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

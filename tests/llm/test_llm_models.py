@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from conftest import ROOT
 
-from tallystone.llm import bpe, htmltext, licences, lm, media, neardup, quality, texthash, topk, warc
+from tallystone.llm import blas, bpe, htmltext, licences, lm, media, neardup, quality, texthash, topk, warc
 
 
 def _strings(texts):
@@ -498,6 +498,14 @@ def test_gradients_match_differences():
             assert (up - down) / 2e-4 == pytest.approx(g.ravel()[i], rel=0.05, abs=2e-4), k
 
 
+def test_products_run_in_one_thread():
+    get = [g for g, _ in blas._controls()]
+    before = [g() for g in get]
+    with blas.one_thread():
+        assert all(g() == 1 for g in get)
+    assert [g() for g in get] == before
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(4)
     pattern = rng.integers(0, lm.N_IDS, 30)

@@ -431,6 +431,12 @@ def test_mixture_edges(spark):
     assert mixing.mixed(df.where("false")).count() == 0 and mixing.keep_mixed(df.where("false")).count() == 0
 
 
+def test_domains_are_a_parameter(spark, documents):
+    own = mixing.mixed(documents, domain=lambda s: F.when(s == "src1", "reference"))
+    assert {r["domain"] for r in own.where("source = 'src1'").select("domain").collect()} <= {"reference"}
+    assert {r["domain"] for r in own.where("source <> 'src1'").select("domain").distinct().collect()} == {""}
+
+
 def test_kept_rows_match_the_copies(spark, documents):
     targets = mixing.Targets(max_epochs=3)
     copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(documents, targets).collect()}
