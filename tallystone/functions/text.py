@@ -55,10 +55,13 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def uuid5(names: pd.Series) -> pd.Series:
-    """Name-based identifiers in the URL namespace."""
-    return names.map(lambda n: str(uuid.uuid5(uuid.NAMESPACE_URL, n)), na_action="ignore")
+def uuid5(name: Column) -> Column:
+    """Name-based identifiers (version 5) in the URL namespace: the SHA-1 of namespace and name, with version and
+    variant put in."""
+    h = F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_URL.hex)), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
 @F.pandas_udf(StringType())

@@ -212,3 +212,20 @@ def counted(violations: Violations, *, all_: bool = False) -> DataFrame:
 def audited(violations: Violations) -> DataFrame:
     """The report: (check_name, severity, n, samples)."""
     return report([finding(rows, check, severity, sample) for check, severity, sample, rows in violations])
+
+
+def translation_checks(rows: DataFrame) -> DataFrame:
+    """(check_name, n) over texts (summary) and their English translations (content): missing ones, Arabic letters in
+    them, numbers of three or more digits of a text that its translation lacks, texts left as they were, and all rows."""
+    content, summary = F.coalesce("content", F.lit("")), F.coalesce("summary", F.lit(""))
+    there = F.trim(content) != ""
+    numbers = lambda x: F.regexp_extract_all(x, F.lit("[0-9]{3,}"), F.lit(0))
+    tests = {
+        "missing translation": ~there,
+        "Arabic script in English": there & content.rlike("[\\x{0600}-\\x{06FF}]"),
+        "numbers lost": there & (F.size(F.array_except(numbers(summary), numbers(content))) > 0),
+        "untranslated": there & (content == summary),
+        "rows": F.lit(True),
+    }
+    one = rows.agg(*[F.count_if(t).alias(name) for name, t in tests.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("check_name"), F.col(f"`{name}`").alias("n")) for name in tests])).alias("r")).select("r.*")

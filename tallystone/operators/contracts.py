@@ -94,6 +94,30 @@ def brief_violations(briefs: DataFrame, roots: DataFrame) -> DataFrame:
     return found.unionByName(strange.select("brief_id", F.concat("name", F.lit(" cites evidence that is no root: "), "id").alias("violation")))
 
 
+class BatchRefused(ValueError):
+    """A batch of results that isn't one for each requested id; nothing of it has been taken over."""
+
+
+def batch_problems(requested: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """(key, problem): requested ids without a result or with several, and results of ids that are blank or weren't
+    asked for. Ids are compared without the white space around them."""
+    asked = requested.select(F.trim(F.col(key).cast("string")).alias(key)).distinct()
+    got = results.select(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias(key)).groupBy(key).agg(F.count("*").alias("n"))
+    both = asked.withColumn("asked", F.lit(True)).join(got, key, "full")
+    problem = F.when(F.col(key).isin("", "pending"), "blank").when(F.col("asked").isNull(), "not asked for").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated")
+    return both.select(key, problem.alias("problem")).where("problem is not null")
+
+
+def targeted_batch(stored: DataFrame, requested: DataFrame, results: DataFrame, key: str, curated: dict[str, str]) -> DataFrame:
+    """The results of a batch as they may be stored: one for each requested id, or the whole batch is refused. Fields
+    that are curated (field -> column of ``stored``) come from there, whatever a result says; rounds go on by one."""
+    if found := batch_problems(requested, results, key).limit(20).collect():
+        raise BatchRefused("; ".join(f"{r[key]}: {r['problem']}" for r in found))
+    own = stored.select(F.col(key).cast("string").alias(key), *[F.col(c).alias(f"_own_{f}") for f, c in curated.items()], F.col("round_no").alias("_last"))
+    rows = results.withColumn(key, F.trim(F.col(key).cast("string"))).join(own, key, "left")
+    return rows.withColumns({**{f: F.col(f"_own_{f}") for f in curated}, "round_no": F.coalesce("_last", F.lit(0)) + 1}).drop("_last", *[f"_own_{f}" for f in curated])
+
+
 def ingested(lines: DataFrame, line: str, claim_types: tuple[str, ...], authors: tuple[str, ...]) -> DataFrame:
     """``lines`` with the fields of an observation (column ``item``) or why it is refused (``refused``).
 

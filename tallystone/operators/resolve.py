@@ -42,8 +42,10 @@ def resolved(candidates: DataFrame, identifiers: DataFrame, merchants: DataFrame
     A single owner of its strong identifiers (all kinds but address) is the entity; else a row of the same
     normalised name and city; else it is new. ``how`` says which, and whether other owners collide.
     """
-    strong = candidates.where("kind <> 'address'").join(identifiers.select("kind", "normalized", "merchant_id"), ["kind", "normalized"])
-    owners = strong.groupBy("candidate_id").agg(F.count_distinct("merchant_id").alias("owners"), F.min("merchant_id").alias("owner"))
+    # one row for each identifier, however many own it
+    held = identifiers.groupBy("kind", "normalized").agg(F.count_distinct("merchant_id").alias("n"), F.min("merchant_id").alias("owner"))
+    strong = candidates.where("kind <> 'address'").join(held, ["kind", "normalized"])
+    owners = strong.groupBy("candidate_id").agg(F.greatest(F.max("n"), F.count_distinct("owner")).alias("owners"), F.min("owner").alias("owner"))
     named = candidates.select("candidate_id", canonical_name(F.col("name")).alias("_name"), F.lower("city").alias("_city")).distinct().where("_name <> ''")
     by_name = named.join(merchants.select(F.col("merchant_id").alias("same"), canonical_name(F.col("name")).alias("_name"), F.lower("city").alias("_city")), ["_name", "_city"]).groupBy("candidate_id").agg(F.min("same").alias("same"))
     out = candidates.select("candidate_id").distinct().join(owners, "candidate_id", "left").join(by_name, "candidate_id", "left")

@@ -70,6 +70,21 @@ def postings(names: DataFrame, key: str, name: str) -> DataFrame:
     return names.select(key, F.explode(both).alias("token")).distinct()
 
 
+def posting_lists(rows: DataFrame, key: str, span: int) -> DataFrame:
+    """(token, part, ids): sorted lists of the keys (whole numbers) that hold each token, one for each span of keys, so
+    that the list of a token that all hold is many rows of at most ``span`` keys."""
+    part = F.floor(F.col(key) / F.lit(span)).cast("long")
+    return rows.groupBy("token", part.alias("part")).agg(F.sort_array(F.collect_list(key)).alias("ids"))
+
+
+def owners(identifiers: DataFrame) -> DataFrame:
+    """(way, form, merchant_id, value): owners of searchable identifiers by kind and lower-case value; of several
+    spellings an owner keeps the least."""
+    kind, value = F.col("kind"), F.col("normalized")
+    shown = identifiers.where(is_searchable_identifier(kind, value))
+    return shown.groupBy(kind.alias("way"), F.lower(value).alias("form"), "merchant_id").agg(F.min(value).alias("value"))
+
+
 def trigram_postings(tokens: DataFrame) -> DataFrame:
     """(trigram, token) of every distinct token."""
     return tokens.select("token").distinct().select("token", F.explode(F.array_distinct(T.trigrams(F.col("token")))).alias("trigram"))
@@ -269,9 +284,9 @@ def holding(tokens: DataFrame, index: Index) -> DataFrame:
     Tokens and words meet by the token's rarest run of characters."""
     asked = tokens.select("token").distinct()
     run = F.when(F.length("token") >= 3, runs(F.col("token"), 3)).otherwise(runs(F.col("token"), 2))
-    sizes = index.grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.where(F.length("token") >= 2).select("token", F.explode(run).alias("gram")).join(sizes, "gram", "left")
-    rarest = rarest.groupBy("token").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    each = asked.where(F.length("token") >= 2).select("token", F.explode(F.array_distinct(run)).alias("gram"))
+    sizes = index.grams.join(each.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = each.join(sizes, "gram", "left").groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
     found = rarest.join(index.grams.withColumnRenamed("token", "found"), "gram").where(F.contains("found", F.col("token"))).select("token", "found")
     single = asked.where(F.length("token") == 1).select("token", F.col("token").alias("found"))
     return found.unionByName(single).join(index.words.withColumnRenamed("token", "found"), "found").select("token", "found", "holders")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import values as V
 from tallystone.operators import audit, dedupe, directory
+from tallystone.plans.filters import SEARCHABLE
 from tallystone.plans.registry import query
 from tallystone.plans.views import CUTOFF_2Y, Views
 
@@ -147,11 +148,25 @@ def _(v: Views) -> DataFrame:
     return v.table("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
 
 
-@query("ag21_inverted_index", "SELECT token, list_sort(list(p_partkey)) AS ids FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part) GROUP BY 1")
+@query("ag21_inverted_index", "SELECT token, CAST(p_partkey // 1000 AS BIGINT) AS part, list_sort(list(p_partkey)) AS ids FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part) GROUP BY 1, 2")
 def _(v: Views) -> DataFrame:
-    from tallystone.operators.search import postings
+    from tallystone.operators.search import posting_lists, postings
 
-    return postings(v.table("part"), "p_partkey", "p_name").groupBy("token").agg(F.sort_array(F.collect_list("p_partkey")).alias("ids"))
+    return posting_lists(postings(v.table("part"), "p_partkey", "p_name"), "p_partkey", 1000)
+
+
+@query("ag21_trigram_index", "SELECT DISTINCT unnest(list_transform(range(1, length(token) + 2), lambda i: substr(concat('  ', token, ' '), CAST(i AS INTEGER), 3))) AS trigram, token FROM (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS token FROM part)")
+def _(v: Views) -> DataFrame:
+    from tallystone.operators.search import postings, trigram_postings
+
+    return trigram_postings(postings(v.table("part"), "p_partkey", "p_name")).select("trigram", "token")
+
+
+@query("ag21_owners", "SELECT kind AS way, lower(normalized) AS form, merchant_id, min(normalized) AS value FROM identifiers WHERE kind IN ('phone', 'whatsapp', 'email') AND " + SEARCHABLE + " GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    from tallystone.operators.search import owners
+
+    return owners(v.identifiers.where("kind in ('phone', 'whatsapp', 'email')"))
 
 
 @query("ag22_set_hash", "SELECT merchant_id, substr(sha256(string_agg(concat(CAST(evidence_id AS VARCHAR), '|', claim_type, '|', sentiment), ',' ORDER BY evidence_id)), 1, 32) AS set_hash FROM evidence GROUP BY 1")

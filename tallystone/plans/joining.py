@@ -126,13 +126,13 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "j17_entity_resolution",
-    """WITH hit AS (SELECT q.identifier_id AS cand, count(DISTINCT i.merchant_id) AS owners, min(i.merchant_id) AS owner FROM identifiers q JOIN identifiers i ON i.kind = q.kind AND i.normalized = q.normalized AND i.identifier_id < 1000 WHERE q.identifier_id >= 1000 AND q.kind <> 'address' GROUP BY 1)
-    SELECT q.identifier_id AS candidate_id, CASE WHEN h.owners = 1 THEN h.owner END AS merchant_id, CASE WHEN h.owners = 1 THEN 'identifier' WHEN h.owners > 1 THEN 'new_with_collision' ELSE 'new' END AS how FROM identifiers q LEFT JOIN hit h ON h.cand = q.identifier_id WHERE q.identifier_id >= 1000""",
+    """WITH hit AS (SELECT q.identifier_id AS cand, count(DISTINCT i.merchant_id) AS owners, min(i.merchant_id) AS owner FROM identifiers q JOIN identifiers i ON i.kind = q.kind AND i.normalized = q.normalized AND i.confidence >= 0.5 WHERE q.confidence < 0.5 AND q.kind <> 'address' GROUP BY 1)
+    SELECT q.identifier_id AS candidate_id, CASE WHEN h.owners = 1 THEN h.owner END AS merchant_id, CASE WHEN h.owners = 1 THEN 'identifier' WHEN h.owners > 1 THEN 'new_with_collision' ELSE 'new' END AS how FROM identifiers q LEFT JOIN hit h ON h.cand = q.identifier_id WHERE q.confidence < 0.5""",
 )
 def _(v: Views) -> DataFrame:
     i = v.identifiers
-    candidates = i.where("identifier_id >= 1000").select(c("identifier_id").alias("candidate_id"), "kind", "normalized", F.lit("").alias("name"), F.lit("").alias("city"))
-    return resolve.resolved(candidates, i.where("identifier_id < 1000"), v.merchants).select("candidate_id", "merchant_id", "how")
+    candidates = i.where("confidence < 0.5").select(c("identifier_id").alias("candidate_id"), "kind", "normalized", F.lit("").alias("name"), F.lit("").alias("city"))
+    return resolve.resolved(candidates, i.where("confidence >= 0.5"), v.merchants).select("candidate_id", "merchant_id", "how")
 
 
 _MOVED = "CASE WHEN {0} % 10 = 9 THEN {0} - 9 ELSE {0} END"

@@ -226,10 +226,16 @@ def _(v: Views) -> DataFrame:
     return contracts.brief_violations(briefs, roots)
 
 
-@query("dq14_bilingual", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(t.content) AS BIGINT) AS translated, CAST(count(*) FILTER (WHERE t.content = e.summary) AS BIGINT) AS same FROM evidence e LEFT JOIN translations t ON t.record_id = e.evidence_id")
+@query(
+    "dq14_bilingual",
+    """WITH t AS (SELECT evidence_id, coalesce(summary, '') AS summary, CASE WHEN evidence_id % 11 = 0 THEN NULL WHEN evidence_id % 11 = 1 THEN '' WHEN evidence_id % 11 = 2 THEN concat('متجر', CAST(evidence_id AS VARCHAR)) WHEN evidence_id % 11 = 3 THEN summary ELSE concat('EN ', summary, ' ', CAST(evidence_id + 1000 AS VARCHAR)) END AS content FROM evidence)
+    SELECT 'missing translation' AS check_name, count(*) FILTER (WHERE content IS NULL OR trim(content) = '') AS n FROM t UNION ALL SELECT 'Arabic script in English', count(*) FILTER (WHERE evidence_id % 11 = 2) FROM t UNION ALL SELECT 'numbers lost', count(*) FILTER (WHERE evidence_id % 11 IN (2) AND len(list_filter(list_distinct(regexp_extract_all(summary, '[0-9]{3,}')), lambda x: NOT list_contains(regexp_extract_all(content, '[0-9]{3,}'), x))) > 0) FROM t UNION ALL SELECT 'untranslated', count(*) FILTER (WHERE content = summary AND trim(summary) <> '') FROM t UNION ALL SELECT 'rows', count(*) FROM t""",
+)
 def _(v: Views) -> DataFrame:
-    both = v.evidence.join(v.translations.withColumnRenamed("record_id", "evidence_id").select("evidence_id", "content"), "evidence_id", "left")
-    return both.agg(F.count("*").alias("n"), F.count("content").alias("translated"), F.count_if(c("content") == c("summary")).alias("same"))
+    """Translations that are missing, blank, in the wrong script, unchanged, or without numbers of the text."""
+    k = c("evidence_id") % 11
+    content = F.when(k == 0, None).when(k == 1, "").when(k == 2, F.concat(F.lit("متجر"), c("evidence_id").cast("string"))).when(k == 3, c("summary")).otherwise(F.concat(F.lit("EN "), "summary", F.lit(" "), (c("evidence_id") + 1000).cast("string")))
+    return audit.translation_checks(v.evidence.select("evidence_id", "summary", content.alias("content")))
 
 
 @query("dq15_manifest_equality", "SELECT 'sources' AS table_name, (SELECT count(*) FROM sources) AS n UNION ALL SELECT 'evidence', (SELECT count(*) FROM evidence)")
@@ -238,12 +244,22 @@ def _(v: Views) -> DataFrame:
     return exports.verified(exports.counted(tables), tables)
 
 
-@query("dq16_batch_contract", "SELECT merchant_id, CASE WHEN merchant_id % 9 = 0 THEN 'missing' WHEN merchant_id % 9 = 1 THEN 'repeated' ELSE 'ok' END AS outcome FROM merchants")
+@query("dq16_batch_contract", "SELECT CAST(merchant_id AS VARCHAR) AS merchant_id, CASE WHEN merchant_id % 9 = 0 THEN 'missing' WHEN merchant_id % 9 = 1 THEN 'repeated' END AS problem FROM merchants WHERE merchant_id % 9 < 2 UNION ALL SELECT CAST(merchant_id + 1000000 AS VARCHAR), 'not asked for' FROM merchants WHERE merchant_id % 7 = 3 UNION ALL SELECT 'pending', 'blank' FROM merchants HAVING count(*) > 0")
+def _(v: Views) -> DataFrame:
+    """Results with some missing, repeated, of ids that nobody asked for, and one that has no id yet."""
+    asked = v.merchants.select(c("merchant_id").cast("string").alias("merchant_id"))
+    k = c("merchant_id").cast("bigint")
+    got = asked.where(k % 9 != 0).select(F.concat(F.lit(" "), "merchant_id").alias("merchant_id")).unionByName(asked.where(k % 9 == 1)).unionByName(asked.where(k % 7 == 3).select((k + 1000000).cast("string").alias("merchant_id")))
+    return contracts.batch_problems(asked, got.unionByName(asked.agg(F.count("*")).select(F.lit("pending").alias("merchant_id"))), "merchant_id")
+
+
+@query("dq16_targeted_batch", "SELECT CAST(merchant_id AS VARCHAR) AS merchant_id, identity_confidence, concat('round of ', name) AS notes, coalesce((SELECT max(round_no) FROM analyses a WHERE a.merchant_id = m.merchant_id), 0) + 1 AS round_no FROM merchants m")
 def _(v: Views) -> DataFrame:
-    asked = v.merchants.select("merchant_id")
-    got = asked.where("merchant_id % 9 <> 0").unionByName(asked.where("merchant_id % 9 = 1"))
-    n = got.groupBy("merchant_id").agg(F.count("*").alias("n"))
-    return asked.join(n, "merchant_id", "left").select("merchant_id", F.when(c("n").isNull(), "missing").when(c("n") > 1, "repeated").otherwise("ok").alias("outcome"))
+    """A batch that holds: what the results say of curated confidence doesn't count."""
+    rounds = v.analyses.groupBy("merchant_id").agg(F.max("round_no").alias("round_no"))
+    stored = v.merchants.join(rounds, "merchant_id", "left").select("merchant_id", "identity_confidence", "round_no")
+    results = v.merchants.select(F.concat(c("merchant_id").cast("string"), F.lit(" ")).alias("merchant_id"), F.lit(0.99).alias("identity_confidence"), F.concat(F.lit("round of "), "name").alias("notes"))
+    return contracts.targeted_batch(stored, v.merchants.select("merchant_id"), results, "merchant_id", {"identity_confidence": "identity_confidence"})
 
 
 @query(

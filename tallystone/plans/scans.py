@@ -37,7 +37,17 @@ def _(v: Views) -> DataFrame:
     return readers.dispatched(lines).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("sc05_json_documents", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role FROM conversations")
+@query("sc05_json_documents", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, false AS broken FROM conversations")
+def _(v: Views) -> DataFrame:
+    """Documents of one array each, over many lines, written by ranges of conversations and read back whole."""
+    where = exports.shared_folder(v.spark)
+    item = F.concat(F.lit("{\n  "), F.substring(F.to_json(F.struct("conv_id", "turn", "role")), 2, 1_000_000))
+    files = v.table("conversations").groupBy(F.floor(c("conv_id") / 1000).alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(item), ",\n"), F.lit("\n]")).alias("value"))
+    files.write.partitionBy("file").text(where)
+    return readers.multi_line(v.spark, f"{where}/*", "conv_id bigint, turn bigint, role string").select("conv_id", "turn", "role", c("broken").isNotNull().alias("broken"))
+
+
+@query("sc05_json_cells", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role FROM conversations")
 def _(v: Views) -> DataFrame:
     whole = v.table("conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role"))).alias("doc"))
     return readers.exploded(whole, "doc", "array<struct<turn: bigint, role: string>>").select("conv_id", "item.turn", "item.role")
@@ -58,6 +68,24 @@ def _(v: Views) -> DataFrame:
     return readers.event_usage(raw, "session_id", "line", ("input", "k"))
 
 
+@query(
+    "sc08_agent_runs",
+    """WITH k AS (SELECT user_id, event_id, event_id % 8 AS k, CAST(event_id AS VARCHAR) AS i FROM events)
+    SELECT user_id, max(CASE WHEN k = 0 THEN concat('s', i) WHEN k = 5 THEN concat('t', i) END ORDER BY event_id) AS unused, last(CASE k WHEN 0 THEN concat('s', i) WHEN 5 THEN concat('t', i) END ORDER BY event_id) FILTER (WHERE k IN (0, 5)) AS session_id,
+      coalesce(string_agg(CASE k WHEN 1 THEN concat('done ', i) WHEN 2 THEN concat('part ', i) WHEN 3 THEN concat('a', i, 'b') WHEN 4 THEN concat('one ', i, chr(10), chr(10), 'two') END, concat(chr(10), chr(10)) ORDER BY event_id) FILTER (WHERE k IN (1, 2, 3, 4)), '') AS text,
+      CAST(sum(CASE k WHEN 1 THEN 3 WHEN 2 THEN 10 WHEN 3 THEN 7 ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum(CASE k WHEN 1 THEN 2 WHEN 5 THEN 4 ELSE 0 END) AS BIGINT) AS output_tokens, round(sum(CASE k WHEN 3 THEN 0.25 ELSE 0 END), 6) AS cost, count(*) FILTER (WHERE k NOT IN (6, 7)) AS events, count(*) FILTER (WHERE k = 6) AS bad_lines FROM k GROUP BY 1""".replace("max(CASE WHEN k = 0 THEN concat('s', i) WHEN k = 5 THEN concat('t', i) END ORDER BY event_id) AS unused, ", ""),
+)
+def _(v: Views) -> DataFrame:
+    """Each user's events as a log: sessions, messages, deltas, parts, ends of agents, lines that are broken or no object."""
+    shapes = (
+        '{"type": "session_start", "id": "s%"}', '{"type": "message_end", "message": {"role": "assistant", "content": "done %", "usage": {"input": 3, "output": 2}}}', '{"event": "text_delta", "delta": "part %", "usage": {"prompt_tokens": 5}}',
+        '{"type": "message", "data": {"content": [{"type": "text", "text": "a%"}, "b", {"type": "image"}]}, "usageStats": {"tokens": {"input": 7}, "total_cost": 0.25}}', '{"type": "agent_end", "messages": [{"role": "user", "content": "no"}, "one %", {"text": "two"}]}', '{"type": "tool", "sessionId": "t%", "usage": {"completion_tokens": "4"}}', '{"type": "message', "[1, 2]",
+    )
+    made = F.replace(F.element_at(F.array(*map(F.lit, shapes)), (c("event_id") % 8 + 1).cast("int")), F.lit("%"), c("event_id").cast("string"))
+    out = readers.agent_runs(v.table("events").select("user_id", "event_id", made.alias("line")), "user_id", "event_id", "line")
+    return out.select("user_id", "session_id", "text", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"), "events", "bad_lines")
+
+
 @query("sc09_messy_json")
 def _(v: Views) -> DataFrame:
     raw = v.table("events").select("event_id", F.concat(F.lit("Here you are:\n```json\n"), F.regexp_replace("props", "}", ",}"), F.lit("\n```\nDone {not json")).alias("text"))

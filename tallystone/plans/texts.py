@@ -66,7 +66,10 @@ def _(v: Views) -> DataFrame:
     return v.tasks.select("task_id", T.task_id(c("title"), c("priority")).alias("hashed"))
 
 
-@query("f06_name_based_ids")
+_H = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat('claim:', CAST(merchant_id AS VARCHAR))))"
+
+
+@query("f06_name_based_ids", f"SELECT merchant_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 18, 3), '-', substr(h, 21, 12)) AS claim_id FROM (SELECT merchant_id, {_H} AS h FROM merchants)")
 def _(v: Views) -> DataFrame:
     return v.merchants.select("merchant_id", T.uuid5(F.concat(F.lit("claim:"), c("merchant_id").cast("string"))).alias("claim_id"))
 

@@ -138,6 +138,13 @@ def test_query_url(raw, kind, keys):
     assert (got and got["kind"], got and got["path_keys"]) == (kind, keys)
 
 
+@pytest.mark.parametrize("name", ["", "claim:1", "متجر ٣", "x" * 300])
+def test_name_based_ids(spark, name):
+    import uuid
+
+    assert one(spark, name, T.uuid5) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+
+
 def test_offices_are_no_identity():
     assert U.link_keys("https://www.cpa.gov.eg/x")["external"] and not U.link_keys("https://play.google.com/x")["external"]
 

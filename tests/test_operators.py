@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from tallystone.operators import assess, audit, components, dedupe, dml, numbering, ranking, resolve, search
+from tallystone.operators import assess, audit, components, contracts, dedupe, dml, numbering, ranking, resolve, search
 from tallystone.plans import registry
 from tallystone.sources import exports
 from tallystone.streaming import incremental as S
@@ -368,6 +368,17 @@ def test_merge_with_a_failed_postcondition_publishes_nothing(spark, data, monkey
         resolve.reviewed_merge(broken, spark.createDataFrame([(2, 1)], "old long, new long"), apply=True)
 
 
+def test_targeted_batches_are_all_or_nothing(spark):
+    stored = spark.createDataFrame([(1, 0.4, 3), (2, 0.6, None)], "id long, confidence double, round_no int")
+    asked = spark.createDataFrame([("1",), ("2",)], "id string")
+    results = lambda *ids: spark.createDataFrame([(i, 0.9) for i in ids], "id string, confidence double")
+    got = contracts.targeted_batch(stored, asked, results(" 1", "2"), "id", {"confidence": "confidence"})
+    assert sorted((r["id"], r["confidence"], r["round_no"]) for r in got.collect()) == [("1", 0.4, 4), ("2", 0.6, 1)]
+    for ids, why in ((("1",), "2: missing"), (("1", "2", "1 "), "1: repeated"), (("1", "2", "3"), "3: not asked for"), (("1", "2", "pending"), "pending: blank")):
+        with pytest.raises(contracts.BatchRefused, match=why):
+            contracts.targeted_batch(stored, asked, results(*ids), "id", {"confidence": "confidence"})
+
+
 def test_audit_finds_planted_faults(spark, data):
     flawed = {k: df for k, df in data.items() if k != "aliases"} | {"claims": data["claims"].where("claim_id <> 300"), "evidence": data["evidence"].withColumn("source_id", F.when(F.col("evidence_id") == 1, 99).otherwise(F.col("source_id")))}
     found = {r["check_name"]: (r["n"], r["samples"]) for r in audit.audited(audit.reference_violations(flawed)).collect()}
