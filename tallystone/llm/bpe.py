@@ -19,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose ids a worker keeps; beyond, it starts afresh.
-CACHE_PIECES = 500_000
+#: Pieces whose ids a task keeps; beyond, it starts afresh.
+CACHE_PIECES = 300_000
 #: Longer pieces aren't kept.
 CACHE_PIECE_CHARS = 64
 
@@ -80,11 +80,14 @@ class Vocabulary:
         key = left * self.size + right
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             known = self._fits[key] = self._adjacent(left, right)
         return known
 
+    def forget(self) -> None:
+        self._fits.clear()
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece: the prefix table of PrefixTable, filled in one go and read off backwards."""
         get, fits, size, n = self.trie.get, self._fits.get, self.size, len(piece)
@@ -195,6 +198,11 @@ class Encoder:
         known, piece = self._known.get, self._piece
         return b"".join([known(p) or piece(p) for p in self._split(text)])
 
+    def forget(self) -> None:
+        """Drop what was kept: a worker lives on after a task, and other tasks need its memory."""
+        self._known.clear()
+        self.vocabulary.forget()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -213,6 +221,13 @@ def public_vocabulary() -> tuple[str, str]:
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     coder = encoder(path, pattern)
+    try:
+        yield from _encoded(batches, coder, with_ids)
+    finally:
+        coder.forget()
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], coder: Encoder, with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         count, ids_sha, text_sha, kept = [], [], [], []
         for text in batch.column(1):
