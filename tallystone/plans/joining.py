@@ -40,10 +40,10 @@ def _(v: Views) -> DataFrame:
     return v.sources.join(latest, "source_id", "left").select("source_id", "status")
 
 
-@query("j06_orphans", "SELECT 'check' AS kind, check_id AS id FROM checks WHERE source_id NOT IN (SELECT source_id FROM sources WHERE source_id >= 20) UNION ALL SELECT 'alias', alias_id FROM aliases WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants WHERE merchant_id < 95)")
+@query("j06_orphans", "SELECT 'check' AS kind, check_id AS id FROM checks WHERE source_id NOT IN (SELECT source_id FROM sources WHERE platform <> 'forum thread') UNION ALL SELECT 'alias', alias_id FROM aliases WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants WHERE state <> 'REQUIRES_MANUAL_REVIEW')")
 def _(v: Views) -> DataFrame:
-    a = v.checks.join(v.sources.where("source_id >= 20"), "source_id", "left_anti").select(F.lit("check").alias("kind"), c("check_id").alias("id"))
-    b = v.aliases.join(v.merchants.where("merchant_id < 95"), "merchant_id", "left_anti").select(F.lit("alias").alias("kind"), c("alias_id").alias("id"))
+    a = v.checks.join(v.sources.where("platform <> 'forum thread'"), "source_id", "left_anti").select(F.lit("check").alias("kind"), c("check_id").alias("id"))
+    b = v.aliases.join(v.merchants.where("state <> 'REQUIRES_MANUAL_REVIEW'"), "merchant_id", "left_anti").select(F.lit("alias").alias("kind"), c("alias_id").alias("id"))
     return a.unionByName(b)
 
 

@@ -165,12 +165,19 @@ def _(v: Views) -> DataFrame:
     return audit.report([audit.finding(v.evidence.where(F.trim("summary") == ""), "blank summary", "warn", "evidence_id"), audit.finding(v.evidence.where("confidence > 1"), "range", "fatal", "evidence_id")])
 
 
-@query("dq11_preflight", "SELECT merchant_id + 1000 AS old, 'missing' AS problem FROM merchants WHERE merchant_id < 3 UNION ALL SELECT 9, 'target retired' WHERE EXISTS (SELECT 1 FROM merchants WHERE merchant_id = 19)")
+@query(
+    "dq11_preflight",
+    "SELECT merchant_id + 1000000 AS old, 'missing' AS problem FROM merchants WHERE merchant_id % 10 = 3 UNION ALL SELECT m.merchant_id, 'target retired' FROM merchants m JOIN merchants r ON r.merchant_id = m.merchant_id + 9 WHERE m.merchant_id % 10 = 0 UNION ALL SELECT merchant_id, 'repeated' FROM merchants WHERE merchant_id % 10 = 5",
+)
 def _(v: Views) -> DataFrame:
-    good = v.merchants.where("merchant_id in (19, 29)").select(c("merchant_id").alias("old"), (c("merchant_id") - 9).alias("new"))
-    bad = v.merchants.where("merchant_id < 3").select((c("merchant_id") + 1000).alias("old"), F.lit(50).cast("bigint").alias("new"))
-    chain = v.merchants.where("merchant_id = 9").select(c("merchant_id").alias("old"), F.lit(19).cast("bigint").alias("new"))
-    return resolve.preflight(good.unionByName(bad).unionByName(chain), v.merchants)
+    """A mapping that is sound for one entity in ten, and wrong in each way for others."""
+    m, k = v.merchants.select("merchant_id"), c("merchant_id") % 10
+    to = lambda rows, old, new: rows.select(old.cast("bigint").alias("old"), new.cast("bigint").alias("new"))
+    retired = m.where(k == 9).select((c("merchant_id") - 9).alias("merchant_id"))
+    mapping = to(m.where(k == 9), c("merchant_id"), c("merchant_id") - 8).unionByName(to(m.where(k == 3), c("merchant_id") + 1000000, c("merchant_id")))
+    mapping = mapping.unionByName(to(m.join(retired, "merchant_id", "left_semi"), c("merchant_id"), c("merchant_id") + 9))
+    twice = to(m.where(k == 5), c("merchant_id"), c("merchant_id") + 1).unionByName(to(m.where(k == 5), c("merchant_id"), c("merchant_id") + 2))
+    return resolve.preflight(mapping.unionByName(twice), v.merchants)
 
 
 def merge_tables(v: Views) -> dict[str, DataFrame]:
