@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINE = (
     "flagship_directory ag05_quality_metrics ag08_coverage ag10_positive_rank ag11_claim_rollup ag21_inverted_index j10_undirected_edges j16_shared_identifiers j23_fuzzy f04_fingerprints f07_canonical_url w03_keeper_by_url w05_duplicate_components gr01_pointer_chase "
-    "r04_reputation r06_category_tags so06_positive_order so10_page dq10_report sk09_upsert str2_task_states r18_search_batch op1_dart_near_dedup op2_html_main_text op3_media_columns op4_attention_lm op5_licence_notices op6_warc_archives op7_mixture op8_byte_cnn_quality op9_prefix_bpe op10_exact_top_k pipeline"
+    "r04_reputation r06_category_tags so06_positive_order so10_page dq10_report sk09_upsert str2_task_states ag21_search_index r18_search_batch op1_dart_near_dedup op2_html_main_text op3_media_columns op4_attention_lm op5_licence_notices op6_warc_archives op7_mixture op8_byte_cnn_quality op9_prefix_bpe op10_exact_top_k pipeline"
 ).split()
 
 

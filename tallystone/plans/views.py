@@ -117,6 +117,12 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stamp(self, name: str) -> tuple[int, int]:
+        """Bytes and last change of a table's file or folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime()
+
     def view(self, name: str) -> DataFrame:
         text = VIEWS[name]
         used = {t: self.table(t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)}
