@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.functions import text as T
-from tallystone.functions import values as V
 from tallystone.operators import audit, contracts, dedupe, dml, resolve
 from tallystone.plans.filters import SEARCHABLE
 from tallystone.plans.registry import query

@@ -93,7 +93,6 @@ VIEWS: dict[str, str] = {
     "translations": "SELECT doc_id AS record_id, 'evidence' AS table_name, 'summary' AS field, CASE WHEN doc_id % 4 = 0 THEN 'en' ELSE 'ar' END AS lang, concat('EN ', text) AS content FROM documents",
 }
 _NAMES = re.compile(r"\b(" + "|".join(VIEWS) + r")\b")
-_BASE = re.compile(r"\b(" + "|".join(TABLES) + r")\b(?!\.|_)")
 
 
 def duck(body: str) -> str:

@@ -52,7 +52,6 @@ USAGE = {
     "cost": ("cost", "total_cost", "totalCost"),
 }
 MESSAGE_EVENTS, DELTA_EVENTS, SESSION_EVENTS = ("message_end", "turn_end", "message", "assistant", "output"), ("message_update", "text_delta"), ("session", "session_start", "session_created")
-TEXT_ITEMS = ("text", "output_text", "input_text")
 
 
 def _is(value: Column, kind: str) -> Column:
