@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a task keeps; beyond, it starts afresh.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Longer pieces aren't kept.
 CACHE_PIECE_CHARS = 64
 
@@ -85,6 +85,9 @@ class Vocabulary:
             known = self._fits[key] = self._adjacent(left, right)
         return known
 
+    def forget(self) -> None:
+        self._fits.clear()
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece: the prefix table of PrefixTable, filled in one go and read off backwards."""
         get, fits, size, n = self.trie.get, self._fits.get, self.size, len(piece)
@@ -196,8 +199,9 @@ class Encoder:
         return b"".join([known(p) or piece(p) for p in self._split(text)])
 
     def forget(self) -> None:
-        """Drop the pieces: a worker lives on after a task, and other tasks need its memory."""
+        """Drop what was kept: a worker lives on after a task, and other tasks need its memory."""
         self._known.clear()
+        self.vocabulary.forget()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
