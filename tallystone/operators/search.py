@@ -160,8 +160,9 @@ class Index:
     trigrams: DataFrame  # trigram, token: padded ones, of tokens of names of four or more characters
 
     def stored(self) -> Index:
-        """The index in the shared folder."""
-        return Index(**{f.name: cut(getattr(self, f.name)) for f in fields(self)})
+        """The index in the shared folder, where ``build_index`` has put its largest tables already."""
+        there = ("candidates", "postings", "words")
+        return Index(**{f.name: getattr(self, f.name) if f.name in there else cut(getattr(self, f.name)) for f in fields(self)})
 
 
 def _label(df: DataFrame, value: Column, kind: str | Column) -> DataFrame:
@@ -210,9 +211,10 @@ def build_index(merchants: DataFrame, identifiers: DataFrame, aliases: DataFrame
     both = F.array_union(T.tokens(loose), T.tokens(strict))
     held = texts.select("merchant_id", "kind", "display", F.when((F.col("kind") == "name") & (loose != strict), both).otherwise(T.tokens(loose)).alias("tokens"))
     held = held.unionByName(handles.select("merchant_id", F.lit("name").alias("kind"), F.col("normalized").alias("display"), F.array(F.lower("handle")).alias("tokens")))
-    candidates = cut(held.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("candidate_id"), "merchant_id", "kind", "display", "tokens"))
-    postings = candidates.select("candidate_id", (F.col("kind") == "name").alias("named"), F.explode(F.array_distinct("tokens")).alias("token"))
-    words = postings.groupBy("token").agg(F.count("*").alias("holders"), F.max("named").alias("named"))
+    # filtered only once written: a filter below would make the tokens of each text twice
+    candidates = cut(held.select(F.monotonically_increasing_id().alias("candidate_id"), "merchant_id", "kind", "display", "tokens")).where(F.size("tokens") > 0)
+    postings = cut(candidates.select("candidate_id", (F.col("kind") == "name").alias("named"), F.explode(F.array_distinct("tokens")).alias("token")))
+    words = cut(postings.groupBy("token").agg(F.count("*").alias("holders"), F.max("named").alias("named")))
     return Index(
         entities=merchants.select("merchant_id", "confidence"),
         exact=exact,
@@ -331,7 +333,7 @@ def by_typo(text: DataFrame, index: Index) -> DataFrame:
     near = near.where((F.levenshtein("token", "found") <= most("token")) & (F.col("token") != F.col("found")))
     started = text.select("query_id", "asked", F.explode("asked").alias("token")).join(near, "token")
     started = started.join(index.postings.where("named").select(F.col("token").alias("found"), "candidate_id"), "found").select("query_id", "asked", "candidate_id").distinct()
-    pool = started.join(index.candidates, "candidate_id").withColumn("missed", F.array_except("asked", "tokens"))
+    pool = started.join(index.candidates.where("kind = 'name'"), "candidate_id").withColumn("missed", F.array_except("asked", "tokens"))
     pool = pool.where((F.size("missed") >= 1) & (F.size("missed") <= F.when(F.size("asked") >= 3, 2).otherwise(1)))
     close = lambda t: F.filter("tokens", lambda x: (F.length(x) >= 4) & (F.abs(F.length(x) - F.length(t)) <= most(t)))
     pool = pool.withColumn("steps", F.transform("missed", lambda t: F.array_min(F.transform(close(t), lambda x: F.levenshtein(x, t)))))
