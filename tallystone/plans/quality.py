@@ -87,8 +87,9 @@ def _(v: Views) -> DataFrame:
     "WITH p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey = 55 THEN 1000 WHEN s_suppkey IN (71, 72) THEN 143 - s_suppkey WHEN s_suppkey = 73 THEN 72 ELSE s_suppkey - 1 END AS parent FROM supplier) SELECT id, CASE WHEN id BETWEEN 71 AND 79 THEN 'cycle' WHEN id BETWEEN 55 AND 59 THEN 'missing' END AS problem FROM p WHERE id BETWEEN 71 AND 79 OR id BETWEEN 55 AND 59",
 )
 def _(v: Views) -> DataFrame:
+    """Chains of ten rows, with a cycle and a pointer to a row that isn't there, however many rows there are."""
     k = c("s_suppkey")
-    p = v.table("supplier").select(k.alias("id"), F.when(k % 10 == 0, None).when(k == 55, 1000).when(k.isin(71, 72), 143 - k).when(k == 73, 72).otherwise(k - 1).alias("parent"))
+    p = v.table("supplier").select(k.alias("id"), F.when(k % 10 == 0, None).when(k == 55, -1).when(k.isin(71, 72), 143 - k).when(k == 73, 72).otherwise(k - 1).alias("parent"))
     return dedupe.chased(p, "id", "parent").where("problem is not null").select("id", "problem")
 
 

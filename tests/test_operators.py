@@ -403,3 +403,12 @@ def test_whole_texts_are_scrubbed(spark):
     for r in got:
         assert "01012345678" not in r["scrubbed"] and "@some_user" not in r["scrubbed"]
         assert len(r["scrubbed"]) > len(r["text"]) / 2, r["doc_id"]
+
+
+def test_pointer_to_no_row_at_any_size(spark, duck, tmp_path):
+    """The duplicate chains of dq06 where there are more than a thousand rows."""
+    spark.range(1200).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.queries()["dq06_duplicate_chains"](spark, str(tmp_path)).collect()
+    sql = registry.oracle_sql()["dq06_duplicate_chains"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert sorted((r["id"], r["problem"]) for r in got) == sorted(duck.sql(sql).fetchall())
+    assert {r["problem"] for r in got} == {"cycle", "missing"}
