@@ -192,6 +192,27 @@ def test_search_matches_plain_loops(spark, index):
     assert parts and typos
 
 
+def test_search_work_follows_the_batch(spark, monkeypatch):
+    """Names that share a word, each asked for with an error in it, and many queries of one text: each text is looked
+    up once, and names that hold its rare token are looked at, not all that hold a word like the wrong one."""
+    n = 300
+    name = F.format_string("Market %09d", "id")
+    merchants = spark.range(n).select(F.col("id").alias("merchant_id"), name.alias("name"), F.lit("").alias("category"), F.lit(0.5).alias("confidence"))
+    identifiers = spark.range(n).select(F.col("id").alias("merchant_id"), F.lit("phone").alias("kind"), F.lit("+201012345678").alias("normalized"))
+    none = lambda names: spark.createDataFrame([], ", ".join(f"{x} {'long' if x == 'merchant_id' else 'string'}" for x in names.split()))
+    index = search.build_index(merchants, identifiers, none("merchant_id alias"), none("merchant_id summary"), none("merchant_id summary quoted_excerpt"), none("merchant_id url label")).stored()
+    wrong = spark.range(n).select(F.concat(F.lit("n"), "id").alias("query_id"), F.format_string("Markt %09d", "id").alias("query"))
+    asked = wrong.unionByName(spark.range(n).select(F.concat(F.lit("p"), "id").alias("query_id"), F.lit("010 1234 5678").alias("query")))
+    tables, cut = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: tables.append(cut(df)) or tables[-1])
+    got = search.search(asked, index).where("rank <= 2").collect()
+    assert {(r["query_id"], r["merchant_id"]) for r in got if r["matched_on"] == "typo"} == {(f"n{i}", i) for i in range(n)}
+    assert {(r["query_id"], r["merchant_id"]) for r in got if r["matched_on"] == "phone"} == {(f"p{i}", m) for i in range(n) for m in (0, 1)}
+    assert tables[0].count() == n + 1
+    text = wrong.select("query_id", F.split(F.lower("query"), " ").alias("asked"))
+    assert search.typo_starts(text, index).count() == n
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_numbers_over_a_whole_table(spark, parts):
     """Places are those of one sort, nulls and descending orders among them, with several partitions."""
