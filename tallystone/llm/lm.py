@@ -6,8 +6,9 @@ each, with masked attention over the window. Attention is over learned query, ke
 with a learned bias per distance; the output is a class of ids and an id within the class. A word's
 probability mixes this with the word's share of all training words.
 
-What is learned: word counts and id counts of all training texts; the weights first on the driver, on a small
-sample, and then on the executors, on a fixed share of all training texts, whose weights are averaged.
+What is learned: the ids, word counts and id counts, the weights and the mixture's share, all of them from all
+training texts. Only what the weights start from is made on the driver, on a few texts; the executors then train on
+all texts, whole, and their weights are averaged.
 """
 
 from __future__ import annotations
@@ -32,11 +33,14 @@ from tallystone.llm.texthash import SOLID_BYTES, U64, chunks, string_buffers, wo
 WINDOW, STRIDE, DIM, CLASSES, MEMBERS = 32, 24, 16, 40, 40
 N_IDS = CLASSES * MEMBERS
 END, FIRST_SUBWORD, BEGIN = 256, 257, N_IDS
-#: The driver's sample: about so many training documents (by hash), of a longer one a passage of so many
-#: characters from a place given by its hash; so many steps of so many windows.
+#: What the driver starts the weights on: about so many training documents (by hash), of a longer one a passage of
+#: so many characters from a place given by its hash; so many steps of so many windows.
 SAMPLE_DOCS, SAMPLE_CHARS, STEPS, STEP_WINDOWS = 1500, 1 << 15, 1000, 96
-#: One of so many training documents (by hash, whole texts) goes on training the network, on the executors.
-TRAIN_EVERY = 64
+#: One of so many training documents (by hash, whole texts) goes on training the network, on the executors: all do.
+TRAIN_EVERY = 1
+#: Ratios of the two probabilities of words are told apart by steps of one part in so many of their logarithm, up to
+#: so many steps either way, when the share is fitted.
+RATIO_STEPS, MOST_STEPS = 64, 1 << 12
 #: Pieces of ids that an executor holds at once while it trains, and rate of its steps.
 HELD_PIECES, REFINE_RATE = 1 << 15, 0.005
 #: The most frequent words whose counts every worker gets; counts of all others come by a join, for the mixture too.
@@ -89,7 +93,7 @@ def _ranks(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Subwords:
-    """The ids of the network: bytes, the end, and the vocabulary's tokens that are frequent in the sample."""
+    """The ids of the network: bytes, the end, and the vocabulary's tokens that are most frequent."""
 
     def __init__(self, path: str, chosen: list[int]):
         self.path, self.chosen = path, chosen
@@ -122,14 +126,18 @@ class Subwords:
         return flat, np.diff(edges)
 
     @classmethod
-    def choose(cls, path: str, words: dict[bytes, int]) -> Subwords:
-        size = _encoding(path)[2]
-        ranks, count = _ranks(path, list(words)) if words else (np.zeros(0, np.int64),) * 2
-        times = np.bincount(ranks, weights=np.repeat(np.fromiter(words.values(), np.int64, len(words)), count), minlength=len(size))
-        found = np.flatnonzero((times > 0) & (size > 1))
+    def choose(cls, path: str, times: np.ndarray) -> Subwords:
+        """Those that occur most, by how often each rank of the vocabulary occurs."""
+        found = np.flatnonzero((times > 0) & (_encoding(path)[2] > 1))
         return cls(path, found[np.lexsort((found, -times[found]))][: N_IDS - FIRST_SUBWORD].tolist())
 
 
+def rank_counts(path: str, words: list[bytes], times: np.ndarray) -> np.ndarray:
+    """How often each rank of the vocabulary occurs in words that occur ``times`` each."""
+    ranks, count = _ranks(path, words) if words else (np.zeros(0, np.int64),) * 2
+    return np.bincount(ranks, weights=np.repeat(times, count), minlength=len(_encoding(path)[2])).astype(np.int64)
+
+
 # ---------------------------------------------------------------- network
 
 
@@ -458,7 +466,7 @@ def refined(net: Network, sequences: Iterator[np.ndarray], *, seed: int = 13) ->
 @dataclass
 class Model:
     subwords: Subwords
-    number: np.ndarray  # sample id -> id of the network
+    number: np.ndarray  # id of the subwords -> id of the network
     net: Network | None
     share: float  # of the word counts in the mixture
     name: str = field(default_factory=lambda: uuid.uuid4().hex)  # of the ids
@@ -476,15 +484,23 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def chosen(texts: list[bytes], path: str) -> Model:
-    """The ids of the network, and their numbers in order of their frequency, from a sample; not trained yet."""
+    """``numbered`` for the words of some texts."""
     tally: dict[bytes, int] = {}
     for text in texts:
         for w in _split(text):
             tally[w] = tally.get(w, 0) + 1
-    subwords = Subwords.choose(path, tally)
-    flat, size = subwords.ids(list(tally))
-    often = np.bincount(flat, weights=np.repeat(np.fromiter(tally.values(), np.int64, len(tally)), size), minlength=N_IDS)
-    often[END] = len(texts)
+    return numbered(path, rank_counts(path, list(tally), np.fromiter(tally.values(), np.int64, len(tally))), len(texts))
+
+
+def numbered(path: str, times: np.ndarray, texts: int) -> Model:
+    """The ids of the network, and their numbers in order of their frequency, by how often each rank of the vocabulary
+    occurs in so many texts; not trained yet."""
+    subwords = Subwords.choose(path, times)
+    start, size, spelling = subwords._spelled()
+    often = np.zeros(N_IDS, np.int64)
+    for r in np.flatnonzero(times).tolist():
+        np.add.at(often, spelling[start[r] : start[r] + size[r]], times[r])
+    often[END] = texts
     number = np.empty(N_IDS + 1, np.int64)
     number[np.lexsort((np.arange(N_IDS), -often))] = np.arange(N_IDS)
     number[N_IDS] = BEGIN
@@ -634,6 +650,19 @@ def _parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[int,
 WORD, ID = 0, 1
 
 
+def ranked_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(rank, c): how often each rank of the vocabulary occurs in the texts of a task."""
+    out = np.zeros(len(_encoding(path)[2]), np.int64)
+    for batch in batches:
+        for _, _, text, own in _parts(batch, 0, COUNT_BYTES):
+            hashes, starts, ends, _ = word_hashes(text, own, SOLID_BYTES)
+            _, first, times = np.unique(hashes, return_index=True, return_counts=True)
+            raw = text.tobytes()
+            out += rank_counts(path, [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], times)
+    found = np.flatnonzero(out)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(out[found])], names=["rank", "c"])
+
+
 def counted_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     """(kind, h, c): counts of the words of texts by hash, ends included, for each batch, and for the whole task the
     places in ``id_counts`` that its texts reach."""
@@ -710,6 +739,17 @@ class Scorer:
             self.hit, self.count = np.append(self.hit, hit), np.append(self.count, np.where(hit, self.counts[at], 0))
         return (self.hit, self.count) if len(self.heads) else (np.zeros(table.n, bool), np.zeros(table.n))
 
+    def ratios(self, c: Coded) -> tuple[np.ndarray, ...]:
+        """For each distinct word of each row, ends included: whether its count is known here, the count, the word's
+        hash, how often the row has it, the row's words and ends, and the network's mean log probability of it."""
+        ids, begin, row_ids = c.ids()
+        lp = np.add.reduceat(log_probabilities(self.model.net, ids, row_ids).astype(np.float64), begin) if len(begin) else np.zeros(0)
+        hit, count = self._counted(c.table)
+        row = np.repeat(np.arange(len(c.words)), c.words + 1)
+        _, first, place, times = np.unique(row.astype(np.int64) * c.table.n + c.word, return_index=True, return_inverse=True, return_counts=True)
+        own = c.word[first]
+        return hit[own], count[own], c.table.hashes[own], times, (c.words + 1)[row[first]], np.bincount(place, weights=lp, minlength=len(times)) / times
+
     def rows(self, c: Coded) -> tuple[np.ndarray, ...]:
         """For each row how many words and ends have known counts, and sums over these of log10(count + 1) and of
         the score; the other words: row, hash and network's log probability of each."""
@@ -737,6 +777,43 @@ class Scorer:
         return known, part, score, *(np.concatenate([r[i] for r in rest]) for i in range(3))
 
 
+RATIO_SCHEMA = "step int, n long, h long, own long, lp double"
+#: The step of words that no other text has.
+NEVER = -MOST_STEPS - 1
+
+
+def ratio_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """How many words of a task have each ratio (in steps of its logarithm) of their share of the words of all other
+    training texts to the network's probability of them; one by one those whose count isn't known here."""
+    model, heads, counts, total = shared.value
+    table, scorer = _table(model), Scorer(model, heads, counts, total)
+    steps = np.zeros(2 * MOST_STEPS + 2, np.int64)
+    for batch in batches:
+        for _, _, text, own in _parts(batch, 0, SCORE_BYTES):
+            c = coded(table, text, own)
+            with one_thread():
+                hit, count, h, times, size, lp = scorer.ratios(c)
+            others = (count - times)[hit]
+            ratio = np.log(np.maximum(1, others) / np.maximum(1, total - size[hit])) - lp[hit]
+            at = np.where(others > 0, np.clip(np.floor(ratio * RATIO_STEPS), -MOST_STEPS, MOST_STEPS), NEVER).astype(np.int64)
+            np.add.at(steps, at - NEVER, times[hit])
+            rest = ~hit
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(rest.sum()), pa.int32()), pa.array(times[rest]), pa.array(h[rest]), pa.array(size[rest]), pa.array(lp[rest])], names=["step", "n", "h", "own", "lp"])
+    found = np.flatnonzero(steps)
+    none = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+    yield pa.RecordBatch.from_arrays([pa.array((found + NEVER).astype(np.int32)), pa.array(steps[found]), *none], names=["step", "n", "h", "own", "lp"])
+
+
+def fitted_share(share: float, steps: dict[int, int]) -> float:
+    """The mixture's share for words of given ratios, by expectation and maximisation."""
+    at = np.array(sorted(steps))
+    n = np.array([steps[x] for x in at.tolist()], np.float64)
+    ratio = np.where(at == NEVER, 0.0, np.exp((at + 0.5) / RATIO_STEPS))
+    for _ in range(30 if n.sum() else 0):
+        share = float(np.clip((n * (share * ratio / (share * ratio + 1 - share))).sum() / n.sum(), 0.01, 0.99))
+    return share
+
+
 def scored_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     model, heads, counts, total = shared.value
     table, scorer = _table(model), Scorer(model, heads, counts, total)
@@ -781,11 +858,12 @@ def score_documents(
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
-    Word counts and id counts are those of all training documents (crc32 of the id as text, modulo 7, is not 2).
-    The network starts from the id counts, is trained by the driver on a sample of about ``sample_docs`` of them
-    (a passage of ``sample_chars`` characters of a longer text), and then by the executors on one of
-    ``train_every`` of them, whole, each task on its own texts; the tasks' weights are averaged by the number of
-    their texts' ids. ``base_score`` is the log10 probability under smoothed word counts, ``score`` that under the
+    All is learned from all training documents (crc32 of the id as text, modulo 7, is not 2): the ids, word counts
+    and id counts, the network and the mixture's share. The network starts from the id counts and from a few steps of
+    the driver on about ``sample_docs`` documents (a passage of ``sample_chars`` characters of a longer text); then
+    the executors train it on one of ``train_every`` documents (all, as it is set), whole, each task on its own
+    texts; the tasks' weights are averaged by the number of their texts' ids. The share is fitted on all training
+    documents but those of the driver's steps, which the network has seen many times. ``base_score`` is the log10 probability under smoothed word counts, ``score`` that under the
     model: the sum over words, ends included, of the log10 of a mixture of the word's share of the training words
     and the product of the network's probabilities of the word's ids. Words beyond the ``head_words`` most frequent
     ones get their counts by a join, where their part of both scores is formed.
@@ -806,8 +884,14 @@ def score_documents(
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale))
     passage = F.when(F.length("text") > sample_chars, F.substr("text", F.pmod(F.xxhash64("text"), F.length("text") - sample_chars).cast("int") + 1, F.lit(sample_chars))).otherwise(F.col("text"))
     sample = learned.where(place < parts).select(F.xxhash64("doc_id", "text").alias("key"), passage.alias("text")).distinct().collect()
-    sampled = [r["text"].encode("utf-8") for r in sorted(sample, key=lambda r: (r["key"], r["text"]))]
-    model = chosen(sampled, path)
+    sample.sort(key=lambda r: (r["key"], r["text"]))
+    sampled = [r["text"].encode("utf-8") for r in sample]
+    # at most a row for each rank of the vocabulary
+    ranks = learned.select("text").mapInArrow(lambda it: ranked_batches(it, path), "rank long, c long").groupBy("rank").agg(F.sum("c").alias("c")).collect()
+    times = np.zeros(len(_encoding(path)[2]), np.int64)
+    for r in ranks:
+        times[r["rank"]] = r["c"]
+    model = numbered(path, times, learned.count())
     ids = spark.sparkContext.broadcast(model)
     tallies = learned.select("text").mapInArrow(lambda it: counted_batches(it, ids), "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
     tallies = scratch.save(tallies, "tallies")
@@ -841,14 +925,24 @@ def score_documents(
     def refine(model: Model) -> Network:
         given = spark.sparkContext.broadcast(model)
         schema = "slice int, n long, weights binary"
-        others = learned.where((place >= parts) & (F.pmod(place, F.lit(train_every)) == 0)).select("text")
-        of_tasks = others.mapInArrow(lambda it: refined_batches(it, given), schema)
+        texts_of_tasks = learned.where(F.pmod(place, F.lit(train_every)) == 0).select("text")
+        of_tasks = texts_of_tasks.mapInArrow(lambda it: refined_batches(it, given), schema)
         rows = sorted(of_tasks.repartition("slice").mapInArrow(summed_batches, schema).collect())
         if not rows:
             return model.net
         return model.net.like(np.concatenate([np.frombuffer(r["weights"]) for r in rows]) / rows[0]["n"])
 
     fit(model, sampled, known, total, steps=steps, started=started, refine=refine)
+    known_here = spark.sparkContext.broadcast((model, heads, head_counts, total))
+    often_seen = sorted({r["key"] for i, r in enumerate(sample) if i not in range(len(sample))[APART]})
+    fresh = learned.where(~F.xxhash64("doc_id", "text").isin(often_seen)) if often_seen else learned
+    ratios = scratch.save(fresh.select("text").mapInArrow(lambda it: ratio_batches(it, known_here), RATIO_SCHEMA), "ratios")
+    others = F.coalesce("c", F.lit(0)) - F.col("n")
+    step = F.floor((F.ln(others / F.greatest(F.lit(1), F.lit(total) - F.col("own"))) - F.col("lp")) * RATIO_STEPS)
+    step = F.when(others > 0, F.greatest(F.lit(-MOST_STEPS), F.least(F.lit(MOST_STEPS), step))).otherwise(NEVER).cast("int")
+    rest = ratios.where("step is null").join(counts, "h", "left").select(step.alias("step"), "n")
+    steps_of = ratios.where("step is not null").select("step", "n").unionByName(rest).groupBy("step").agg(F.sum("n").alias("n")).collect()
+    model.share = fitted_share(model.share, {r["step"]: r["n"] for r in steps_of})
     shared = spark.sparkContext.broadcast((model, heads, head_counts, total))
 
     scored = scratch.save(texts.mapInArrow(lambda it: scored_batches(it, shared), SCORED_SCHEMA), "scored")

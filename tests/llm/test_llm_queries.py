@@ -269,6 +269,47 @@ def test_scores_match_their_definition(spark, documents, monkeypatch):
         assert got[i]["score"] == pytest.approx(want, rel=1e-3)
 
 
+def test_all_is_learned_from_all_training_texts(spark, documents, monkeypatch):
+    """The ids, the texts that train the network and the words that fit the share are those of all training texts."""
+    import numpy as np
+
+    kept = []
+    fit, share = lm.fit, lm.fitted_share
+
+    def spy(model, texts, *rest, refine, **named):
+        def seen(model):
+            kept.append(model.net.copy())
+            kept.append(refine(model))
+            return kept[-1]
+
+        kept.extend([model, len(texts)])
+        return fit(model, texts, *rest, refine=seen, **named)
+
+    monkeypatch.setattr(lm, "fit", spy)
+    monkeypatch.setattr(lm, "fitted_share", lambda old, steps: kept.append(steps) or share(old, steps))
+    lm.score_documents(documents.coalesce(1), steps=1, sample_docs=20, head_words=50)
+    model, n, before, after, steps = kept
+    learned = [r["text"].encode() for r in documents.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
+    want = lm.chosen(learned, model.subwords.path)
+    assert n < len(learned) / 2 and model.subwords.chosen == want.subwords.chosen and (model.number == want.number).all()
+    # all but nine tenths of the driver's texts
+    words = sum(len(lm._split(t)) + 1 for t in learned)
+    assert words * 0.5 < sum(steps.values()) < words
+    # one task trains on all pieces
+    lists = [model.number[model.subwords.ids(lm._split(t))[0]] for t in learned]
+    pieces = sum(-(-(len(x) + 1) // (3 * lm.STRIDE)) for x in lists)
+    trained = before.copy()
+    with lm.one_thread():
+        assert lm.refined(trained, (np.append(x, model.number[lm.END]) for x in lists)) == pieces
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(trained.arrays(), after.arrays(), strict=True))
+
+
+def test_share_of_given_ratios():
+    assert lm.fitted_share(0.5, {}) == 0.5
+    assert lm.fitted_share(0.5, {lm.NEVER: 10}) == 0.01 and lm.fitted_share(0.5, {lm.MOST_STEPS: 10}) == 0.99
+    assert lm.fitted_share(0.5, {lm.NEVER: 50, lm.MOST_STEPS: 50}) == pytest.approx(0.5, abs=0.01)
+
+
 def test_weights_of_tasks_are_averaged(spark, documents, monkeypatch):
     """The weights that the driver gets are the mean of the tasks', by their pieces."""
     import numpy as np
