@@ -47,6 +47,8 @@ HELD_PIECES, REFINE_RATE = 1 << 15, 0.005
 HEAD_WORDS = 1 << 20
 #: Texts of the sample that fit the mixture's share.
 APART = slice(9, None, 10)
+#: Weights travel, and are changed, in pieces of so many numbers.
+SLICE = 1 << 14
 CACHE_WORDS, CACHE_IDS = 600_000, 8_000_000
 COUNT_BYTES, SCORE_BYTES = 1 << 20, 1 << 19
 #: Windows that attention is computed for at once, and words whose scores are formed at once.
@@ -183,10 +185,18 @@ class Network:
     def copy(self) -> Network:
         return Network(*(p.copy() for p in self.arrays()), steep=self.steep)
 
+    def views(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Arrays of the same shapes that lie in ``flat``."""
+        edges = np.cumsum([0] + [p.size for p in self.arrays()])
+        return [flat[a:b].reshape(p.shape) for p, a, b in zip(self.arrays(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    def take(self, arrays: list[np.ndarray]) -> None:
+        """Let the weights lie in other arrays."""
+        self.query, self.key, self.value, self.near, self.class_of, self.class_out, self.last, self.mix, self.member, self.member_bias = arrays
+
     def like(self, flat: np.ndarray) -> Network:
         """A network of the same shapes with the weights of ``flat``."""
-        edges = np.cumsum([0] + [p.size for p in self.arrays()])
-        return Network(*(flat[a:b].reshape(p.shape).astype(np.float32) for p, a, b in zip(self.arrays(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)))
+        return Network(*(p.astype(np.float32) for p in self.views(flat)))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.query, self.key, self.value, self.near, self.class_of, self.class_out, self.last, self.mix, self.member, self.member_bias]
@@ -227,10 +237,6 @@ class Layout:
         rows = table.take(self.seen[a * STRIDE : b * STRIDE + WINDOW - STRIDE], axis=0, mode="clip")
         return self._sliding(rows, b - a)
 
-    def attended(self, a: int, b: int) -> np.ndarray:
-        """(b - a, WINDOW): the ids before those places."""
-        return self._sliding(np.ascontiguousarray(self.seen[a * STRIDE : b * STRIDE + WINDOW - STRIDE]), b - a)
-
     @staticmethod
     def _sliding(rows: np.ndarray, n: int) -> np.ndarray:
         return np.lib.stride_tricks.as_strided(rows, (n, WINDOW, *rows.shape[1:]), (STRIDE * rows.strides[0], *rows.strides), writeable=False)
@@ -249,8 +255,8 @@ def _masked(net: Network) -> np.ndarray:
     return np.where(_CAUSAL, net.near[np.maximum(_DIST, 0)], np.float32(-1e9))
 
 
-def _attend(net: Network, mask: np.ndarray, at: Layout, a: int, b: int, out: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Queries, keys and unscaled attention of the windows from a to b."""
+def _attend(net: Network, mask: np.ndarray, at: Layout, a: int, b: int, out: np.ndarray) -> np.ndarray:
+    """Unscaled attention of the windows from a to b."""
     q = net.query.take(at.before[a * STRIDE : b * STRIDE], axis=0, mode="clip").reshape(b - a, STRIDE, DIM)
     k = at.windows(net.key, a, b)
     weight = np.matmul(q, k.transpose(0, 2, 1), out=out)
@@ -259,7 +265,7 @@ def _attend(net: Network, mask: np.ndarray, at: Layout, a: int, b: int, out: np.
         np.minimum(weight, 60.0, out=weight)
     np.exp(weight, out=weight)
     weight[at.first[a:b], :, : WINDOW - STRIDE] = 0.0
-    return q, k, weight
+    return weight
 
 
 def _sums(exponentials: np.ndarray) -> np.ndarray:
@@ -277,7 +283,7 @@ def log_probabilities(net: Network, ids: np.ndarray, lengths: np.ndarray) -> np.
     room = np.empty((BLOCK_WINDOWS, STRIDE, WINDOW), kind), *(np.empty((BLOCK_WINDOWS * STRIDE, n), kind) for n in (CLASSES, CLASSES, MEMBERS, DIM + 1))
     for a in range(0, layout.n, BLOCK_WINDOWS):
         b = min(a + BLOCK_WINDOWS, layout.n)
-        _, _, weight = _attend(net, mask, layout, a, b, room[0][: b - a])
+        weight = _attend(net, mask, layout, a, b, room[0][: b - a])
         # the last column of the values is one: it gathers the sum of the weights
         own = slice(a * STRIDE, b * STRIDE)
         real = np.flatnonzero(layout.real[own])
@@ -316,66 +322,152 @@ def _output(net: Network, members: np.ndarray, context: np.ndarray, came: np.nda
     return out
 
 
-def _scatter(shape: tuple[int, int], index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of ``rows`` by ``index``."""
-    out = np.zeros(shape, np.float32)
-    order = np.argsort(index, kind="stable")
-    sorted_index = index[order]
-    begin = np.flatnonzero(np.concatenate([[True], sorted_index[1:] != sorted_index[:-1]]))
-    out[sorted_index[begin]] = np.add.reduceat(rows[order], begin, axis=0)
-    return out
+class Room:
+    """Memory that one step after another works in: new pages for each step would cost as much as what is done in them."""
 
+    def __init__(self):
+        self._held: dict[str, np.ndarray] = {}
 
-def _gradients(net: Network, ids: np.ndarray, lengths: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    at = Layout(ids, lengths)
-    q, k, weight = _attend(net, _masked(net), at, 0, at.n)
-    v, exists = at.windows(net.value, 0, at.n), at.real.reshape(at.n, STRIDE)
-    weight /= weight.sum(axis=2, keepdims=True)
-    context = np.matmul(weight, v)
-    ctx, came, goal = context[exists], at.before[at.real], at.goal[at.real].astype(np.int64)
-    n = len(goal)
+    def get(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+        """An array of any content; the same memory for the same name."""
+        size = math.prod(shape)
+        held = self._held.get(name)
+        if held is None or len(held) < size:
+            held = self._held[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+    def zeros(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+        out = self.get(name, *shape, kind=kind)
+        out.fill(0)
+        return out
+
+    def rows(self, name: str, table: np.ndarray, index: np.ndarray) -> np.ndarray:
+        return table.take(index, axis=0, mode="clip", out=self.get(name, *index.shape, table.shape[1], kind=table.dtype))
+
+
+def _softmax(z: np.ndarray, goal: np.ndarray, weight: np.ndarray, total: np.ndarray) -> float:
+    """In place, ``weight`` of each row times the gradient of its loss by its logits; ``total``: room for a row's sum.
+
+    Gives the weighted sum of the losses. Logits are bounded rather than moved by their maximum, which takes one pass.
+    """
+    rows = np.arange(len(z))
+    np.clip(z, -60.0, 60.0, out=z)
+    hit = z[rows, goal]
+    np.exp(z, out=z)
+    np.matmul(z, np.ones(z.shape[1], np.float32), out=total)
+    loss = float(((np.log(total) - hit) * weight).sum(dtype=np.float64))
+    np.divide(weight, total, out=total)
+    z *= total[:, None]
+    z[rows, goal] -= weight
+    return loss
+
+
+def _gradients(net: Network, ids: np.ndarray, lengths: np.ndarray, room: Room | None = None, into: list[np.ndarray] | None = None) -> tuple[float, list[np.ndarray]]:
+    """Mean loss over the ids of some sequences, and its gradients; those go into ``into`` if given.
+
+    The sequences lie in a grid of equal rows, behind as many empty places as their first windows reach back to.
+    Places past a sequence's end have no weight, and nothing real attends to them.
+    """
+    room = room or Room()
+    get, reach = room.get, WINDOW - STRIDE
+    n, stretches = len(lengths), max(1, -(-int(lengths.max()) // STRIDE))
+    width, size = stretches * STRIDE, n * stretches * STRIDE
+    at = np.repeat(np.arange(n) * width - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(ids))
+    goal, weight_of = room.zeros("goal", size, kind=np.int64), room.zeros("weight_of", size)
+    goal[at], weight_of[at] = ids, 1.0 / len(ids)
+    seen = room.zeros("seen", n, reach + width, kind=np.int64)
+    seen[:, reach] = BEGIN
+    seen[:, reach + 1 :] = goal.reshape(n, width)[:, :-1]
+    came = get("came", size, kind=np.int64)
+    came.reshape(n, width)[:] = seen[:, reach:]
+    of_window = lambda a: np.lib.stride_tricks.as_strided(a, (n, stretches, WINDOW, a.shape[2]), (a.strides[0], STRIDE * a.strides[1], *a.strides[1:]), writeable=False)
+
+    # attention, unscaled; the last column of the values is one, which gathers the sum of the weights
+    q = room.rows("q", net.query, came).reshape(n, stretches, STRIDE, DIM)
+    k, v = of_window(room.rows("k", net.key, seen)), of_window(room.rows("v", net.wide_value(), seen))
+    weight = np.matmul(q, k.swapaxes(2, 3), out=get("weight", n, stretches, STRIDE, WINDOW))
+    np.clip(weight, -60.0, 60.0, out=weight)
+    weight += _masked(net)
+    np.exp(weight, out=weight)
+    weight[:, 0, :, :reach] = 0.0
+    wide = np.matmul(weight, v, out=get("wide", n, stretches, STRIDE, DIM + 1)).reshape(size, DIM + 1)
+    scale = get("scale", size, 1)
+    np.divide(1.0, wide[:, DIM:], out=scale)
+    ctx = np.multiply(wide[:, :DIM], scale, out=get("ctx", size, DIM))
+
+    # the class
+    p = np.matmul(ctx, net.class_out, out=get("p", size, CLASSES))
+    p += room.rows("class_of", net.class_of, came)
     group, inner = goal // MEMBERS, goal % MEMBERS
-    z = net.class_of[came] + ctx @ net.class_out
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=1, keepdims=True)
-    loss = -np.log(p[np.arange(n), group] + 1e-30).sum()
-    p[np.arange(n), group] -= 1.0
-    p /= n
-    d_ctx = p @ net.class_out.T
-    d_class_out, d_class_of = ctx.T @ p, _scatter(net.class_of.shape, came, p)
-    state = ctx @ net.mix + net.last[came]
-    d_state = np.zeros_like(state)
-    d_member, d_bias = np.zeros_like(net.member), np.zeros_like(net.member_bias)
+    total = get("total", size)
+    loss = _softmax(p, group, weight_of, total)
+    d_ctx = np.matmul(p, net.class_out.T, out=get("d_ctx", size, DIM))
+
+    # the id within the class, class by class; the last component of the state is one, for the biases
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    edges = np.searchsorted(group.take(order), np.arange(CLASSES + 1)).tolist()
+    last = np.matmul(ctx, net.mix, out=get("last", size, DIM))
+    last += room.rows("last_of", net.last, came)
+    state = get("state", size, DIM + 1)
+    state[:, :DIM], state[:, DIM] = room.rows("sorted", last, order), 1.0
+    members, e, back = net.wide_member(), get("e", size, MEMBERS), get("back", size, DIM)
+    for c in range(CLASSES):
+        own = slice(edges[c], edges[c + 1])
+        np.matmul(state[own], members[c], out=e[own])
+    loss += _softmax(e, inner.take(order), weight_of.take(order), total)
+    if into is None:
+        into = [np.empty_like(x) for x in net.arrays()]
+    d_query, d_key, d_value, d_near, d_class_of, d_class_out, d_last, d_mix, d_member, d_bias = into
+    for c in range(CLASSES):
+        own = slice(edges[c], edges[c + 1])
+        np.matmul(e[own], net.member[c], out=back[own])
+        both = e[own].T @ state[own]
+        d_member[c], d_bias[c] = both[:, :DIM], both[:, DIM]
+    d_state = get("d_state", size, DIM)
+    d_state[order] = back
+    np.matmul(ctx.T, p, out=d_class_out)
+    np.matmul(ctx.T, d_state, out=d_mix)
+    d_ctx += np.matmul(d_state, net.mix.T, out=back)
+
+    # back through the attention: a weight's gradient is its own part less the mean, which the column of ones takes off
+    full = get("full", size, DIM + 1)
+    np.multiply(d_ctx, scale, out=full[:, :DIM])
+    np.negative(np.einsum("ij,ij->i", full[:, :DIM], ctx), out=full[:, DIM])
+    full = full.reshape(n, stretches, STRIDE, DIM + 1)
+    d_v = np.matmul(weight.swapaxes(2, 3), full, out=get("d_v", n, stretches, WINDOW, DIM + 1))
+    d_score = np.matmul(full, v.swapaxes(2, 3), out=get("d_score", n, stretches, STRIDE, WINDOW))
+    d_score *= weight
+    d_q = np.matmul(d_score, k, out=get("d_q", n, stretches, STRIDE, DIM)).reshape(size, DIM)
+    d_k = np.matmul(d_score.swapaxes(2, 3), q, out=get("d_k", n, stretches, WINDOW, DIM))
+    of_place = (np.ones(n * stretches, np.float32) @ d_score.reshape(n * stretches, -1)).reshape(STRIDE, WINDOW)
+    d_near[:] = np.bincount(np.maximum(_DIST, 0).ravel(), weights=(of_place * _CAUSAL).ravel(), minlength=WINDOW)[:WINDOW]
+
+    # the rows' gradients side by side, in order of ids; places are in up to two windows
+    side = get("side", size, 4 * DIM + CLASSES)
+    side[:, :DIM], side[:, DIM : 2 * DIM], side[:, 4 * DIM :] = d_q, d_state, p
+    for i, x in ((2, d_k), (3, d_v)):
+        place = side[:, i * DIM : (i + 1) * DIM].reshape(n, stretches, STRIDE, DIM)
+        place[:] = x[:, :, reach:, :DIM]
+        place[:, :-1, STRIDE - reach :] += x[:, 1:, :reach, :DIM]
+    sums = _by_id(came, side, room)
+    d_query[:], d_last[:], d_key[:], d_value[:], d_class_of[:] = (sums[:, i * DIM : (i + 1) * DIM if i < 4 else None] for i in range(5))
+    return loss, into
+
+
+def _by_id(ids: np.ndarray, rows: np.ndarray, room: Room) -> np.ndarray:
+    """Sums of rows by id, as products with a matrix that tells the ids of a run of MEMBERS apart."""
+    group = (ids // MEMBERS).astype(np.uint8)
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(group.take(order), np.arange(CLASSES + 2)).tolist()
+    which = room.zeros("which", len(ids), MEMBERS)
+    which[np.arange(len(ids)), (ids % MEMBERS).take(order)] = 1.0
+    rows = room.rows("in_order", rows, order)
+    out = room.get("by_id", N_IDS + 1, rows.shape[1])
     for c in range(CLASSES):
-        own = order[edges[c] : edges[c + 1]]
-        if len(own):
-            m = state[own] @ net.member[c].T + net.member_bias[c]
-            m -= m.max(axis=1, keepdims=True)
-            e = np.exp(m)
-            e /= e.sum(axis=1, keepdims=True)
-            loss -= np.log(e[np.arange(len(own)), inner[own]] + 1e-30).sum()
-            e[np.arange(len(own)), inner[own]] -= 1.0
-            e /= n
-            d_state[own] = e @ net.member[c]
-            d_member[c], d_bias[c] = e.T @ state[own], e.sum(axis=0)
-    d_mix, d_last = ctx.T @ d_state, _scatter(net.last.shape, came, d_state)
-    d_ctx += d_state @ net.mix.T
-    full = np.zeros_like(context)
-    full[exists] = d_ctx
-    d_weight = np.matmul(full, v.transpose(0, 2, 1))
-    d_v = np.matmul(weight.transpose(0, 2, 1), full)
-    d_score = weight * (d_weight - (d_weight * weight).sum(axis=2, keepdims=True))
-    d_q, d_k = np.matmul(d_score, k), np.matmul(d_score.transpose(0, 2, 1), q)
-    d_near = np.bincount(np.maximum(_DIST, 0).ravel(), weights=(d_score.sum(axis=0) * _CAUSAL).ravel(), minlength=WINDOW)[:WINDOW].astype(np.float32)
-    flat = lambda a: a.reshape(-1, DIM)
-    d_query = _scatter(net.query.shape, at.before, flat(d_q))
-    seen = at.attended(0, at.n).ravel()
-    d_key = _scatter(net.key.shape, seen, flat(d_k))
-    d_value = _scatter(net.value.shape, seen, flat(d_v))
-    return loss / n, [d_query, d_key, d_value, d_near, d_class_of, d_class_out, d_last, d_mix, d_member, d_bias]
+        own = slice(edges[c], edges[c + 1])
+        np.matmul(which[own].T, rows[own], out=out[c * MEMBERS : (c + 1) * MEMBERS])
+    np.sum(rows[edges[CLASSES] :], axis=0, out=out[BEGIN])
+    return out
 
 
 def id_counts(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -402,20 +494,35 @@ def _pieces(ids: np.ndarray) -> list[np.ndarray]:
 
 
 class Adam:
-    """Steps on the weights of a network, with moments that last from call to call."""
+    """Steps on the weights of a network, with moments that last from call to call; all in memory held for it."""
 
     def __init__(self, net: Network):
-        self.net, self.step = net, 0
-        self.first, self.second = ([np.zeros_like(p) for p in net.arrays()] for _ in range(2))
+        self.net, self.step, self.room = net, 0, Room()
+        self.weights = np.concatenate([p.ravel() for p in net.arrays()])
+        self.grads, self.first, self.second, self.spare = (np.zeros_like(self.weights) for _ in range(4))
+        self.into = net.views(self.grads)
+        net.take(net.views(self.weights))
 
     def take(self, batch: list[np.ndarray], rate: float) -> float:
-        loss, grads = _gradients(self.net, np.concatenate(batch), np.array([len(b) for b in batch]))
+        loss, _ = _gradients(self.net, np.concatenate(batch), np.array([len(b) for b in batch]), self.room, self.into)
         self.step += 1
         one, two = 1 - 0.9**self.step, 1 - 0.99**self.step
-        for p, g, m, v in zip(self.net.arrays(), grads, self.first, self.second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= (rate / one) * m / (np.sqrt(v / two) + 1e-8)
+        # a run of weights at a time, which stays in the processor's cache
+        for a in range(0, len(self.weights), SLICE):
+            p, g, m, v, t = (x[a : a + SLICE] for x in (self.weights, self.grads, self.first, self.second, self.spare))
+            np.multiply(g, g, out=t)
+            t -= v
+            t *= 0.01
+            v += t
+            g -= m
+            g *= 0.1
+            m += g
+            np.multiply(v, 1 / two, out=t)
+            np.sqrt(t, out=t)
+            t += 1e-8
+            np.divide(m, t, out=t)
+            t *= rate / one
+            p -= t
         return loss
 
 
@@ -682,10 +789,6 @@ def _tallies(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts.astype(np.int64))], names=["kind", "h", "c"])
 
 
-#: Weights travel in pieces of so many numbers.
-SLICE = 1 << 14
-
-
 def refined_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     """A task's weights after training on its texts, times the number of its pieces of ids."""
     given = shared.value
@@ -717,8 +820,11 @@ def summed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[k][0] for k in keys], pa.int64()), pa.array([total[k][1].tobytes() for k in keys], pa.binary())], names=["slice", "n", "weights"])
 
 
-SCORED_SCHEMA = "uid long, doc_id long, n_tokens long, known long, part double, score double, rare array<struct<h: long, lp: array<double>>>"
+#: A row for each text; for each task further rows with ``step`` and ``n`` alone.
+SCORED_SCHEMA = "uid long, doc_id long, n_tokens long, known long, part double, plain double, ratios binary, fresh boolean, rare array<struct<h: long, lp: array<double>>>, step int, n long"
 _RARE = pa.list_(pa.struct([("h", pa.int64()), ("lp", pa.list_(pa.float64()))]))
+#: The step of words that no other text has.
+NEVER = -MOST_STEPS - 1
 
 
 class Scorer:
@@ -739,69 +845,58 @@ class Scorer:
             self.hit, self.count = np.append(self.hit, hit), np.append(self.count, np.where(hit, self.counts[at], 0))
         return (self.hit, self.count) if len(self.heads) else (np.zeros(table.n, bool), np.zeros(table.n))
 
-    def ratios(self, c: Coded) -> tuple[np.ndarray, ...]:
-        """For each distinct word of each row, ends included: whether its count is known here, the count, the word's
-        hash, how often the row has it, the row's words and ends, and the network's mean log probability of it."""
+    def words(self, c: Coded) -> np.ndarray:
+        """The network's log probability of each word and end."""
         ids, begin, row_ids = c.ids()
-        lp = np.add.reduceat(log_probabilities(self.model.net, ids, row_ids).astype(np.float64), begin) if len(begin) else np.zeros(0)
-        hit, count = self._counted(c.table)
-        row = np.repeat(np.arange(len(c.words)), c.words + 1)
-        _, first, place, times = np.unique(row.astype(np.int64) * c.table.n + c.word, return_index=True, return_inverse=True, return_counts=True)
-        own = c.word[first]
-        return hit[own], count[own], c.table.hashes[own], times, (c.words + 1)[row[first]], np.bincount(place, weights=lp, minlength=len(times)) / times
+        of_ids = log_probabilities(self.model.net, ids, row_ids)
+        out = np.empty(len(c.word))
+        for a in range(0, len(out), BLOCK_WORDS):
+            b = min(a + BLOCK_WORDS, len(out))
+            stop = begin[b] if b < len(begin) else len(ids)
+            out[a:b] = np.add.reduceat(of_ids[begin[a] : stop].astype(np.float64), begin[a:b] - begin[a])
+        return out
 
-    def rows(self, c: Coded) -> tuple[np.ndarray, ...]:
+    def steps(self, c: Coded, lp: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """For each step from NEVER on, how many words and ends of the rows that are ``fresh`` have that ratio of their
+        share of the words of all other training texts to the network's mean probability of them in their row; those
+        alone whose count is known here."""
+        hit, count = self._counted(c.table)
+        if len(c.words) == 1:
+            of = np.bincount(c.word, minlength=c.table.n)
+            own = np.flatnonzero(of) if fresh[0] else np.zeros(0, np.int64)
+            times, mean, size = of[own], np.bincount(c.word, weights=lp, minlength=c.table.n)[own], np.full(len(own), c.words[0] + 1)
+        else:
+            row = np.repeat(np.arange(len(c.words)), c.words + 1)
+            some = np.flatnonzero(fresh[row])
+            keys, place, times = np.unique(row[some] * c.table.n + c.word[some], return_inverse=True, return_counts=True)
+            own, mean = keys % c.table.n, np.bincount(place, weights=lp[some], minlength=len(keys))
+            size = (c.words + 1)[keys // c.table.n]
+        here = hit[own]
+        own, times, mean, size = own[here], times[here], mean[here] / times[here], size[here]
+        others = count[own] - times
+        ratio = np.log(np.maximum(1, others) / np.maximum(1, self.total - size)) - mean
+        at = np.where(others > 0, np.clip(np.floor(ratio * RATIO_STEPS), -MOST_STEPS, MOST_STEPS), NEVER).astype(np.int64)
+        return np.bincount(at - NEVER, weights=times, minlength=2 * MOST_STEPS + 2).astype(np.int64)
+
+    def rows(self, c: Coded, lp: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each row how many words and ends have known counts, and sums over these of log10(count + 1) and of
-        the score; the other words: row, hash and network's log probability of each."""
-        model, n_rows = self.model, len(c.words)
-        known, part, score = np.zeros(n_rows, np.int64), np.zeros(n_rows), np.zeros(n_rows)
-        ids, begin, row_ids = c.ids()
-        lp_ids = log_probabilities(model.net, ids, row_ids)
+        ``lp``; the logarithm of the ratio of the share of each of them to the network's probability; the other
+        words: row, hash and network's log probability of each."""
+        n_rows = len(c.words)
+        known, part, plain = np.zeros(n_rows, np.int64), np.zeros(n_rows), np.zeros(n_rows)
         hit, count = self._counted(c.table)
+        of_word = np.log(np.maximum(count, 1.0) / max(1, self.total)), np.log10(count + 1.0)
         edges = np.append(c.row_at, len(c.word))
-        rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rest: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))]
         for a in range(0, len(c.word), BLOCK_WORDS):
-            b = min(a + BLOCK_WORDS, len(c.word))
-            stop = begin[b] if b < len(begin) else len(ids)
-            lp = np.add.reduceat(lp_ids[begin[a] : stop].astype(np.float64), begin[a:b] - begin[a])
-            own = c.word[a:b]
-            times = count[own]
-            both = np.log(model.share / max(1, self.total) * times + (1.0 - model.share) * np.exp(lp) + 1e-300)
-            both = np.maximum(both, lp + math.log(1.0 - model.share)) / math.log(10)
+            own, own_lp = c.word[a : a + BLOCK_WORDS], lp[a : a + BLOCK_WORDS]
             here = hit[own]
-            row = np.searchsorted(edges, np.arange(a, b), side="right") - 1
+            row = np.searchsorted(edges, np.arange(a, a + len(own)), side="right") - 1
             known += np.bincount(row, weights=here, minlength=n_rows).astype(np.int64)
-            part += np.bincount(row, weights=np.where(here, np.log10(times + 1.0), 0.0), minlength=n_rows)
-            score += np.bincount(row, weights=np.where(here, both, 0.0), minlength=n_rows)
-            rest.append((row[~here].astype(np.int32), c.table.hashes[own[~here]], lp[~here]))
-        return known, part, score, *(np.concatenate([r[i] for r in rest]) for i in range(3))
-
-
-RATIO_SCHEMA = "step int, n long, h long, own long, lp double"
-#: The step of words that no other text has.
-NEVER = -MOST_STEPS - 1
-
-
-def ratio_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """How many words of a task have each ratio (in steps of its logarithm) of their share of the words of all other
-    training texts to the network's probability of them; one by one those whose count isn't known here."""
-    model, heads, counts, total = shared.value
-    table, scorer = _table(model), Scorer(model, heads, counts, total)
-    steps = np.zeros(2 * MOST_STEPS + 2, np.int64)
-    for batch in batches:
-        for _, _, text, own in _parts(batch, 0, SCORE_BYTES):
-            c = coded(table, text, own)
-            with one_thread():
-                hit, count, h, times, size, lp = scorer.ratios(c)
-            others = (count - times)[hit]
-            ratio = np.log(np.maximum(1, others) / np.maximum(1, total - size[hit])) - lp[hit]
-            at = np.where(others > 0, np.clip(np.floor(ratio * RATIO_STEPS), -MOST_STEPS, MOST_STEPS), NEVER).astype(np.int64)
-            np.add.at(steps, at - NEVER, times[hit])
-            rest = ~hit
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(rest.sum()), pa.int32()), pa.array(times[rest]), pa.array(h[rest]), pa.array(size[rest]), pa.array(lp[rest])], names=["step", "n", "h", "own", "lp"])
-    found = np.flatnonzero(steps)
-    none = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.float64())]
-    yield pa.RecordBatch.from_arrays([pa.array((found + NEVER).astype(np.int32)), pa.array(steps[found]), *none], names=["step", "n", "h", "own", "lp"])
+            part += np.bincount(row, weights=np.where(here, of_word[1][own], 0.0), minlength=n_rows)
+            plain += np.bincount(row, weights=np.where(here, own_lp, 0.0), minlength=n_rows)
+            rest.append(((of_word[0][own] - own_lp)[here].astype(np.float32), row[~here].astype(np.int32), c.table.hashes[own[~here]], own_lp[~here]))
+        return known, part, plain, *(np.concatenate([r[i] for r in rest]) for i in range(4))
 
 
 def fitted_share(share: float, steps: dict[int, int]) -> float:
@@ -815,15 +910,25 @@ def fitted_share(share: float, steps: dict[int, int]) -> float:
 
 
 def scored_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """All that the scores need but the mixture's share, and what the share is fitted to, by one pass of the network.
+
+    Columns are the id, the text and, if the share is to be fitted, whether a text counts for it.
+    """
     model, heads, counts, total = shared.value
     table, scorer = _table(model), Scorer(model, heads, counts, total)
     uid = TaskContext.get().partitionId() << 40
+    steps = np.zeros(2 * MOST_STEPS + 2, np.int64)
     for batch in batches:
+        marked = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) if batch.num_columns > 2 else np.zeros(batch.num_rows, bool)
         for a, b, text, own in _parts(batch, 1, SCORE_BYTES):
             c = coded(table, text, own)
             del text
             with one_thread():
-                known, part, score, row, key, lp = scorer.rows(c)
+                lp = scorer.words(c)
+            fresh = marked[a:b]
+            if fresh.any():
+                steps += scorer.steps(c, lp, fresh)
+            known, part, plain, ratios, row, key, lp = scorer.rows(c, lp)
             n_tokens = pa.array(c.words + 1)
             del c
             order = np.lexsort((key, row))
@@ -833,17 +938,44 @@ def scored_batches(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iter
             own_lp = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(lp))
             lists = np.searchsorted(row[new], np.arange(b - a + 1)).astype(np.int32)
             pairs = pa.StructArray.from_arrays([pa.array(key[new]), own_lp], names=["h", "lp"])
+            places = np.concatenate([[0], np.cumsum(known)]).astype(np.int32) * np.int32(ratios.itemsize)
             columns = [
                 pa.array(np.arange(uid, uid + b - a)),
                 batch.column(0).slice(a, b - a),
                 n_tokens,
                 pa.array(known),
                 pa.array(part),
-                pa.array(score),
+                pa.array(plain),
+                pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(places), pa.py_buffer(ratios)]),
+                pa.array(fresh),
                 pa.ListArray.from_arrays(pa.array(lists), pairs).cast(_RARE),
+                pa.nulls(b - a, pa.int32()),
+                pa.nulls(b - a, pa.int64()),
             ]
             uid += b - a
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n_tokens", "known", "part", "score", "rare"])
+            yield pa.RecordBatch.from_arrays(columns, names=_SCORED)
+    found = np.flatnonzero(steps)
+    none = [pa.nulls(len(found), t) for t in (*[pa.int64()] * 4, pa.float64(), pa.float64(), pa.binary(), pa.bool_(), _RARE)]
+    yield pa.RecordBatch.from_arrays([*none, pa.array((found + NEVER).astype(np.int32)), pa.array(steps[found])], names=_SCORED)
+
+
+_SCORED = ["uid", "doc_id", "n_tokens", "known", "part", "plain", "ratios", "fresh", "rare", "step", "n"]
+MIXED_SCHEMA = "uid long, doc_id long, n_tokens long, known long, part double, score double"
+
+
+def mixed_batches(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """The score of the words with known counts: a mixture is the network's part times one more than the odds of the
+    share times the ratio."""
+    odds, rest = math.log(share / (1.0 - share)), math.log(1.0 - share)
+    for batch in batches:
+        known, plain, ratios = (batch.column(x) for x in ("known", "plain", "ratios"))
+        more = np.zeros(batch.num_rows)
+        for i, raw in enumerate(ratios):
+            own = np.frombuffer(raw.as_buffer(), np.float32)
+            for a in range(0, len(own), BLOCK_WORDS):
+                more[i] += np.logaddexp(0.0, own[a : a + BLOCK_WORDS].astype(np.float64) + odds).sum()
+        score = (plain.to_numpy() + known.to_numpy() * rest + more) / math.log(10)
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("uid", "doc_id", "n_tokens", "known", "part")), pa.array(score)], names=["uid", "doc_id", "n_tokens", "known", "part", "score"])
 
 
 # ---------------------------------------------------------------- query
@@ -933,27 +1065,30 @@ def score_documents(
         return model.net.like(np.concatenate([np.frombuffer(r["weights"]) for r in rows]) / rows[0]["n"])
 
     fit(model, sampled, known, total, steps=steps, started=started, refine=refine)
-    known_here = spark.sparkContext.broadcast((model, heads, head_counts, total))
+    shared = spark.sparkContext.broadcast((model, heads, head_counts, total))
     often_seen = sorted({r["key"] for i, r in enumerate(sample) if i not in range(len(sample))[APART]})
-    fresh = learned.where(~F.xxhash64("doc_id", "text").isin(often_seen)) if often_seen else learned
-    ratios = scratch.save(fresh.select("text").mapInArrow(lambda it: ratio_batches(it, known_here), RATIO_SCHEMA), "ratios")
-    others = F.coalesce("c", F.lit(0)) - F.col("n")
-    step = F.floor((F.ln(others / F.greatest(F.lit(1), F.lit(total) - F.col("own"))) - F.col("lp")) * RATIO_STEPS)
+    fresh = ~_held_out(F.col("doc_id"))
+    if often_seen:
+        fresh &= ~F.xxhash64("doc_id", "text").isin(often_seen)
+    scored = scratch.save(texts.select("doc_id", "text", fresh.alias("fresh")).mapInArrow(lambda it: scored_batches(it, shared), SCORED_SCHEMA), "scored")
+    rows = scored.where("uid is not null")
+    rare = rows.select("uid", "fresh", F.col("n_tokens").alias("own"), F.explode("rare").alias("w")).select("uid", "fresh", "own", F.col("w.h").alias("h"), F.col("w.lp").alias("lp"))
+    rare = scratch.save(rare.join(counts, "h", "left").select("uid", "fresh", "own", "lp", "c"), "rare")
+    n, sum_of = F.size("lp"), lambda x: F.aggregate(x, F.lit(0.0), lambda a, x: a + x)
+    others = F.coalesce("c", F.lit(0)) - n
+    # as in Scorer
+    step = F.floor((F.ln(others / F.greatest(F.lit(1), F.lit(total) - F.col("own"))) - sum_of("lp") / n) * RATIO_STEPS)
     step = F.when(others > 0, F.greatest(F.lit(-MOST_STEPS), F.least(F.lit(MOST_STEPS), step))).otherwise(NEVER).cast("int")
-    rest = ratios.where("step is null").join(counts, "h", "left").select(step.alias("step"), "n")
-    steps_of = ratios.where("step is not null").select("step", "n").unionByName(rest).groupBy("step").agg(F.sum("n").alias("n")).collect()
-    model.share = fitted_share(model.share, {r["step"]: r["n"] for r in steps_of})
-    shared = spark.sparkContext.broadcast((model, heads, head_counts, total))
+    steps_of = scored.where("uid is null").select("step", "n").unionByName(rare.where("fresh").select(step.alias("step"), n.cast("long").alias("n"))).groupBy("step").agg(F.sum("n").alias("n")).collect()
+    share = model.share = fitted_share(model.share, {r["step"]: r["n"] for r in steps_of})
 
-    scored = scratch.save(texts.mapInArrow(lambda it: scored_batches(it, shared), SCORED_SCHEMA), "scored")
-    rare = scored.select("uid", F.explode("rare").alias("w")).select("uid", F.col("w.h").alias("h"), F.col("w.lp").alias("lp"))
-    count, n = F.coalesce("c", F.lit(0)), F.size("lp")
-    bonus, rest = F.lit(model.share / max(1, total)) * count, 1.0 - model.share
-    # as in Scorer
+    out = rows.select("uid", "doc_id", "n_tokens", "known", "part", "plain", "ratios").mapInArrow(lambda it: mixed_batches(it, share), MIXED_SCHEMA)
+    count = F.coalesce("c", F.lit(0))
+    bonus, rest = F.lit(share / max(1, total)) * count, 1.0 - share
     mixed = F.transform("lp", lambda x: F.greatest(F.ln(F.col("bonus") + F.lit(rest) * F.exp(x) + F.lit(1e-300)), x + F.lit(math.log(rest))))
-    tail = rare.join(counts, "h", "left").select("uid", "lp", bonus.alias("bonus"), (F.log10(count + 1.0) * n).alias("part"), F.when(F.col("c") > 0, n).otherwise(0).alias("known"))
-    tail = tail.select("uid", "part", "known", (F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x) / F.lit(math.log(10))).alias("score"))
+    tail = rare.select("uid", "lp", bonus.alias("bonus"), (F.log10(count + 1.0) * n).alias("part"), F.when(F.col("c") > 0, n).otherwise(0).alias("known"))
+    tail = tail.select("uid", "part", "known", (sum_of(mixed) / F.lit(math.log(10))).alias("score"))
     tail = tail.groupBy("uid").agg(F.sum("part").alias("more_part"), F.sum("known").alias("more_known"), F.sum("score").alias("more_score"))
-    out = scored.drop("rare").join(tail, "uid", "left")
+    out = out.join(tail, "uid", "left")
     base = F.col("part") + F.coalesce("more_part", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))
     return out.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

@@ -8,6 +8,7 @@ import os
 import random
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pytest
 from conftest import ROOT
 
 from tallystone.llm import blas, bpe, htmltext, licences, lm, media, neardup, quality, texthash, topk, warc
+from tallystone.llm.bpe import public_vocabulary
 
 
 def _strings(texts):
@@ -498,6 +500,62 @@ def test_gradients_match_differences():
             assert (up - down) / 2e-4 == pytest.approx(g.ravel()[i], rel=0.05, abs=2e-4), k
 
 
+def test_steps_work_in_memory_that_is_held():
+    """A step after the first takes next to no new memory; that of new arrays costs more than the products."""
+    rng = np.random.default_rng(5)
+    adam = lm.Adam(_network(rng)[0])
+    batch = [rng.integers(0, lm.N_IDS, 3 * lm.STRIDE) for _ in range(lm.PER_STEP)]
+    adam.take(batch, 0.001)
+    tracemalloc.start()
+    adam.take(batch, 0.001)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 << 20
+
+
+def test_one_pass_scores_and_tells_what_the_share_is_fitted_to(monkeypatch):
+    """By plain loops: the ratios' steps of the marked rows, and the scores for the share that comes later."""
+    texts = [b"a b a", b"", b"b c C d a", b"zz a"]
+    model = lm.fit(lm.chosen(texts * 3, public_vocabulary()[0]), texts * 3, {}, 1, steps=2)
+    key = lambda w: int(lm._hashes([w])[0]) if w else lm.END_HASH
+    count = {b"a": 40, b"b": 2, b"c": 1, None: 9}  # d and zz aren't known here
+    heads = sorted((key(w), n) for w, n in count.items())
+    shared = type("B", (), {"value": (model, *np.array(heads).T.copy(), 60)})
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    calls = []
+    forward = lm.log_probabilities
+    monkeypatch.setattr(lm, "log_probabilities", lambda net, ids, lengths: calls.append(len(ids)) or forward(net, ids, lengths))
+    marked = [True, True, False, True]
+    for cut in ([texts], [[t] for t in texts]):  # many rows at once, and each alone
+        calls.clear()
+        out, at = [], 0
+        for own in cut:
+            batch = pa.RecordBatch.from_arrays([pa.array(range(at, at + len(own))), pa.array([t.decode() for t in own]), pa.array(marked[at : at + len(own)])], names=["doc_id", "text", "fresh"])
+            out += lm.scored_batches(iter([batch]), shared)
+            at += len(own)
+        spelled = [[*lm._split(t), None] for t in texts]
+        ids = [[model.number[model.subwords.ids([w])[0]] if w else model.number[[lm.END]] for w in words] for words in spelled]
+        assert sum(calls) == sum(len(x) for row in ids for x in row)
+        steps, scores = collections.Counter(), []
+        for words, own, mark in zip(spelled, ids, marked, strict=True):
+            flat = np.concatenate(own)
+            lp = np.add.reduceat(forward(model.net, flat, np.array([len(flat)])), np.cumsum([0, *map(len, own)])[:-1])
+            scores.append(sum(np.log10(0.3 * count[w] / 60 + 0.7 * np.exp(x)) for w, x in zip(words, lp, strict=True) if w in count))
+            for w in set(words) & set(count) if mark else ():
+                n, mean = words.count(w), np.mean([x for v, x in zip(words, lp, strict=True) if v == w])
+                others = count[w] - n
+                steps[int(np.floor((np.log(others / (60 - len(words))) - mean) * lm.RATIO_STEPS)) if others > 0 else lm.NEVER] += n
+        rows = [b for b in out if b.column(0).null_count == 0 and b.num_rows]
+        got = collections.Counter()
+        for b in out:
+            for step, n in zip(b.column("step").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if step is not None:
+                    got[step] += n
+        assert sorted(got.elements()) == pytest.approx(sorted(steps.elements()), abs=1)
+        mixed = [x for b in lm.mixed_batches(iter(rows), 0.3) for x in b.column("score").to_pylist()]
+        assert mixed == pytest.approx(scores, rel=1e-4)
+
+
 def test_products_run_in_one_thread():
     get = [g for g, _ in blas._controls()]
     before = [g() for g in get]
